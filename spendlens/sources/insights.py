@@ -68,7 +68,7 @@ def pivot_actions(df: DataFrame, keys, actions: str = "actions") -> DataFrame:
 
 
 def raw_payload(actions) -> Column:
-    return F.when(F.size(actions) > 0, F.to_json(actions))
+    return F.when(F.size(actions) > 0, F.to_json(actions, {"ignoreNullFields": "false"}))
 
 
 def recovered_actions(df: DataFrame, raw: str = "actions_raw") -> DataFrame:
