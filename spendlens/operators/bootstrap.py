@@ -31,6 +31,16 @@ def resampling_mode(units: DataFrame, n_boot: int, mode: str = "auto") -> str:
     return "multinomial" if units.count() * n_boot <= MULTINOMIAL_LIMIT else "poisson"
 
 
+def _spread(units: DataFrame, *by: str) -> DataFrame:
+    """Redistribute units before they are multiplied by the replicates.
+
+    The fixed count keeps AQE from merging them: it sizes partitions by the bytes
+    it sees here, not by the rows that follow.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, *by)
+
+
 def _stratum_text(strata):
     return F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("␀")) for s in strata])
 
@@ -45,17 +55,21 @@ def cluster_units(
 
 
 def poisson_replicates(units: DataFrame, key, n_boot: int, seed: int = 0) -> DataFrame:
-    """Explode every unit into its replicates with a Poisson(1) count ``w`` > 0."""
+    """Explode every unit into its replicates with a Poisson(1) count ``w``.
+
+    Zero counts stay: filtering on ``w`` would be pushed below the projections
+    and inline the whole mixing chain into one expression.
+    """
     keyed = units.withColumn("__k", F.concat_ws("|", F.lit(str(seed)), key))
     keyed = keyed.withColumns(
         {"__h1": draws.key_word(F.col("__k"), 0), "__h2": draws.key_word(F.col("__k"), 1)}
     ).drop("__k")
-    each = keyed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    each = _spread(keyed, "__h1", "__h2").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     start = F.col("__h1") + F.col("b").cast("bigint") * F.lit(draws.REPLICATE_STEP)
     each = draws.mixed(each, start, "__d")
     each = draws.mixed(each, F.col("__d") + F.col("__h2"), "__u")
     each = each.withColumn("w", draws.poisson_weight(F.col("__u")))
-    return each.drop("__h1", "__h2", "__d", "__u").where("w > 0")
+    return each.drop("__h1", "__h2", "__d", "__u")
 
 
 def _positions(units: DataFrame, unit: str) -> DataFrame:
@@ -91,7 +105,7 @@ def _positions(units: DataFrame, unit: str) -> DataFrame:
 
 def _multinomial_sums(units: DataFrame, strata, unit: str, n_boot: int, seed: int) -> DataFrame:
     placed = shared(_positions(units.withColumn("__st", _stratum_text(strata)), unit))
-    draw = placed.select(
+    draw = _spread(placed.select("__st", "__i", "__K"), "__st", "__i").select(
         "__st",
         "__i",
         "__K",

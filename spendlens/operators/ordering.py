@@ -1,14 +1,13 @@
 """Global order statistics without pulling a whole order into one task.
 
 Ranks, running totals and exact percentiles need a total order. A window with
-no partition would sort everything in one task, so the order is first cut into
-slices: a hash sample of the ordering values (the ``slices`` smallest hashes, a
-deterministic choice) gives the slice edges, each slice is scanned on its own,
-and the slice totals (at most ``slices`` + 1 rows per key) are added on top.
-The edges only steer the balance; results are exact for any edges.
+no partition would sort everything in one task, so the rows are first range
+partitioned on (keys, ordering); each partition is a slice. Slices are scanned
+on their own and the slice totals, a short table, are added on top.
 
 Inputs carry one row per (keys, ordering); equal values are collapsed to counts
-beforehand, so a value shared by a third of all rows is a single row here.
+beforehand, so a value shared by a third of all rows is a single row here, and
+a key holding most rows is cut into many slices.
 """
 
 from __future__ import annotations
@@ -18,64 +17,41 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.sharing import shared
 
-SLICES = 512
-_STRIDE = 32
 
+def with_slices(df: DataFrame, order_by, keys=()) -> DataFrame:
+    """Add ``__slice``, non-decreasing in (keys, ordering).
 
-def _cols(names) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
-def _attach(df: DataFrame, small: DataFrame, keys) -> DataFrame:
-    """Join per-key facts back; with no keys ``small`` is one row by construction."""
-    if keys:
-        return df.join(small, list(keys))
-    return df.crossJoin(F.broadcast(small))
-
-
-def with_slices(df: DataFrame, order_by, keys=(), slices: int = SLICES) -> DataFrame:
-    """Add ``__slice``, non-decreasing in the ordering within each key."""
-    keys = list(keys)
-    ordering = F.struct(*_cols(order_by))
-    probe = df.select(*keys, ordering.alias("__ord")).withColumn("__h", F.xxhash64("__ord"))
-    if keys:
-        place = Window.partitionBy(*keys).orderBy("__h", "__ord")
-        probe = probe.withColumn("__rn", F.row_number().over(place)).where(F.col("__rn") <= slices)
-    else:
-        probe = probe.orderBy("__h", "__ord").limit(slices)
-    edges = probe.groupBy(*keys).agg(F.sort_array(F.collect_list("__ord")).alias("__edges"))
-    edges = edges.withColumn(
-        "__coarse", F.filter("__edges", lambda _, i: i % _STRIDE == _STRIDE - 1)
-    )
-    here = F.struct(*_cols(order_by))
-    out = _attach(df, edges, keys)
-    out = out.withColumn("__band", F.size(F.filter("__coarse", lambda e: e <= here)))
-    fine = F.slice("__edges", F.col("__band") * _STRIDE + 1, _STRIDE)
-    out = out.withColumn(
-        "__slice", F.col("__band") * _STRIDE + F.size(F.filter(fine, lambda e: e <= here))
-    )
-    return out.drop("__edges", "__coarse", "__band")
+    The sliced table is kept, so every reader sees the same slice numbers; a
+    lost block is computed again with the same range bounds. Without a fixed
+    partition count AQE merges small slices, down to one for small inputs.
+    """
+    ranged = df.repartitionByRange(*keys, *order_by)
+    return shared(ranged.withColumn("__slice", F.spark_partition_id()))
 
 
 def with_running_sums(
-    df: DataFrame, order_by, sums: dict[str, str], keys=(), slices: int = SLICES
+    df: DataFrame, order_by, sums: dict[str, str], keys=(), totals: dict[str, str] | None = None
 ) -> DataFrame:
-    """For each ``sums`` entry {new column: source column}, the total of all earlier rows."""
+    """For each ``sums`` entry {new column: source column}, the total of all earlier rows.
+
+    ``totals`` entries get the total over all rows of the key.
+    """
     keys, order_by = list(keys), list(order_by)
-    cut = with_slices(shared(df), order_by, keys, slices)
-    totals = cut.groupBy(*keys, "__slice").agg(
-        *[F.sum(src).alias(f"__t_{out}") for out, src in sums.items()]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(
-        Window.unboundedPreceding, -1
+    cut = with_slices(df, order_by, keys)
+    totals = totals or {}
+    per_slice = cut.groupBy(*keys, "__slice").agg(
+        *[F.sum(src).alias(f"__t_{out}") for out, src in {**sums, **totals}.items()]
     )
-    offsets = totals.select(
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select(
         *keys,
         "__slice",
         *[
             F.coalesce(F.sum(f"__t_{out}").over(earlier), F.lit(0)).alias(f"__o_{out}")
             for out in sums
         ],
+        *[F.sum(f"__t_{out}").over(whole).alias(out) for out in totals],
     )
     inside = (
         Window.partitionBy(*keys, "__slice")
@@ -115,17 +91,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], keys=(
     values; nothing is gathered per key.
     """
     keys = list(keys)
-    counted = shared(value_counts(df, value, keys))
-    run = with_running_sums(counted, [value], {"__before": "n"}, keys)
-    size = counted.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    run = _attach(run, size, keys)
+    counted = value_counts(df, value, keys)
+    run = with_running_sums(counted, [value], {"__before": "n"}, keys, {"__total": "n"})
     picks, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
         pos = (F.col("__total") - 1) * F.lit(float(p))
-        covers = {}
         for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("__before") <= at) & (at < F.col("__before") + F.col("n"))
-            covers[side] = hit
             picks.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"__{side}{i}"))
         spread = F.col(f"__hi{i}") - F.col(f"__lo{i}")
         last = (F.col("__total") - 1) * F.lit(float(p))

@@ -52,14 +52,12 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
     step-up minimum is taken inside each slice and over the later slices.
     """
     family = list(family)
-    counted = shared(value_counts(df, p, family))
-    ranked = with_running_sums(counted, [p], {"__before": "n"}, family)
-    size = counted.groupBy(*family).agg(F.sum("n").alias("__m"))
-    ranked = ranked.join(size, family) if family else ranked.crossJoin(F.broadcast(size))
+    counted = value_counts(df, p, family)
+    ranked = with_running_sums(counted, [p], {"__before": "n"}, family, {"__m": "n"})
     ranked = ranked.select(
         *family, p, (F.col(p) * F.col("__m") / (F.col("__before") + F.col("n"))).alias("__s")
     )
-    cut = with_slices(shared(ranked), [p], family)
+    cut = with_slices(ranked, [p], family)
     later = Window.partitionBy(*family).orderBy(F.desc("__slice")).rowsBetween(
         Window.unboundedPreceding, -1
     )
