@@ -24,19 +24,16 @@ def key_word(key: Column, word: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1 + 8 * word, 8), 16, 10).cast("bigint")
 
 
-def _fold(x: Column) -> Column:
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
 def mixed(df, source: Column, out: str):
     """Add ``out`` = two-round multiplicative mix of ``source``.
 
     Each round is its own projection so that a value used twice is computed once.
     """
     df = df.withColumn(out, source.bitwiseAND(F.lit(MASK)))
+    fold = f"({out} ^ shiftright({out}, 16))"
     for _ in range(2):
-        df = df.withColumn(out, (_fold(F.col(out)) * F.lit(MIX)).bitwiseAND(F.lit(MASK)))
-    return df.withColumn(out, _fold(F.col(out)))
+        df = df.withColumn(out, F.expr(f"({fold} * {MIX}L) & {MASK}L"))
+    return df.withColumn(out, F.expr(fold))
 
 
 def poisson_ladder() -> list[int]:
@@ -48,10 +45,6 @@ def poisson_ladder() -> list[int]:
     return steps
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count for a uniform 32-bit draw."""
-    hits = [(draw >= F.lit(step)).cast("int") for step in poisson_ladder()]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
-    return total
+def poisson_weight(draw: str) -> Column:
+    """Poisson(1) count for a column of uniform 32-bit draws."""
+    return F.expr(" + ".join(f"CAST({draw} >= {step}L AS INT)" for step in poisson_ladder()))

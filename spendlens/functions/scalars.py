@@ -26,6 +26,8 @@ def half_even_long(value) -> Column:
 
 def ratio(numerator, denominator) -> Column:
     """Quotient that is null when the denominator is zero or null."""
+    if isinstance(numerator, str) and isinstance(denominator, str):
+        return F.expr(f"CAST(`{numerator}` AS DOUBLE) / nullif(CAST(`{denominator}` AS DOUBLE), 0D)")
     return _c(numerator).cast("double") / F.nullif(_c(denominator).cast("double"), F.lit(0.0))
 
 

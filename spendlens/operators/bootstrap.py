@@ -68,7 +68,7 @@ def poisson_replicates(units: DataFrame, key, n_boot: int, seed: int = 0) -> Dat
     start = F.col("__h1") + F.col("b").cast("bigint") * F.lit(draws.REPLICATE_STEP)
     each = draws.mixed(each, start, "__d")
     each = draws.mixed(each, F.col("__d") + F.col("__h2"), "__u")
-    each = each.withColumn("w", draws.poisson_weight(F.col("__u")))
+    each = each.withColumn("w", draws.poisson_weight("__u"))
     return each.drop("__h1", "__h2", "__d", "__u")
 
 
@@ -116,7 +116,9 @@ def _multinomial_sums(units: DataFrame, strata, unit: str, n_boot: int, seed: in
     )
     draw = draws.mixed(draw, F.col("__d") + F.col("__i") * F.lit(draws.INDEX_STEP), "__u")
     draw = draw.select("__st", "b", F.pmod(F.col("__u"), F.col("__K")).alias("__i"))
-    hit = draw.join(placed.select("__st", "__i", "C", "S"), ["__st", "__i"])
+    # every draw has its unit, so a left join loses nothing; it keeps the planner from
+    # building a hash table of the draws and from filtering on the drawn position
+    hit = draw.join(placed.select("__st", "__i", "C", "S"), ["__st", "__i"], "left")
     sums = hit.groupBy("__st", "b").agg(F.sum("C").alias("C"), F.sum("S").alias("S"))
     names = placed.where("__i = 0").select("__st", *strata)
     return sums.join(names, "__st").drop("__st")

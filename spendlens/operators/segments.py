@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.scalars import ratio, segment_label
 from spendlens.operators import bootstrap, stats
-from spendlens.operators.sharing import shared
+from spendlens.operators.sharing import settled, shared
 from spendlens.schema import HOUR_RANGE
 
 DEFAULT_OUTCOME = "initiate_checkout"
@@ -108,7 +108,9 @@ def rank_segments(
         F.col(exposure).cast("double").alias("spend"),
         F.coalesce(F.col(outcome).cast("double"), F.lit(0.0)).alias("conversions"),
     )
-    units = shared(bootstrap.cluster_units(rows, dims, "cluster_id", "conversions", "spend"))
+    units = settled(
+        bootstrap.cluster_units(rows, dims, "cluster_id", "conversions", "spend"), "units"
+    )
     grouped = shared(
         with_expectation(
             units.groupBy(*dims).agg(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from spendlens.session import scratch_path
+
 _KEPT: list[DataFrame] = []
 
 
@@ -31,3 +33,14 @@ def release() -> int:
         except Exception:  # the session that owned it is gone
             pass
     return freed
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a pivotal table to the shared scratch folder and go on from the copy.
+
+    Used once per analysis, right after the pass over the large input: later
+    steps neither repeat that pass when an executor is lost nor carry its plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
