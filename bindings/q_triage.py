@@ -1 +1,257 @@
-"""Placeholder."""
+"""Early triage queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bindings import tables as tb
+from bindings.q_funnel import FORMAT, PANEL, big, panel
+from bindings.q_stats import AUC_CI, WEIGHTED_AUC
+from bindings.registry import query
+from bindings.sql_draws import poisson_ctes
+from spendlens.operators import bootstrap, stats, triage
+
+EARLY, MIN_DAYS = 2, 5
+TRIAGE = f"""{PANEL},
+elig AS (SELECT * FROM panel WHERE lifetime >= {MIN_DAYS}),
+early AS (SELECT ad_id, campaign_id, ad_name, sum(spend) AS e_spend, sum(impressions) AS e_imp, sum(clicks) AS e_clicks,
+    avg(cpm) AS e_cpm, {big('sum(coalesce(landing_page_view, 0))')} AS e_lpv, {big('sum(coalesce(add_to_cart, 0))')} AS e_atc,
+    {big('sum(coalesce(initiate_checkout, 0))')} AS e_ic, min(date) AS first_day FROM elig WHERE day_n <= {EARLY} GROUP BY 1, 2, 3),
+late AS (SELECT ad_id, sum(spend) AS l_spend, {big('sum(coalesce(initiate_checkout, 0))')} AS l_ic, {big('count(*)')} AS l_days
+    FROM elig WHERE day_n > {EARLY} GROUP BY 1),
+base AS (SELECT early.*, l_spend, l_ic, l_days FROM early JOIN late ON late.ad_id = early.ad_id WHERE e_spend > 0 AND l_spend > 0),
+feat AS (SELECT *, e_ic / e_spend AS e_icr, e_atc / e_spend AS e_atcr, e_lpv / e_spend AS e_lpvr, l_ic / l_spend AS late_icr,
+    ln(1 + e_ic / e_spend) AS log_icr, ln(1 + e_atc / e_spend) AS log_atcr, ln(1 + e_lpv / e_spend) AS log_lpvr,
+    ln(1 + coalesce(e_cpm, (SELECT quantile_cont(e_cpm, 0.5) FROM base))) AS log_cpm, ln(1 + e_spend) AS log_spend,
+    {FORMAT} AS format, CAST({FORMAT} = 'reel' AS BIGINT) AS is_reel FROM base),
+med AS (SELECT quantile_cont(late_icr, 0.5) AS med FROM feat),
+lab AS (SELECT feat.*, CASE WHEN late_icr > med THEN 1 ELSE 0 END AS y FROM feat, med)"""
+
+
+def sql(body, extra=""):
+    return tb.with_tables("ads_daily", body, TRIAGE + (", " + extra if extra else ""))
+
+
+def frame(spark, d):
+    return triage.feature_frame(tb.ads_daily(spark, d), EARLY, MIN_DAYS)
+
+
+@query(
+    "tri1_daily_panel",
+    sql(f"SELECT ad_id, date, {big('day_n')} AS day_n, {big('lifetime')} AS lifetime, {big('coalesce(initiate_checkout, 0)')} AS ic FROM elig"),
+    dates=("date",),
+)
+def tri1(spark, d):
+    return panel(spark, d).where(F.col("lifetime") >= MIN_DAYS).select("ad_id", "date", "day_n", "lifetime", "ic")
+
+
+EARLY_DP = {"e_spend": 2, "e_cpm": 6}
+
+
+@query(
+    "tri2_early_features",
+    sql("SELECT ad_id, campaign_id, ad_name, e_spend, e_imp, e_clicks, e_cpm, e_lpv, e_atc, e_ic, first_day FROM base"),
+    dp=EARLY_DP,
+    dates=("first_day",),
+)
+def tri2(spark, d):
+    out = triage.early_and_late(panel(spark, d), EARLY, MIN_DAYS).where("e_spend > 0 AND l_spend > 0")
+    return out.select("ad_id", "campaign_id", "ad_name", "e_spend", "e_imp", "e_clicks", "e_cpm", "e_lpv", "e_atc", "e_ic", "first_day")
+
+
+@query("tri3_late_outcome", sql("SELECT ad_id, l_spend, l_ic, l_days FROM late"), dp={"l_spend": 2})
+def tri3(spark, d):
+    return triage.early_and_late(panel(spark, d), EARLY, MIN_DAYS).select("ad_id", "l_spend", "l_ic", "l_days")
+
+
+@query("jn1_early_late_join", sql("SELECT ad_id, e_spend, l_spend FROM base"), dp={"e_spend": 2, "l_spend": 2})
+def jn1(spark, d):
+    out = triage.early_and_late(panel(spark, d), EARLY, MIN_DAYS)
+    return out.where("e_spend > 0 AND l_spend > 0").select("ad_id", "e_spend", "l_spend")
+
+
+RATE_DP = {"e_icr": 12, "e_atcr": 12, "e_lpvr": 12, "late_icr": 12}
+LOG_DP = {"log_icr": 12, "log_atcr": 12, "log_lpvr": 12, "log_cpm": 9, "log_spend": 9}
+
+
+@query(
+    "tri4_feature_frame",
+    sql("SELECT ad_id, e_icr, e_atcr, e_lpvr, late_icr, log_icr, log_atcr, log_lpvr, log_cpm, log_spend, format, is_reel FROM feat"),
+    dp={**RATE_DP, **LOG_DP},
+)
+def tri4(spark, d):
+    return frame(spark, d).select("ad_id", *RATE_DP, *LOG_DP, "format", "is_reel")
+
+
+@query("prj17_log_features", sql("SELECT ad_id, log_icr, log_atcr, log_lpvr, log_cpm, log_spend FROM feat"), dp=LOG_DP)
+def prj17(spark, d):
+    return frame(spark, d).select("ad_id", *LOG_DP)
+
+
+SPLIT = """us AS (SELECT *, epoch_us(CAST(first_day AS TIMESTAMP)) AS us FROM feat),
+bound AS (SELECT CASE WHEN count(*) FILTER (us < {cut}) > 0 AND count(*) FILTER (us >= {cut}) > 0 THEN CAST({cut} AS DOUBLE)
+    ELSE quantile_cont(us, 0.75) END AS b FROM us),
+split AS (SELECT us.*, b, CASE WHEN us >= b THEN 1 ELSE 0 END AS is_test FROM us, bound)"""
+LATE_CUT = SPLIT.format(cut="epoch_us(TIMESTAMP '2026-08-01')")
+MID_CUT = SPLIT.format(cut="epoch_us(TIMESTAMP '1995-02-15')")
+
+
+@query("tri5_temporal_split_fallback", sql(f"SELECT ad_id, {big('is_test')} AS is_test, CAST(b AS BIGINT) AS boundary_us FROM split", LATE_CUT))
+def tri5(spark, d):
+    """The default cutoff lies after all first days, so the quantile decides."""
+    out = triage.temporal_split(frame(spark, d))
+    return out.select("ad_id", "is_test", F.unix_micros("boundary").alias("boundary_us"))
+
+
+@query("tri5_temporal_split_fixed", sql(f"SELECT ad_id, {big('is_test')} AS is_test, CAST(b AS BIGINT) AS boundary_us FROM split", MID_CUT))
+def tri5_fixed(spark, d):
+    out = triage.temporal_split(frame(spark, d), "1995-02-15")
+    return out.select("ad_id", "is_test", F.unix_micros("boundary").alias("boundary_us"))
+
+
+@query(
+    "tri5_split_status",
+    sql(f"SELECT {big('sum(1 - is_test)')} AS n_train, {big('sum(is_test)')} AS n_test, 'ok' AS status FROM split", LATE_CUT),
+)
+def tri5_status(spark, d):
+    return triage.split_status(triage.temporal_split(frame(spark, d))).select("n_train", "n_test", "status")
+
+
+def _rank(x, part=""):
+    return f"rank() OVER ({part}ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2"
+
+
+WITHIN = f"""big AS (SELECT campaign_id FROM feat GROUP BY 1 HAVING count(*) >= 3),
+sub AS (SELECT feat.*, e_icr - avg(e_icr) OVER (PARTITION BY campaign_id) AS e_c, late_icr - avg(late_icr) OVER (PARTITION BY campaign_id) AS l_c
+    FROM feat WHERE campaign_id IN (SELECT campaign_id FROM big)),
+rk AS (SELECT campaign_id, {_rank('e_icr')} AS r1, {_rank('late_icr')} AS r2, {_rank('e_c')} AS r3, {_rank('l_c')} AS r4 FROM sub)"""
+
+
+@query(
+    "tri6_within_campaign_signal",
+    sql(f"""SELECT {big('count(*)')} AS n_ads, {big('count(DISTINCT campaign_id)')} AS n_campaigns, corr(r1, r2) AS raw_rho,
+    corr(r3, r4) AS within_rho FROM rk""", WITHIN),
+    dp={"raw_rho": 6, "within_rho": 4},
+)
+def tri6(spark, d):
+    return triage.within_group_signal(frame(spark, d)).select("n_ads", "n_campaigns", "raw_rho", "within_rho")
+
+
+@query("tri6_within_campaign_p")
+def tri6_p(spark, d):
+    return triage.within_group_signal(frame(spark, d))
+
+
+@query(
+    "top7_early_rule",
+    sql("SELECT ad_id, e_icr <= (SELECT quantile_cont(e_icr, 0.25) FROM feat) AS flagged FROM feat"),
+)
+def top7(spark, d):
+    return triage.early_rule(frame(spark, d)).select("ad_id", "flagged")
+
+
+@query("tri7_label_threshold", sql("SELECT med AS threshold, CAST(sum(y) AS BIGINT) AS positives FROM lab, med GROUP BY 1"), dp={"threshold": 12})
+def tri7_threshold(spark, d):
+    f = frame(spark, d)
+    from spendlens.operators.ordering import exact_percentiles
+
+    middle = exact_percentiles(f, "late_icr", {"threshold": 0.5})
+    positives = stats.above_median(f, "late_icr", "y").agg(F.sum("y").alias("positives"))
+    return middle.crossJoin(F.broadcast(positives))
+
+
+MODEL_BOOT = 200
+
+
+def _evaluation(spark, d):
+    return triage.fit_and_evaluate(triage.temporal_split(frame(spark, d)), MODEL_BOOT)
+
+
+@query("tri7_logistic_triage")
+def tri7(spark, d):
+    return _evaluation(spark, d).metrics
+
+
+@query("tri7_coefficients")
+def tri7_coefficients(spark, d):
+    return _evaluation(spark, d).coefficients
+
+
+@query("tri7_calibration")
+def tri7_calibration(spark, d):
+    return _evaluation(spark, d).calibration
+
+
+@query(
+    "tri8_group_folds",
+    sql(f"""SELECT campaign_id, {big('CASE WHEN t < 5 THEN t ELSE 9 - t END')} AS fold, {big('n')} AS n FROM (
+    SELECT campaign_id, n, (row_number() OVER (ORDER BY n DESC, campaign_id) - 1) % 10 AS t FROM (
+    SELECT campaign_id, count(*) AS n FROM feat GROUP BY 1) x) y"""),
+)
+def tri8_folds(spark, d):
+    folds = triage.group_folds(frame(spark, d), "campaign_id")
+    return folds.groupBy("campaign_id").agg(F.max("fold").alias("fold"), F.count(F.lit(1)).alias("n"))
+
+
+UNI = f"""units AS (SELECT ad_id AS unit, e_icr AS s, y FROM lab),{poisson_ctes("units", "'rule_cv|' || unit", MODEL_BOOT)},
+{WEIGHTED_AUC.format(keys="")}, ci AS (SELECT {AUC_CI} FROM areas),
+auc AS (SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM (
+    SELECT y, {_rank('e_icr')} AS r FROM lab) x)"""
+
+
+@query(
+    "tri8_univariate_auc",
+    sql(f"SELECT 'rule_cv' AS evaluation, {big('n')} AS n, auc, auc_low, auc_high, auc_low > 0.5 AS above_chance FROM auc, ci", UNI),
+    dp={"auc": 9, "auc_low": 9, "auc_high": 9},
+)
+def tri8_univariate(spark, d):
+    labelled = stats.above_median(frame(spark, d), "late_icr", "y")
+    long = labelled.select("ad_id", "y", F.lit("rule_cv").alias("evaluation"), F.col("e_icr").alias("s"))
+    return triage.evaluation_rows(long, MODEL_BOOT)
+
+
+@query("tri8_grouped_cv_auc")
+def tri8(spark, d):
+    return triage.grouped_cv_auc(frame(spark, d), n_boot=MODEL_BOOT)
+
+
+@query("tri10_model_vs_rule")
+def tri10(spark, d):
+    """Cross-validated model and rule next to the temporal test, with the winner."""
+    f = frame(spark, d)
+    cv = triage.grouped_cv_auc(f, n_boot=MODEL_BOOT)
+    test = triage.fit_and_evaluate(triage.temporal_split(f), MODEL_BOOT).metrics
+    temporal = test.select(
+        F.lit("model_temporal").alias("evaluation"),
+        F.col("n_test").alias("n"),
+        F.col("auc_model").alias("auc"),
+        "auc_low",
+        "auc_high",
+        (F.col("auc_low") > 0.5).alias("above_chance"),
+    )
+    rows = cv.unionByName(temporal)
+    return rows.crossJoin(F.broadcast(triage.verdict(rows).select("winner")))
+
+
+CURVE = """ranked AS (SELECT ad_id, l_spend, l_ic, row_number() OVER (ORDER BY e_icr, ad_id, ad_name) AS r, count(*) OVER () AS n FROM feat),
+cuts AS (SELECT q, CAST(round_even((SELECT count(*) FROM feat) * q, 0) AS BIGINT) AS k FROM (VALUES (CAST(0.0 AS DOUBLE)), (0.1), (0.2), (0.25), (0.33), (0.4), (0.5)) v(q)),
+sums AS (SELECT q, k, coalesce(sum(CASE WHEN r <= k THEN l_spend END), 0) AS freed, coalesce(sum(CASE WHEN r <= k THEN l_ic END), 0) AS lost,
+    sum(CASE WHEN r > k THEN l_spend END) AS ks, sum(CASE WHEN r > k THEN l_ic END) AS ki, sum(l_ic) AS base FROM ranked, cuts GROUP BY 1, 2)"""
+CURVE_SQL = f"""SELECT q AS cut_fraction, k AS ads_cut, freed AS spend_freed, CAST(lost AS DOUBLE) AS conv_lost,
+    ki * power((ks + freed) / ks, 0.8) AS projected_conv, (ki * power((ks + freed) / ks, 0.8) / base - 1) * 100 AS gain_pct FROM sums"""
+CURVE_DP = {"spend_freed": 2, "projected_conv": 6, "gain_pct": 6}
+
+
+@query("tri9_decision_curve", sql(CURVE_SQL, CURVE), dp=CURVE_DP)
+def tri9(spark, d):
+    return triage.decision_curve(frame(spark, d), "e_icr")
+
+
+@query("win10_cumulative_cut", sql("SELECT q AS cut_fraction, k AS ads_cut, freed AS spend_freed FROM sums", CURVE), dp={"spend_freed": 2})
+def win10(spark, d):
+    return triage.decision_curve(frame(spark, d), "e_icr").select("cut_fraction", "ads_cut", "spend_freed")
+
+
+@query("tri9_model_decision_curve")
+def tri9_model(spark, d):
+    return triage.decision_curve(_evaluation(spark, d).scored.where("is_test = 1"), "p")

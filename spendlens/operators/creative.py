@@ -10,7 +10,7 @@ from spendlens.functions.scalars import name_has, or_zero, ratio, type_is, yes_o
 from spendlens.functions.text import TEXT_FEATURES, with_text_features
 from spendlens.operators import stats
 from spendlens.operators.ordering import exact_percentiles
-from spendlens.operators.sharing import shared
+from spendlens.operators.sharing import settled, shared
 from spendlens.operators.triage import evaluation_rows, fit_logistic, out_of_fold
 
 META_FEATURES = ("is_video", "is_reel")
@@ -81,8 +81,10 @@ def dataset(
     base = with_format_flags(with_creative(lifetime_performance(ads_daily, min_spend), creatives))
     base = with_text_features(base, "body").drop("body")
     if images is None:
-        return base.withColumns({f: F.lit(None).cast("double") for f in IMAGE_FEATURES})
-    return base.join(images.select("ad_id", *IMAGE_FEATURES), "ad_id", "left")
+        full = base.withColumns({f: F.lit(None).cast("double") for f in IMAGE_FEATURES})
+    else:
+        full = base.join(images.select("ad_id", *IMAGE_FEATURES), "ad_id", "left")
+    return settled(full, "creative")
 
 
 def dataset_status(df: DataFrame) -> DataFrame:

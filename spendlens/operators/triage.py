@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.scalars import creative_format, or_zero, ratio
 from spendlens.operators import bootstrap, stats
 from spendlens.operators.ordering import exact_percentiles, with_row_position, with_running_sums
-from spendlens.operators.sharing import shared
+from spendlens.operators.sharing import settled, shared
 
 # Model inputs and the cut fractions of the decision curve.
 FEATURES = ("log_icr", "log_atcr", "log_lpvr", "log_cpm", "log_spend", "is_reel")
@@ -86,7 +86,7 @@ def early_and_late(panel: DataFrame, early_days: int = 2, min_days: int = 5) ->
 def feature_frame(ads_daily: DataFrame, early_days: int = 2, min_days: int = 5) -> DataFrame:
     """The triage dataset: rates, late efficiency and log features per ad."""
     base = early_and_late(daily_panel(ads_daily), early_days, min_days)
-    base = shared(base.where("e_spend > 0 AND l_spend > 0"))
+    base = settled(base.where("e_spend > 0 AND l_spend > 0"), "triage")
     base = base.withColumns(
         {
             "e_icr": ratio("e_ic", "e_spend"),
@@ -107,7 +107,7 @@ def feature_frame(ads_daily: DataFrame, early_days: int = 2, min_days: int = 5)
             "is_reel": (F.col("format") == "reel").cast("int"),
         }
     )
-    return shared(out.drop("__cpm"))
+    return out.drop("__cpm")
 
 
 def temporal_split(
