@@ -259,7 +259,7 @@ def fit_logistic(train: DataFrame, features, label: str, c: float = 0.5) -> Logi
         elasticNetParam=0.0,
         standardization=False,
         maxIter=2000,
-        tol=1e-8,
+        tol=1e-6,
     ).fit(assembled)
     return LogisticFit(
         features, means, scales, [float(v) for v in fitted.coefficients], float(fitted.intercept)
