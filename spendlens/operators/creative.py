@@ -10,7 +10,7 @@ from spendlens.functions.scalars import name_has, or_zero, ratio, type_is, yes_o
 from spendlens.functions.text import TEXT_FEATURES, with_text_features
 from spendlens.operators import stats
 from spendlens.operators.ordering import exact_percentiles
-from spendlens.operators.sharing import settled, shared
+from spendlens.operators.sharing import settled
 from spendlens.operators.triage import evaluation_rows, fit_logistic, out_of_fold
 
 META_FEATURES = ("is_video", "is_reel")
@@ -114,7 +114,7 @@ def associations(df: DataFrame, target: str, features=ALL_FEATURES, min_rows: in
     Campaign means come from the rows of campaigns with two ads or more; each
     mean ignores the missing values of its own column. Two BH families.
     """
-    long = shared(long_features(df, target, features))
+    long = long_features(df, target, features)
     sizes = (
         df.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("__size")).where("__size >= 2")
     )
@@ -135,7 +135,7 @@ def associations(df: DataFrame, target: str, features=ALL_FEATURES, min_rows: in
             (F.col("y") - F.col("__my")).alias("y"),
         )
     )
-    both = shared(raw.unionByName(within))
+    both = settled(raw.unionByName(within), "pairs")
     usable = (
         both.groupBy("scope", "feature")
         .agg(F.count(F.lit(1)).alias("__n"), F.stddev_pop("x").alias("__sd"))
@@ -144,7 +144,7 @@ def associations(df: DataFrame, target: str, features=ALL_FEATURES, min_rows: in
     rho = stats.spearman(both, "x", "y", ["scope", "feature"]).join(
         F.broadcast(usable.select("scope", "feature")), ["scope", "feature"]
     )
-    rho = shared(rho)
+    rho = settled(rho, "rho")  # one row per scope and feature
     outer = rho.where("scope = 'raw'").select("feature", "n", "rho", "p_value")
     inner = rho.where("scope = 'within'").select(
         "feature", F.col("rho").alias("rho_within"), F.col("p_value").alias("p_within")
@@ -262,8 +262,8 @@ class _ImputedLogistic:
 
 def logistic_cv(df: DataFrame, target: str, n_splits: int = 5, n_boot: int = 2000, features=ALL_FEATURES):
     """Grouped cross-validated AUC of a logistic model for an above-median target."""
-    base = shared(stats.above_median(df, target, "y"))
-    chosen = usable_features(base, features)
+    base = stats.above_median(df, target, "y")
+    chosen = usable_features(df, features)
     scored = out_of_fold(base, chosen, "y", "campaign_id", n_splits, _ImputedLogistic)
     long = scored.where("oof IS NOT NULL").select(
         "ad_id", "y", F.lit("logistic").alias("evaluation"), F.col("oof").alias("s")
@@ -287,7 +287,7 @@ def boosted_cv(
     from spendlens.operators.triage import group_folds
 
     base = stats.above_median(df, target, "y")
-    folded = shared(group_folds(base, "campaign_id", n_splits))
+    folded = settled(group_folds(base, "campaign_id", n_splits), "folds")
     chosen = usable_features(folded, features)
     stats_by_fold = {
         r["fold"]: (r["pos"], r["n"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.scalars import ratio, segment_label
 from spendlens.operators import bootstrap, stats
-from spendlens.operators.sharing import settled, shared
+from spendlens.operators.sharing import settled
 from spendlens.schema import HOUR_RANGE
 
 DEFAULT_OUTCOME = "initiate_checkout"
@@ -111,7 +111,7 @@ def rank_segments(
     units = settled(
         bootstrap.cluster_units(rows, dims, "cluster_id", "conversions", "spend"), "units"
     )
-    grouped = shared(
+    grouped = settled(
         with_expectation(
             units.groupBy(*dims).agg(
                 F.sum("S").alias("spend"),
@@ -119,7 +119,8 @@ def rank_segments(
                 F.sum("n_rows").alias("n_rows"),
                 F.count("cluster_id").alias("__clusters"),
             )
-        ).where("total_spend > 0 AND total_conversions > 0")
+        ).where("total_spend > 0 AND total_conversions > 0"),
+        "segments",
     )
     keep = (F.col("expected") >= min_expected) & (
         F.col("spend") >= F.lit(min_spend_share) * F.col("total_spend")
@@ -183,7 +184,7 @@ def rank_segments(
         "rate_ci_low", "rate_ci_high", "p_value", "q_value", "significant",
         "cpc_ci_low", "cpc_ci_high",
     ]
-    scored = shared(scored.select(*columns))
+    scored = settled(scored.select(*columns), "scored")
     counts = grouped.agg(
         F.max("total_spend").alias("total_spend"),
         F.max("total_conversions").alias("total_conversions"),

@@ -164,8 +164,8 @@ def within_group_signal(
 
     One row; below ``min_rows`` only the counts are filled.
     """
-    sub = shared(
-        stats.centred(df, group, {"e_c": "e_icr", "l_c": "late_icr"}, min_size=min_ads)
+    sub = settled(
+        stats.centred(df, group, {"e_c": "e_icr", "l_c": "late_icr"}, min_size=min_ads), "centred"
     )
     sizes = sub.agg(
         F.count(F.lit(1)).alias("n_ads"), F.countDistinct(group).alias("n_campaigns")
@@ -281,17 +281,18 @@ def fit_and_evaluate(split: DataFrame, n_boot: int = 2000, features=FEATURES) ->
     The label threshold is the training median, applied unchanged to the test ads.
     """
     spark = split.sparkSession
-    split = shared(split)
+    split = settled(split, "split")
     if split_status(split).first()["status"] != "ok":
         return None
     middle = exact_percentiles(split.where("is_test = 0"), "late_icr", {"threshold": 0.5})
-    labelled = shared(
+    labelled = settled(
         split.crossJoin(F.broadcast(middle)).withColumn(
             "y", (F.col("late_icr") > F.col("threshold")).cast("int")
-        )
+        ),
+        "labelled",
     )
     fit = fit_logistic(labelled.where("is_test = 0"), features, "y")
-    scored = shared(labelled.withColumn("p", fit.score()))
+    scored = labelled.withColumn("p", fit.score())
     test = scored.where("is_test = 1")
     areas = stats.exact_auc(
         scored.select(
@@ -350,7 +351,7 @@ def out_of_fold(
     df: DataFrame, features, label: str, group: str, n_splits: int = 5, fit=fit_logistic
 ) -> DataFrame:
     """Scores from models that never saw the row's group; one-class folds are skipped."""
-    folded = shared(group_folds(df, group, n_splits))
+    folded = settled(group_folds(df, group, n_splits), "folds")
     classes = {
         r["fold"]: (r["pos"], r["n"])
         for r in folded.groupBy("fold")
@@ -374,7 +375,7 @@ def grouped_cv_auc(
 ) -> DataFrame:
     """Model and single-rule AUC on out-of-fold scores, one row per evaluation."""
     labelled = stats.above_median(df, "late_icr", "y")
-    scored = shared(out_of_fold(labelled, FEATURES, "y", group, n_splits).where("oof IS NOT NULL"))
+    scored = out_of_fold(labelled, FEATURES, "y", group, n_splits).where("oof IS NOT NULL")
     long = scored.select(
         "ad_id",
         "y",
@@ -390,7 +391,7 @@ def grouped_cv_auc(
 
 def evaluation_rows(long: DataFrame, n_boot: int, min_rows: int = 20) -> DataFrame:
     """(evaluation, s, y, ad_id) to AUC with interval and an above-chance flag."""
-    long = shared(long)
+    long = settled(long, "evaluated")
     areas = stats.exact_auc(long, "s", "y", ["evaluation"])
     ci = bootstrap.auc_interval(long, "ad_id", "s", "y", n_boot, keys=["evaluation"])
     out = areas.join(ci, "evaluation").where(F.col("n_pos") + F.col("n_neg") >= min_rows)
