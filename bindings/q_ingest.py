@@ -367,7 +367,7 @@ def set1(spark, d):
 )
 def src7(spark, d):
     names = ["ads_daily", "ads_by_region", "campaigns_by_hour"]
-    return wh.catalog_profile({n: tb.views(spark, d)[n] for n in names})
+    return wh.catalog_profile(tb.views(spark, d, names))
 
 
 LEDGER = """ledger AS (SELECT 'base' AS pass, strftime(date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS rows FROM ads_daily GROUP BY 2

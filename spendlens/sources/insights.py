@@ -37,9 +37,10 @@ def action_index(actions) -> Column:
     """Action list as a map; of duplicate types the last entry wins.
 
     Earlier duplicates are removed before the map is built, so the result does
-    not depend on the session's map-key policy.
+    not depend on the session's map-key policy; lists without any skip that step.
     """
     entries = valid_actions(actions)
+    keys = F.transform(entries, lambda e: e["key"])
     last_only = F.filter(
         F.transform(entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
         lambda p: ~F.exists(
@@ -47,7 +48,10 @@ def action_index(actions) -> Column:
             lambda later: later["key"] == p["e"]["key"],
         ),
     )
-    return F.map_from_entries(F.transform(last_only, lambda p: p["e"]))
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.map_from_entries(
+        F.when(unique, entries).otherwise(F.transform(last_only, lambda p: p["e"]))
+    )
 
 
 def action_value(actions, action: str) -> Column:
