@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,14 @@ from spendlens.functions.text import TEXT_FEATURES, with_text_features
 from spendlens.operators import stats
 from spendlens.operators.ordering import exact_percentiles
 from spendlens.operators.sharing import settled
-from spendlens.operators.triage import evaluation_rows, fit_logistic, out_of_fold
+from spendlens.operators.triage import (
+    evaluation_rows,
+    fit_logistic,
+    group_folds,
+    out_of_fold,
+    per_fold,
+    usable_folds,
+)
 
 META_FEATURES = ("is_video", "is_reel")
 ALL_FEATURES = (*TEXT_FEATURES, *IMAGE_FEATURES, *META_FEATURES)
@@ -284,19 +293,9 @@ def boosted_cv(
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from spendlens.operators.triage import group_folds
-
     base = stats.above_median(df, target, "y")
     folded = settled(group_folds(base, "campaign_id", n_splits), "folds")
     chosen = usable_features(folded, features)
-    stats_by_fold = {
-        r["fold"]: (r["pos"], r["n"])
-        for r in folded.groupBy("fold")
-        .agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    positives = sum(p for p, _ in stats_by_fold.values())
-    rows = sum(n for _, n in stats_by_fold.values())
     learner = GBTClassifier(
         featuresCol="x",
         labelCol="y",
@@ -307,25 +306,18 @@ def boosted_cv(
         seed=0,
     )
     assembler = VectorAssembler(inputCols=list(chosen), outputCol="x")
-    parts = []
-    for fold, (pos, n) in sorted(stats_by_fold.items()):
-        if positives - pos in (0, rows - n):
-            continue
+    keep = ["ad_id", "y", *chosen]
+
+    def score_fold(fold):
         train = folded.where(F.col("fold") != fold)
         medians = _imputed(train, chosen)
-        keep = ["ad_id", "y", *chosen]
-        model = learner.fit(
-            assembler.transform(_fill(train.select(*keep), medians)).select(
-                F.col("y").cast("double").alias("y"), "x"
-            )
-        )
+        rows = assembler.transform(_fill(train.select(*keep), medians))
+        model = learner.copy().fit(rows.select(F.col("y").cast("double").alias("y"), "x"))
         held = assembler.transform(_fill(folded.where(F.col("fold") == fold).select(*keep), medians))
-        parts.append(
-            model.transform(held).select(
-                "ad_id", "y", vector_to_array("probability")[1].alias("s")
-            )
+        return model.transform(held).select(
+            "ad_id", "y", vector_to_array("probability")[1].alias("s")
         )
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+
+    empty = folded.where("false").select("ad_id", "y", F.lit(0.0).alias("s"))
+    scored = reduce(DataFrame.unionByName, per_fold(score_fold, usable_folds(folded, "y")), empty)
     return evaluation_rows(scored.withColumn("evaluation", F.lit("gradient_boosting")), n_boot)

@@ -347,25 +347,43 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
     return df.join(dealt, group)
 
 
+def per_fold(work, folds):
+    """Run the fits of several folds side by side; each fit is a series of Spark jobs.
+
+    Results come back in fold order. At most five fits share the cluster.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    folds = list(folds)
+    if not folds:
+        return []
+    with ThreadPool(min(5, len(folds))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), folds)
+
+
+def usable_folds(folded: DataFrame, label: str) -> list[int]:
+    """Folds whose training side holds both classes (one summary row per fold)."""
+    rows = folded.groupBy("fold").agg(
+        F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")
+    ).collect()
+    pos, n = sum(r["pos"] for r in rows), sum(r["n"] for r in rows)
+    return sorted(
+        r["fold"] for r in rows if 0 < pos - r["pos"] < n - r["n"]
+    )
+
+
 def out_of_fold(
     df: DataFrame, features, label: str, group: str, n_splits: int = 5, fit=fit_logistic
 ) -> DataFrame:
     """Scores from models that never saw the row's group; one-class folds are skipped."""
     folded = settled(group_folds(df, group, n_splits), "folds")
-    classes = {
-        r["fold"]: (r["pos"], r["n"])
-        for r in folded.groupBy("fold")
-        .agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    positives = sum(p for p, _ in classes.values())
-    rows = sum(n for _, n in classes.values())
+    folds = usable_folds(folded, label)
+    models = per_fold(lambda fold: fit(folded.where(F.col("fold") != fold), features, label), folds)
     score = F.lit(None).cast("double")
-    for fold, (pos, n) in sorted(classes.items()):
-        inside = positives - pos
-        if inside == 0 or inside == rows - n:
-            continue
-        model = fit(folded.where(F.col("fold") != fold), features, label)
+    for fold, model in zip(folds, models):
         score = F.when(F.col("fold") == fold, model.score()).otherwise(score)
     return folded.withColumn("oof", score)
 
