@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, mixing, sharding
+from spendlens.llm import decontaminate, mixing, sharding, toxicity
 from spendlens.llm.common import table
 
 
+def op2_ftrl_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
@@ -29,7 +34,7 @@ def op10_pivotal_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         fn.__name__: fn
-        for fn in (op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
+        for fn in (op2_ftrl_toxicity, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
     }
 
 
