@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, mixing, sharding, toxicity
+from spendlens.llm import decontaminate, mixing, neardup, sharding, toxicity
 from spendlens.llm.common import table
 
 
+def op1_bagminhash_neardup(spark, sf_dir):
+    return neardup.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_ftrl_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.classify(docs, table(spark, sf_dir, "labels"))
@@ -34,9 +38,9 @@ def op10_pivotal_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         fn.__name__: fn
-        for fn in (op2_ftrl_toxicity, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
+        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_array_decontamination": decontaminate.ORACLE}
+    return {"op1_bagminhash_neardup": neardup.ORACLE, "op7_suffix_array_decontamination": decontaminate.ORACLE}
