@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, mixing, neardup, sharding, toxicity
+from spendlens.llm import decontaminate, html_text, mixing, neardup, sharding, toxicity
 from spendlens.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_ftrl_toxicity(spark, sf_dir):
     return toxicity.classify(docs, table(spark, sf_dir, "labels"))
 
 
+def op3_crf_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_suffix_array_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
@@ -38,7 +42,7 @@ def op10_pivotal_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         fn.__name__: fn
-        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
+        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
     }
 
 
