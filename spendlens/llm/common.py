@@ -17,8 +17,10 @@ class Workspace:
     never repeats what made it. ``drop`` removes copies whose readers are done.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batches: bool = False):
         self.spark, self.name, self.paths = spark, name, {}
+        if batches:
+            small_batches(spark)
 
     def path(self, step: str) -> str:
         return scratch_path(self.spark, f"{self.name}-{step}")
@@ -38,6 +40,12 @@ class Workspace:
             target.getFileSystem(conf).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once: whole texts are long, and ten thousand of them too many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
