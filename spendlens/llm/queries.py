@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, fingerprint, html_text, lm_score, mixing, neardup, sharding, toxicity
+from spendlens.llm import decontaminate, fingerprint, html_text, licenses, lm_score, mixing, neardup, sharding, toxicity
 from spendlens.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_suffix_array_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op8_dice_licence_scan(spark, sf_dir):
+    return licenses.best(licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op9_hypergeometric_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
@@ -50,7 +54,7 @@ def op10_pivotal_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         fn.__name__: fn
-        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op5_iblt_fingerprints, op6_backoff_lm_score, op7_suffix_array_decontamination, op9_hypergeometric_sharding, op10_pivotal_mixing)
+        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op5_iblt_fingerprints, op6_backoff_lm_score, op7_suffix_array_decontamination, op8_dice_licence_scan, op9_hypergeometric_sharding, op10_pivotal_mixing)
     }
 
 
