@@ -10,7 +10,9 @@ before they are shuffled, so a node with a third of all links is no hot task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import Workspace
@@ -51,3 +53,73 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ws.drop(*hops)
     least = end.groupBy("to").agg(F.min("node").alias("root"))
     return end.join(least, "to").select("node", "root")
+
+
+def resolve(
+    ws: Workspace,
+    nodes: DataFrame,
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None = None,
+    first: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
+    """``key, root`` of the keys that are linked, given ``bucket, key`` of all candidates.
+
+    ``verify`` takes pairs ``a, b`` (a < b) and returns those that are links.
+    ``near`` is a cheap test that links pass, on columns of ``nodes`` (by key) with
+    the two given prefixes; ``first`` is true in one of the buckets that two keys
+    share and may use the bucket's other columns, given without prefix.
+
+    Every two keys of a bucket are decided or end in one component, but not as all
+    pairs: first each key with the smallest of its bucket; then components are
+    formed, that leader is done, and buckets that still hold several components
+    take more leaders (four, sixteen, ... expected, up to all). A bucket of close
+    copies is settled by its first leader. Buckets are never gathered: leaders meet
+    their bucket by a join that splits, and the cheap test is part of that join.
+    """
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in nodes.columns])
+    near = near or (lambda x, y: F.lit(True))
+    first = first or (lambda x, y: F.lit(True))
+    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).filter("size > 1")
+    led = ws.settle(buckets.join(several, "bucket").filter("key <> leader").drop("size"), "led")
+    at_leader = led.select("key", "leader").distinct()
+    tested = ws.settle(
+        at_leader.join(side("x"), F.col("key") == F.col("x_key"))
+        .join(side("y"), (F.col("leader") == F.col("y_key")) & near("x", "y")).select(*ordered("leader", "key")),
+        "pairs0",
+    )
+    links = ws.settle(verify(tested), "links0")
+    left = led.drop("leader")
+    held, k = [led, tested, links], 0
+    while True:
+        classes = components(links)
+        named = left.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+        k += 1
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
+        now = ws.settle(
+            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(4.0**k) / F.col("size")).drop("size"),
+            f"open{k}",
+        )
+        held.append(now)
+        if not now.limit(1).count():
+            ws.drop(*held)
+            return classes.select(F.col("node").alias("key"), "root")
+        wide = now.join(side("x"), F.col("key") == F.col("x_key")).drop("key")
+        leaders = (
+            now.filter("leads").select("bucket", "key", F.col("root").alias("lead_root"), F.lit(True).alias("led"))
+            .join(side("y"), F.col("key") == F.col("y_key")).drop("key")
+        )
+        # of two leaders, the pair is made once
+        once = ~F.col("leads") | (F.col("x_key") < F.col("y_key"))
+        fresh = (
+            wide.alias("w").join(leaders.alias("l"), (F.col("w.bucket") == F.col("l.bucket")) & (F.col("root") != F.col("lead_root")) & once & near("x", "y") & first("x", "y"))
+            .select(*ordered("x_key", "y_key")).distinct().join(tested, ["a", "b"], "left_anti")
+        )
+        fresh = ws.settle(fresh, f"pairs{k}")
+        more = ws.settle(verify(fresh), f"links{k}")
+        held += [fresh, more]
+        tested = tested.unionByName(fresh)
+        links = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        left = now.filter("not leads").drop("root", "leads")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, fingerprint, html_text, licenses, lm_score, mixing, neardup, sharding, toxicity
+from spendlens.llm import decontaminate, fingerprint, html_text, licenses, lines, lm_score, mixing, neardup, sharding, toxicity
 from spendlens.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_crf_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op4_simhash_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicate(docs, stored=True)
+
+
 def op5_iblt_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_pivotal_mixing(spark, sf_dir):
 def queries() -> dict:
     return {
         fn.__name__: fn
-        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op5_iblt_fingerprints, op6_backoff_lm_score, op7_suffix_array_decontamination, op8_dice_licence_scan, op9_hypergeometric_sharding, op10_pivotal_mixing)
+        for fn in (op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op4_simhash_line_dedup, op5_iblt_fingerprints, op6_backoff_lm_score, op7_suffix_array_decontamination, op8_dice_licence_scan, op9_hypergeometric_sharding, op10_pivotal_mixing)
     }
 
 
