@@ -140,7 +140,7 @@ def calendar(spark, d, months=37):
 
 @query("prj20_month_calendar", f"WITH {CALENDAR} SELECT * FROM cal", dates=("first", "last"))
 def prj20(spark, d):
-    return calendar(spark, d, 99)
+    return calendar(spark, d, funnel.RETENTION_MONTHS)
 
 
 @query(

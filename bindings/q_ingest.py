@@ -232,10 +232,10 @@ def prj8_props(spark, d):
 CREATIVE_COLS = [f.name for f in CREATIVE_SOURCE_SCHEMA.fields]
 
 
-@query("src3_creative_flatten", tb.with_tables("creatives", "SELECT * FROM creatives"))
+@query("src3_creative_flatten", tb.with_tables("creatives_or_none", "SELECT * FROM creatives_or_none"))
 def src3(spark, d):
     path = scratch_path(spark, "ads")
-    tb.creative_source(spark, d).write.json(path)
+    tb.creative_source(spark, d, missing=True).write.json(path)
     return cr.flatten_creatives(cr.read_creative_source(spark, path))
 
 
@@ -325,16 +325,29 @@ def snk1(spark, d):
     "snk2_csv_export",
     tb.with_tables(
         "ads_daily",
-        "SELECT ad_id, CAST(date AS VARCHAR) AS date, spend, initiate_checkout FROM ads_daily",
+        "SELECT ad_id, CAST(date AS VARCHAR) AS date, spend, initiate_checkout, CAST(NULL AS VARCHAR) AS note FROM ads_daily"
+        """ UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, md5('say "hi", ' || text || chr(10) || '"') FROM documents""",
     ),
     dp={"spend": 2},
 )
 def snk2(spark, d):
-    path = scratch_path(spark, "csv")
+    """Numbers, and free text with quotes, commas and line ends, written and read back."""
     daily = tb.ads_daily(spark, d).withColumn("actions_raw", F.lit("[]"))
-    write_csv(daily, path)
-    back = spark.read.schema(daily.drop("actions_raw").schema).option("header", True).csv(path)
-    return back.select("ad_id", F.col("date").cast("string").alias("date"), "spend", "initiate_checkout")
+    notes = tb.load(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("ad_id"),
+        F.concat(F.lit('say "hi", '), "text", F.lit('\n"')).alias("note"),
+    )
+    back = []
+    for name, table in (("csv", daily), ("notes", notes)):
+        path = scratch_path(spark, name)
+        write_csv(table, path)
+        kept = table.drop("actions_raw")
+        options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+        back.append(spark.read.schema(kept.schema).options(**options).csv(path))
+    numbers, words = back
+    words = words.select("ad_id", F.md5(F.col("note").cast("binary")).alias("note"))
+    out = numbers.select("ad_id", F.col("date").cast("string").alias("date"), "spend", "initiate_checkout")
+    return out.unionByName(words, allowMissingColumns=True)
 
 
 @query(
@@ -403,15 +416,22 @@ def src8(spark, d):
 
 # --- incremental --------------------------------------------------------------
 
+# the month a row landed in is its order's; every 97th date is unreadable, every 89th lies a month later
 INSIGHT_MONTHS = """SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n_rows,
-    sum({}) AS spend FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY 1"""
+    sum({}) AS spend, CAST(count(*) FILTER (o_orderkey % 97 = 0) AS BIGINT) AS undated,
+    CAST(count(*) FILTER (o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0) AS BIGINT) AS off_month FROM orders GROUP BY 1"""
 
 
 def land(spark, d, landing, keep, mode, spend=None):
-    rows = insight_rows(spark, d).where("date_start <> 'not a date'").where(keep)
+    months = tb.load(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("ad_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.when((F.col("o_orderkey") % 89 == 0) & (F.col("o_orderkey") % 97 != 0), F.add_months("o_orderdate", 1)).alias("later"),
+    )
+    rows = insight_rows(spark, d).join(months, "ad_id").where(keep)
+    rows = rows.withColumn("date_start", F.coalesce(F.date_format("later", "yyyy-MM-dd"), "date_start"))
     if spend is not None:
         rows = rows.withColumn("spend", spend)
-    rows = rows.withColumns({"pass": F.lit("base"), "month": F.substring("date_start", 1, 7)})
+    rows = rows.withColumn("pass", F.lit("base"))
     columns = [f.name for f in insight_schema(()).fields]
     rows.select(*columns, "pass", "month").write.partitionBy("pass", "month").mode(mode).option(
         "partitionOverwriteMode", "dynamic"
@@ -420,7 +440,9 @@ def land(spark, d, landing, keep, mode, spend=None):
 
 def _by_month(spark, root):
     return wh.scan_pass(spark, root, PASSES["base"]).groupBy("month").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("spend").alias("spend")
+        F.count(F.lit(1)).alias("n_rows"), F.sum("spend").alias("spend"),
+        F.count(F.when(F.col("date").isNull(), 1)).alias("undated"),
+        F.count(F.when(F.date_format("date", "yyyy-MM") != F.col("month"), 1)).alias("off_month"),
     )
 
 
@@ -428,9 +450,9 @@ def _by_month(spark, root):
 def inc1(spark, d):
     """Two landings, three stream runs: each month ends up stored exactly once."""
     landing, root, state = (scratch_path(spark, n) for n in ("landing", "raw", "state"))
-    land(spark, d, landing, "substr(date_start, 1, 4) < '1998'", "append")
+    land(spark, d, landing, "month < '1998'", "append")
     resume.ingest(spark, landing, root, state)
-    land(spark, d, landing, "substr(date_start, 1, 4) >= '1998'", "append")
+    land(spark, d, landing, "month >= '1998'", "append")
     resume.ingest(spark, landing, root, state)
     resume.ingest(spark, landing, root, state)
     return _by_month(spark, root)
@@ -447,10 +469,10 @@ def inc2(spark, d):
 
     landing, root = scratch_path(spark, "landing"), scratch_path(spark, "raw")
     land(spark, d, landing, "true", "append")
-    months = [r["month"] for r in spark.read.json(landing).select("month").distinct().collect()]
+    months = [r["month"] for r in spark.read.schema("month string").json(landing).select("month").distinct().collect()]
     resume.refresh(spark, landing, root, months, ["base"])
     doubled = F.format_string("%.2f", F.col("spend").cast("double") * 2)
-    land(spark, d, landing, "substr(date_start, 1, 4) = '2001'", "overwrite", doubled)
+    land(spark, d, landing, "substr(month, 1, 4) = '2001'", "overwrite", doubled)
     newest = tb.load(spark, d, "orders").agg(F.date_add(F.max("o_orderdate").cast("date"), 1).alias("today"))
     latest = [r["label"] for r in recent_months(month_calendar(newest, 12), 2).collect()]
     resume.refresh(spark, landing, root, latest, ["base"])

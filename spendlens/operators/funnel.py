@@ -271,14 +271,20 @@ def monthly_coverage(df: DataFrame) -> DataFrame:
 # --- calendar -----------------------------------------------------------------
 
 
-def month_calendar(anchor: DataFrame, months_back: int, today: str = "today") -> DataFrame:
+RETENTION_MONTHS = 37
+
+
+def month_calendar(anchor: DataFrame, months_back: int, today: str = "today", retention: int | None = RETENTION_MONTHS) -> DataFrame:
     """The last N months as (label, first, last), oldest first.
 
-    ``anchor`` is one row holding today's date; today itself is excluded, and
-    N is kept within 1..37. A month without any complete day is dropped.
+    ``anchor`` is one row holding today's date; today itself is excluded. A month
+    without any complete day is dropped. N is at least 1 and at most ``retention``,
+    the months the source keeps (None: no limit, for data that has landed); a
+    number outside raises an error.
     """
-    n = max(1, min(months_back, 37))
-    start = F.add_months(F.trunc(today, "month"), -(n - 1))
+    if months_back < 1 or (retention is not None and months_back > retention):
+        raise ValueError(f"months_back is {months_back}, but 1 to {retention or 'any'} are kept")
+    start = F.add_months(F.trunc(today, "month"), -(months_back - 1))
     months = anchor.select(
         F.col(today).alias("__t"),
         F.explode(

@@ -83,8 +83,8 @@ def recovered_actions(df: DataFrame, raw: str = "actions_raw") -> DataFrame:
     ).drop("__a")
 
 
-def flatten(df: DataFrame, spec: PassSpec) -> DataFrame:
-    """Insight rows to the tidy columns of a pass, with pinned types."""
+def flatten(df: DataFrame, spec: PassSpec, keep=()) -> DataFrame:
+    """Insight rows to the tidy columns of a pass, with pinned types; ``keep`` stays as it is."""
     counts = action_index(F.col("actions"))
     amounts = action_index(F.col("action_values"))
     staged = df.withColumns({"__counts": counts, "__amounts": amounts})
@@ -97,4 +97,4 @@ def flatten(df: DataFrame, spec: PassSpec) -> DataFrame:
             F.try_element_at("__amounts", F.lit(action)).alias(f"{action}_value"),
         ]
     columns += [F.col(b) for b in spec.breakdowns]
-    return staged.select(*columns, raw_payload(F.col("actions")).alias("actions_raw"))
+    return staged.select(*columns, raw_payload(F.col("actions")).alias("actions_raw"), *keep)

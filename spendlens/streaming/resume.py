@@ -10,39 +10,50 @@ correction and a unit split over several batches all give the same table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.schema import PASSES, insight_schema
 from spendlens.sinks.tables import write_pass
 from spendlens.sources.insights import flatten
 
 
-def _landed(reader, landing: str) -> DataFrame:
-    from pyspark.sql import types as T
-
+def _reader(reader, landing: str):
     schema = insight_schema()
     for key in ("pass", "month"):
         schema = schema.add(T.StructField(key, T.StringType()))
-    return reader.schema(schema).option("basePath", landing).json(landing)
+    return reader.schema(schema).option("basePath", landing)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def rebuild_units(spark: SparkSession, landing: str, units, root: str) -> None:
     """Rewrite the slices of the given (pass, month) units from their landed files.
 
-    At most one unit per pass and retained month, so ``units`` is a short list.
+    Only the folders of these units are listed and read. A unit replaces its own
+    slice and no other: rows stay in the month they landed in, also those dated
+    in another month or without a readable date. At most one unit per pass and
+    retained month, so ``units`` is a short list.
     """
+    unknown = sorted({str(p) for p, _ in units} - set(PASSES))
+    if unknown:
+        raise ValueError(f"landed files of unknown passes: {', '.join(unknown)}")
     for spec in PASSES.values():
-        months = [m for p, m in units if p == spec.name]
-        if not months:
-            continue
-        rows = _landed(spark.read, landing).where(
-            (F.col("pass") == spec.name) & F.col("month").isin(*months)
-        )
-        write_pass(flatten(rows, spec), root)
+        folders = [f"{landing}/pass={p}/month={m}" for p, m in units if p == spec.name]
+        folders = [f for f in folders if _exists(spark, f)]
+        if folders:
+            rows = _reader(spark.read, landing).json(folders)
+            write_pass(flatten(rows, spec, keep=["month"]), root)
 
 
 def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_batch: int | None = None):
-    """Process everything that has landed since the last call, then stop."""
+    """Process everything that has landed since the last call, then stop.
+
+    A unit touched by several batches of a run is rebuilt once for each of them.
+    Files of an unknown pass fail the batch, which leaves them to a later run.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -52,7 +63,7 @@ def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_b
         rebuild_units(batch.sparkSession, landing, touched, root)
 
     query = (
-        _landed(reader, landing)
+        _reader(reader, landing).json(landing)
         .writeStream.foreachBatch(take_in)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)

@@ -101,6 +101,33 @@ def test_csv_drops_raw_payload(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "full")).columns == ["ad_id", "actions_raw"]
 
 
+def test_csv_doubles_quotes(spark, tmp_path):
+    write_csv(spark.createDataFrame([('say "hi", you',)], "note string").coalesce(1), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("part-*")).read_text()
+    assert text == 'note\n"say ""hi"", you"\n'
+
+
+def test_units_replace_their_own_slice_only(spark, tmp_path):
+    """A July file with a row of August, and files with unreadable dates."""
+    landing, root = tmp_path / "landing", str(tmp_path / "raw")
+    land(landing, [insight("1", "2001-07-03"), insight("2", "2001-08-01"), insight("3", "never")], "2001-07")
+    land(landing, [insight("4", "2001-08-02"), insight("5", "2001-08-03"), insight("6", "never")], "2001-08")
+    resume.refresh(spark, str(landing), root, ["2001-07", "2001-08", "2001-09"], ["base", "region"])
+    resume.refresh(spark, str(landing), root, ["2001-07"], ["base"])
+
+    def stored():
+        return sorted((r["month"], r["ad_id"]) for r in wh.scan_pass(spark, root, BASE).select("month", "ad_id").collect())
+
+    assert stored() == [("2001-07", x) for x in "123"] + [("2001-08", x) for x in "456"]
+    other = landing / "pass=unheard" / "month=2001-07"
+    other.mkdir(parents=True)
+    (other / "a.json").write_text("{}")
+    with pytest.raises(Exception, match="unheard"):
+        resume.ingest(spark, str(landing), root, str(tmp_path / "state"))
+    with pytest.raises(Exception, match="unheard"):  # the failed batch is not taken as done
+        resume.ingest(spark, str(landing), root, str(tmp_path / "state"))
+
+
 def test_stream_resumes_and_corrects(spark, tmp_path):
     landing, root, state = tmp_path / "landing", str(tmp_path / "raw"), str(tmp_path / "state")
     land(landing, [insight("1", "2024-01-02"), insight("2", "2024-01-03")], "2024-01")
