@@ -84,24 +84,24 @@ def txt13(spark, d):
 
 # --- pictures -----------------------------------------------------------------
 
-PIXELS = """px AS (SELECT CAST(vec_id AS VARCHAR) AS ad_id, i, i % 4 AS x, i // 4 AS y,
-    least(255, greatest(0, floor((CAST(embedding[i * 3 + 3] AS DOUBLE) + 0.55) * 255))) / 255 AS r,
-    least(255, greatest(0, floor((CAST(embedding[i * 3 + 2] AS DOUBLE) + 0.55) * 255))) / 255 AS g,
-    least(255, greatest(0, floor((CAST(embedding[i * 3 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS b
-    FROM embeddings, (SELECT unnest(generate_series(0, 19)) AS i) s),
+PIXELS = """px AS (SELECT CAST(vec_id AS VARCHAR) AS ad_id, i, i % 16 AS x, i // 16 AS y,
+    least(255, greatest(0, floor((CAST(embedding[(i * 3 + 2) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS r,
+    least(255, greatest(0, floor((CAST(embedding[(i * 3 + 1) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS g,
+    least(255, greatest(0, floor((CAST(embedding[(i * 3) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS b
+    FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i) s),
 lum AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px),
 nb AS (SELECT *, lag(l) OVER h AS lf, lead(l) OVER h AS rt, lag(l) OVER v AS up, lead(l) OVER v AS dn FROM lum
     WINDOW h AS (PARTITION BY ad_id, y ORDER BY x), v AS (PARTITION BY ad_id, x ORDER BY y)),
 grad AS (SELECT *, CASE WHEN lf IS NULL THEN rt - l WHEN rt IS NULL THEN l - lf ELSE (rt - lf) / 2 END AS gx,
     CASE WHEN up IS NULL THEN dn - l WHEN dn IS NULL THEN l - up ELSE (dn - up) / 2 END AS gy FROM nb),
-feats AS (SELECT ad_id, CAST(4 AS DOUBLE) / 5 AS aspect_ratio, avg(l) AS brightness,
+feats AS (SELECT ad_id, CAST(16 AS DOUBLE) / 4 AS aspect_ratio, avg(l) AS brightness,
     avg(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END) AS saturation, stddev_pop(l) AS contrast,
     sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(power(avg(r - g), 2) + power(avg(0.5 * (r + g) - b), 2)) AS colorfulness,
     avg(sqrt(gx * gx + gy * gy)) AS edge_density, avg(CASE WHEN l < 0.25 THEN 1.0 ELSE 0.0 END) AS dark_ratio FROM grad GROUP BY 1)"""
 
 
 def picture_features(spark, d):
-    return im.image_features(im.decoded(tb.pictures(spark, d)))
+    return im.image_features(tb.pictures(spark, d))
 
 
 IMG_DP = {f: 6 for f in im.IMAGE_FEATURES}
@@ -113,14 +113,14 @@ def img(spark, d):
 
 
 @query(
-    "img8_stride_downscale",
-    f"""WITH {PIXELS} SELECT ad_id, CAST(2 AS BIGINT) AS w, CAST(3 AS BIGINT) AS h, avg(l) AS brightness FROM lum
-    WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY 1""",
+    "img8_block_downscale",
+    f"""WITH {PIXELS} SELECT ad_id, CAST(6 AS BIGINT) AS w, CAST(2 AS BIGINT) AS h, avg(l) AS brightness FROM (
+    SELECT ad_id, x // 3 AS bx, y // 3 AS by, avg(l) AS l FROM lum GROUP BY ALL) b GROUP BY 1""",
     dp={"brightness": 6},
 )
 def img8(spark, d):
-    """Five pixel rows against a limit of three: every second pixel is read."""
-    small = im.decoded(tb.pictures(spark, d), max_side=3)
+    """Sixteen columns against a limit of six: squares of three by three are averaged."""
+    small = im.decoded(tb.pictures(spark, d), max_side=6)
     lums = F.zip_with("r", "g", lambda r, g: F.lit(im.LUMA[0]) * r + F.lit(im.LUMA[1]) * g)
     lums = F.zip_with(lums, "b", lambda rg, b: rg + F.lit(im.LUMA[2]) * b)
     mean = F.aggregate(lums, F.lit(0.0), lambda a, v: a + v) / F.size("r")
@@ -129,7 +129,7 @@ def img8(spark, d):
 
 @query(
     "src5_picture_pixels",
-    f"WITH {PIXELS} SELECT ad_id, CAST(4 AS BIGINT) AS width, CAST(5 AS BIGINT) AS height, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px GROUP BY 1",
+    f"WITH {PIXELS} SELECT ad_id, CAST(16 AS BIGINT) AS width, CAST(4 AS BIGINT) AS height, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px GROUP BY 1",
     dp={"r": 6, "g": 6, "b": 6},
 )
 def src5(spark, d):
@@ -273,9 +273,9 @@ def cre7(spark, d):
 
 @query("cre3_logistic_cv")
 def cre3(spark, d):
-    return creative.logistic_cv(data(spark, d), "ctr", n_boot=100)
+    return creative.logistic_cv(data(spark, d), "ctr")
 
 
 @query("cre4_boosted_cv")
 def cre4(spark, d):
-    return creative.boosted_cv(data(spark, d), "ctr", n_boot=100)
+    return creative.boosted_cv(data(spark, d), "ctr")

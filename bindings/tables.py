@@ -64,7 +64,7 @@ PLACEMENT = {
 }
 REGION = {"region": "n_name"}
 
-PIXEL_SIDE = 4
+PIXEL_WIDTH, PIXEL_HEIGHT = 16, 4
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -157,14 +157,14 @@ def views(spark, d, names=tuple(VIEWS)) -> dict[str, DataFrame]:
     return {name: settled(VIEWS[name](spark, d), name) for name in names}
 
 
-def creative_source(spark, d) -> DataFrame:
-    """Documents as nested ad objects; every eleventh has no creative at all."""
+def creative_source(spark, d, missing: bool = False) -> DataFrame:
+    """Documents as nested ad objects; with ``missing``, every eleventh has no creative at all."""
     doc = F.col("doc_id")
     kind = F.when(doc % 3 == 0, "VIDEO").when(doc % 3 == 1, "SHARE").otherwise("PHOTO")
     nested = F.struct(
         F.concat(F.lit("c"), doc).alias("id"),
         F.concat(F.lit("copy "), F.col("lang")).alias("name"),
-        F.when(doc % 4 == 0, F.lit(None).cast("string")).otherwise(F.substring("text", 1, 12)).alias("title"),
+        F.when(doc % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("about "), "text")).alias("title"),
         F.col("text").alias("body"),
         F.when(doc % 5 == 0, "  ").when(doc % 5 == 1, F.concat(F.lit(" http://img/"), doc)).alias("image_url"),
         F.when(doc % 7 != 0, F.concat(F.lit("http://thumb/"), doc)).alias("thumbnail_url"),
@@ -178,7 +178,7 @@ def creative_source(spark, d) -> DataFrame:
         F.concat(F.lit("ad "), doc).alias("name"),
         F.when(doc % 2 == 0, "ACTIVE").otherwise("PAUSED").alias("status"),
         F.lit("2024-01-01T00:00:00+0000").alias("created_time"),
-        F.when(doc % 11 != 0, nested).alias("creative"),
+        (F.when(doc % 11 != 0, nested) if missing else nested).alias("creative"),
     )
 
 
@@ -189,16 +189,19 @@ def creatives(spark, d) -> DataFrame:
 
 
 def pictures(spark, d) -> DataFrame:
-    """Embeddings as 4 x 5 pictures in the layout of Spark's image source."""
+    """Embeddings as 16 x 4 pictures in the layout of Spark's image source.
+
+    64 pixels of three channels take each of the 64 values three times in turn.
+    """
     level = F.transform(
-        F.slice("embedding", 1, 60),
+        F.concat("embedding", "embedding", "embedding"),
         lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e + 0.55) * 255))).cast("int"),
     )
     text = F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")
     image = F.struct(
         F.concat(F.lit("mem:/"), F.col("vec_id"), F.lit(".jpg")).alias("origin"),
-        F.lit(5).alias("height"),
-        F.lit(PIXEL_SIDE).alias("width"),
+        F.lit(PIXEL_HEIGHT).alias("height"),
+        F.lit(PIXEL_WIDTH).alias("width"),
         F.lit(3).alias("nChannels"),
         F.lit(16).alias("mode"),
         F.unhex(text).alias("data"),
@@ -221,6 +224,24 @@ def _sql_pass(dims: dict, source: str, pixel: bool = True) -> str:
     return f"SELECT {', '.join(cols)} FROM {source} GROUP BY {group}"
 
 
+def _sql_creatives(has: str) -> str:
+    return (
+        f"SELECT CAST(doc_id AS VARCHAR) AS ad_id, 'ad ' || doc_id AS ad_name, "
+        f"CASE WHEN doc_id % 2 = 0 THEN 'ACTIVE' ELSE 'PAUSED' END AS ad_status, "
+        f"'2024-01-01T00:00:00+0000' AS created_time, "
+        f"CASE WHEN {has} THEN 'c' || doc_id END AS creative_id, "
+        f"CASE WHEN {has} THEN 'copy ' || lang END AS creative_name, "
+        f"CASE WHEN {has} AND doc_id % 4 <> 0 THEN 'about ' || text END AS title, "
+        f"CASE WHEN {has} THEN text END AS body, "
+        f"CASE WHEN {has} THEN CASE doc_id % 3 WHEN 0 THEN 'VIDEO' WHEN 1 THEN 'SHARE' ELSE 'PHOTO' END END AS object_type, "
+        f"CASE WHEN {has} THEN source END AS cta, "
+        f"CASE WHEN {has} THEN CASE doc_id % 3 WHEN 0 THEN 'v' || doc_id WHEN 1 THEN '' END END AS video_id, "
+        f"CASE WHEN {has} THEN CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' http://img/' || doc_id END END AS image_url, "
+        f"CASE WHEN {has} AND doc_id % 7 <> 0 THEN 'http://thumb/' || doc_id END AS thumbnail_url, "
+        f"CASE WHEN {has} THEN 's' || doc_id END AS story_id FROM documents"
+    )
+
+
 _LINES = "lineitem JOIN part ON l_partkey = p_partkey"
 _ORDERED = f"{_LINES} JOIN orders ON l_orderkey = o_orderkey"
 _BUYERS = f"{_ORDERED} JOIN customer ON o_custkey = c_custkey"
@@ -244,21 +265,8 @@ CTES = {
         "CAST(NULL AS BIGINT) AS video_view, CAST(NULL AS BIGINT) AS post_engagement "
         "FROM events GROUP BY 1, 2, 3"
     ),
-    "creatives": (
-        "SELECT CAST(doc_id AS VARCHAR) AS ad_id, 'ad ' || doc_id AS ad_name, "
-        "CASE WHEN doc_id % 2 = 0 THEN 'ACTIVE' ELSE 'PAUSED' END AS ad_status, "
-        "'2024-01-01T00:00:00+0000' AS created_time, "
-        "CASE WHEN doc_id % 11 <> 0 THEN 'c' || doc_id END AS creative_id, "
-        "CASE WHEN doc_id % 11 <> 0 THEN 'copy ' || lang END AS creative_name, "
-        "CASE WHEN doc_id % 11 <> 0 AND doc_id % 4 <> 0 THEN substr(text, 1, 12) END AS title, "
-        "CASE WHEN doc_id % 11 <> 0 THEN text END AS body, "
-        "CASE WHEN doc_id % 11 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'VIDEO' WHEN 1 THEN 'SHARE' ELSE 'PHOTO' END END AS object_type, "
-        "CASE WHEN doc_id % 11 <> 0 THEN source END AS cta, "
-        "CASE WHEN doc_id % 11 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'v' || doc_id WHEN 1 THEN '' END END AS video_id, "
-        "CASE WHEN doc_id % 11 <> 0 THEN CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' http://img/' || doc_id END END AS image_url, "
-        "CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN 'http://thumb/' || doc_id END AS thumbnail_url, "
-        "CASE WHEN doc_id % 11 <> 0 THEN 's' || doc_id END AS story_id FROM documents"
-    ),
+    "creatives": _sql_creatives("true"),
+    "creatives_or_none": _sql_creatives("doc_id % 11 <> 0"),
 }
 
 

@@ -1,15 +1,17 @@
 """Perceptual statistics of decoded images.
 
 Input rows follow the struct of Spark's image source (height, width, nChannels,
-data in BGR order). An image becomes one luminance array, so the gradient looks
-up its neighbours inside the row, and only pixel statistics that combine
-map-side leave the task: pixels are never shuffled.
+data in BGR order). Pictures are read in Arrow batches; each becomes one array
+and leaves as seven numbers, so pixels never become rows and are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 IMAGE_FEATURES = (
     "aspect_ratio",
@@ -22,126 +24,91 @@ IMAGE_FEATURES = (
 )
 # Luminance weights of red, green and blue.
 LUMA = (0.2126, 0.7152, 0.0722)
+MAX_SIDE = 320
 
 
-def luminance(r: Column, g: Column, b: Column) -> Column:
-    return F.lit(LUMA[0]) * r + F.lit(LUMA[1]) * g + F.lit(LUMA[2]) * b
-
-
-def _byte(data: Column, offset: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, offset.cast("int"), F.lit(1))), 16, 10).cast("double") / 255.0
+def pixels(height: int, width: int, channels: int, data: bytes, max_side: int = MAX_SIDE) -> np.ndarray:
+    """Red, green and blue of a picture in [0, 1], as height x width x 3.
 
-
-def decoded(images: DataFrame, max_side: int = 320) -> DataFrame:
-    """Image structs to (ad_id, width, height, w, h, r, g, b) with one array per channel.
-
-    Larger images are read at every k-th pixel so that no side exceeds
-    ``max_side``; gray images repeat their only channel. This is stride
-    sampling, not an antialiased resize.
+    A picture with a side over ``max_side`` is averaged over squares of k x k
+    pixels (smaller at the right and lower edge), k being the least that fits, so
+    that every pixel counts. A gray picture repeats its only channel.
     """
-    img = F.col("image")
-    height, width, channels = img.height, img.width, img.nChannels
-    step = F.greatest(F.lit(1), F.ceil(F.greatest(height, width) / F.lit(max_side))).cast("int")
-    shaped = images.where((height > 0) & (width > 0)).select(
-        "ad_id",
-        width.alias("width"),
-        height.alias("height"),
-        channels.alias("nc"),
-        img.data.alias("data"),
-        step.alias("step"),
-        F.ceil(width / step).cast("int").alias("w"),
-        F.ceil(height / step).cast("int").alias("h"),
+    raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    rgb = raw[:, :, 2::-1] if channels >= 3 else np.repeat(raw[:, :, :1], 3, axis=2)
+    step = max(1, -(-max(height, width) // max_side))
+    if step == 1:
+        return rgb / 255.0
+    rows, columns = np.arange(0, height, step), np.arange(0, width, step)
+    sums = np.add.reduceat(np.add.reduceat(rgb.astype(np.int64), rows, axis=0), columns, axis=1)
+    size = np.diff(np.append(rows, height))[:, None] * np.diff(np.append(columns, width))[None, :]
+    return sums / (255.0 * size[:, :, None])
+
+
+def luminance(rgb: np.ndarray) -> np.ndarray:
+    return LUMA[0] * rgb[:, :, 0] + LUMA[1] * rgb[:, :, 1] + LUMA[2] * rgb[:, :, 2]
+
+
+def _slope(values: np.ndarray, axis: int) -> np.ndarray:
+    """Central difference inside, one-sided at both ends, 0 on a single line."""
+    return np.gradient(values, axis=axis) if values.shape[axis] > 1 else np.zeros_like(values)
+
+
+def statistics(rgb: np.ndarray, ratio: float) -> tuple[float, ...]:
+    """The seven features of one picture, in the order of ``IMAGE_FEATURES``."""
+    r, g, b = rgb[:, :, 0], rgb[:, :, 1], rgb[:, :, 2]
+    lum, high, low = luminance(rgb), rgb.max(axis=2), rgb.min(axis=2)
+    saturation = np.divide(high - low, high, out=np.zeros_like(high), where=high > 0)
+    rg, yb = r - g, 0.5 * (r + g) - b
+    colorfulness = np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean())
+    edges = np.hypot(_slope(lum, 0), _slope(lum, 1))
+    return ratio, lum.mean(), saturation.mean(), lum.std(), colorfulness, edges.mean(), (lum < 0.25).mean()
+
+
+def _pictures(batch: pa.RecordBatch, max_side: int) -> Iterator[tuple]:
+    """(ad_id, width, height, pixels) of the readable pictures of a batch."""
+    images = batch.column(1)
+    height, width, channels = (images.field(f).to_pylist() for f in ("height", "width", "nChannels"))
+    for i, ad in enumerate(batch.column(0).to_pylist()):
+        if images[i].is_valid and (height[i] or 0) > 0 and (width[i] or 0) > 0:
+            yield ad, width[i], height[i], pixels(height[i], width[i], channels[i], images.field("data")[i].as_py(), max_side)
+
+
+def decoded(images: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+    """Image structs to (ad_id, width, height, w, h, r, g, b) with one array per channel."""
+
+    def run(batches):
+        for batch in batches:
+            for ad, width, height, rgb in _pictures(batch, max_side):
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {
+                            "ad_id": ad, "width": width, "height": height, "w": rgb.shape[1], "h": rgb.shape[0],
+                            "r": rgb[:, :, 0].ravel(), "g": rgb[:, :, 1].ravel(), "b": rgb[:, :, 2].ravel(),
+                        }
+                    ],
+                    schema=out,
+                )
+
+    channel = pa.list_(pa.float64())
+    out = pa.schema(
+        [("ad_id", pa.string()), *[(c, pa.int32()) for c in ("width", "height", "w", "h")], *[(c, channel) for c in "rgb"]]
     )
-    cells = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
-
-    def channel(k: int) -> Column:
-        shift = F.when(F.col("nc") >= 3, F.lit(k)).otherwise(F.lit(0))
-
-        def read(i):
-            row = F.floor(i / F.col("w")) * F.col("step")
-            column = (i % F.col("w")) * F.col("step")
-            return _byte(F.col("data"), (row * F.col("width") + column) * F.col("nc") + shift + 1)
-
-        return F.transform(cells, read)
-
-    return shaped.select(
-        "ad_id",
-        "width",
-        "height",
-        "w",
-        "h",
-        channel(2).alias("r"),
-        channel(1).alias("g"),
-        channel(0).alias("b"),
+    return images.select("ad_id", "image").mapInArrow(
+        run, "ad_id string, width int, height int, w int, h int, r array<double>, g array<double>, b array<double>"
     )
 
 
-def _gradient(at, position: Column, length: Column) -> Column:
-    """Central difference inside, one-sided at both ends, 0 on a single cell."""
-    return (
-        F.when(length < 2, F.lit(0.0))
-        .when(position == 0, at(1) - at(0))
-        .when(position == length - 1, at(0) - at(-1))
-        .otherwise((at(1) - at(-1)) / 2)
-    )
+def image_features(images: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+    """The seven features per picture; unreadable ones give no row."""
 
+    def run(batches):
+        for batch in batches:
+            rows = [(ad, *statistics(rgb, width / height)) for ad, width, height, rgb in _pictures(batch, max_side)]
+            columns = list(zip(*rows)) if rows else [()] * (1 + len(IMAGE_FEATURES))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), *[pa.array([float(x) for x in c], pa.float64()) for c in columns[1:]]],
+                names=["ad_id", *IMAGE_FEATURES],
+            )
 
-def image_features(frames: DataFrame) -> DataFrame:
-    """The seven features per ad from channel arrays (see ``decoded``)."""
-    lum = F.zip_with(
-        F.zip_with("r", "g", lambda r, g: F.lit(LUMA[0]) * r + F.lit(LUMA[1]) * g),
-        "b",
-        lambda rg, b: rg + F.lit(LUMA[2]) * b,
-    )
-    packed = frames.withColumn("lum", lum)
-    pixels = packed.select(
-        "ad_id",
-        "width",
-        "height",
-        "w",
-        "h",
-        "lum",
-        F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "px"),
-    ).select(
-        "ad_id",
-        "width",
-        "height",
-        "lum",
-        "i",
-        "w",
-        "h",
-        (F.col("i") % F.col("w")).alias("x"),
-        F.floor(F.col("i") / F.col("w")).cast("int").alias("y"),
-        F.col("px.r").alias("r"),
-        F.col("px.g").alias("g"),
-        F.col("px.b").alias("b"),
-    )
-
-    def cell(offset: Column) -> Column:
-        return F.get("lum", (F.col("i") + offset).cast("int"))
-
-    gx = _gradient(lambda d: cell(F.lit(d)), F.col("x"), F.col("w"))
-    gy = _gradient(lambda d: cell(F.lit(d) * F.col("w")), F.col("y"), F.col("h"))
-    high = F.greatest("r", "g", "b")
-    low = F.least("r", "g", "b")
-    here = cell(F.lit(0))
-    facts = pixels.select(
-        "ad_id",
-        (F.col("width") / F.col("height")).alias("ratio"),
-        here.alias("l"),
-        F.when(high > 0, (high - low) / F.nullif(high, F.lit(0.0))).otherwise(F.lit(0.0)).alias("sat"),
-        (F.col("r") - F.col("g")).alias("rg"),
-        (F.lit(0.5) * (F.col("r") + F.col("g")) - F.col("b")).alias("yb"),
-        F.sqrt(gx * gx + gy * gy).alias("edge"),
-    )
-    spread = F.sqrt(F.var_pop("rg") + F.var_pop("yb"))
-    offset = F.sqrt(F.avg("rg") * F.avg("rg") + F.avg("yb") * F.avg("yb"))
-    return facts.groupBy("ad_id").agg(
-        F.max("ratio").alias("aspect_ratio"),
-        F.avg("l").alias("brightness"),
-        F.avg("sat").alias("saturation"),
-        F.stddev_pop("l").alias("contrast"),
-        (spread + F.lit(0.3) * offset).alias("colorfulness"),
-        F.avg("edge").alias("edge_density"),
-        F.avg((F.col("l") < 0.25).cast("double")).alias("dark_ratio"),
-    )
+    return images.select("ad_id", "image").mapInArrow(run, "ad_id string, " + ", ".join(f"{f} double" for f in IMAGE_FEATURES))

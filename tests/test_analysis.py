@@ -63,7 +63,8 @@ def test_no_outcome_gives_typed_empty_results(spark):
     df = spark.createDataFrame([("x", "a", 5.0, None)], "dim string, ad_id string, spend double, conv int")
     out = segments.rank_segments(df, ["dim"], outcome="conv", n_boot=20)
     assert out.scored.count() == 0 and "q_value" in out.scored.columns
-    assert out.summary.first()["global_rate"] == 0.0
+    summary = out.summary.first()
+    assert summary["global_rate"] == 0.0 and summary["total_spend"] == 5.0 and summary["n_tested"] == 0
     moved = reallocation.simulate(out.scored)
     assert moved.totals.count() == 0 and moved.donors.count() == 0
 
@@ -232,13 +233,27 @@ def test_image_features_from_files(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"not a picture")
     images = read_thumbnails(spark, str(tmp_path))
     assert images.count() == 4
-    got = {r["ad_id"]: r for r in im.image_features(im.decoded(images)).collect()}
+    got = {r["ad_id"]: r for r in im.image_features(images).collect()}
     assert set(got) == set(pics)  # the unreadable file yields no features
     for name, px in pics.items():
         for feature, want in brute_features(np.asarray(px, dtype=float)).items():
             assert got[name][feature] == pytest.approx(want, abs=1e-9), (name, feature)
 
 
+def test_large_pictures_average_every_pixel():
+    import time
+
+    rng = np.random.default_rng(1)
+    px = rng.integers(0, 256, (7, 10, 3)).astype(np.uint8)
+    got = im.pixels(7, 10, 3, px[:, :, ::-1].tobytes(), max_side=4)
+    assert got.shape == (3, 4, 3)
+    assert got[0, 0] == pytest.approx(px[:3, :3].mean(axis=(0, 1)) / 255) and got[2, 3] == pytest.approx(px[6, 9] / 255)
+    big = rng.integers(0, 256, (320, 320, 3)).astype(np.uint8).tobytes()
+    start = time.process_time()
+    im.statistics(im.pixels(320, 320, 3, big), 1.0)
+    assert time.process_time() - start < 0.1
+
+
 def test_associations_centre_within_campaigns(spark):
     rng = np.random.default_rng(8)
     rows = []
