@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from bindings import tables as tb
 from bindings.q_funnel import big
 from bindings.registry import query
-from bindings.sql_draws import multinomial_ctes, poisson_ctes
+from bindings.sql_draws import key_text, multinomial_ctes, poisson_ctes
 from spendlens.operators import reallocation, segments
 from spendlens.plans import published, star
 from spendlens.schema import HOUR_RANGE
 
-N_BOOT = 60
+N_BOOT = 2000
 # family -> (view, dimensions, cluster column, outcome)
 BINDINGS = {
     "age_gender": ("ads_by_age_gender", ("age", "gender"), "ad_id", "initiate_checkout"),
@@ -33,13 +33,13 @@ def segment_ctes(family: str, mode: str, min_expected: float = 5.0, min_share: f
     view, dims, cluster, outcome = BINDINGS[family]
     dim_list = ", ".join(dims)
     label = " || ' / ' || ".join(f"coalesce({c}, 'nan')" for c in dims)
-    stratum = " || '|' || ".join(dims)
+    stratum = key_text(*dims)
     known = " AND ".join(f"{c} IS NOT NULL" for c in dims)
     if mode == "poisson":
-        boot = poisson_ctes("boot_units", "stratum || '|' || unit", N_BOOT)
+        boot = poisson_ctes("boot_units", "stratum || " + key_text("unit"), N_BOOT)
         rates = "SELECT stratum, b, sum(w * C) / nullif(sum(w * S), 0) AS rate FROM boot_w GROUP BY 1, 2"
     else:
-        boot = multinomial_ctes("boot_units", "stratum", "unit", N_BOOT)
+        boot = multinomial_ctes("boot_units", "stratum", "unit", N_BOOT, text="stratum")
         rates = "SELECT st AS stratum, b, sum(C) / nullif(sum(S), 0) AS rate FROM boot_hit GROUP BY 1, 2"
     return f"""
 seg_rows AS (SELECT {dim_list}, {cluster} AS unit, CAST(spend AS DOUBLE) AS spend,
@@ -88,8 +88,8 @@ def _register(key, family, mode):
     return run
 
 
-_register("seg5_placement_ranking", "placement", "multinomial")
-_register("seg5_age_gender_ranking", "age_gender", "multinomial")
+_register("seg5_placement_ranking", "placement", "poisson")
+_register("seg5_age_gender_ranking", "age_gender", "poisson")
 _register("seg5_device_ranking", "device", "poisson")
 _register("seg5_region_ranking", "region", "poisson")
 _register("seg5_hourly_ranking", "hourly", "multinomial")
@@ -159,14 +159,21 @@ def seg7(spark, d):
     return ranking(spark, d, "placement", "poisson").summary
 
 
-@query("seg7_no_outcome", "SELECT CAST(NULL AS VARCHAR) AS segment, CAST(NULL AS DOUBLE) AS p_value FROM region WHERE false")
+@query(
+    "seg7_no_outcome",
+    tb.with_tables("ads_by_region", f"""SELECT sum(spend) AS total_spend, CAST(0 AS DOUBLE) AS total_conversions, CAST(0 AS DOUBLE) AS global_rate,
+    CAST(0 AS BIGINT) AS n_tested, CAST(0 AS BIGINT) AS n_excluded, CAST(0 AS BIGINT) AS n_scored FROM ads_by_region WHERE spend > 0"""),
+    dp={"total_spend": 2},
+)
 def seg7_empty(spark, d):
-    """Pixel checkouts by region do not exist: an empty, typed result."""
+    """Pixel checkouts by region do not exist: nothing is ranked, the account's spend stands."""
     view, dims, cluster, _ = BINDINGS["region"]
     out = segments.rank_segments(
         tb.ads_by_region(spark, d), dims, cluster=cluster, outcome="initiate_checkout", n_boot=N_BOOT, mode="poisson"
     )
-    return out.scored.select("segment", "p_value")
+    scored = out.scored.agg(F.count(F.lit(1)).alias("n_scored"))
+    totals = out.summary.select("total_spend", "total_conversions", "global_rate", "n_tested", "n_excluded")
+    return totals.crossJoin(F.broadcast(scored))
 
 
 @query("win5_spend_shares", sql("placement", "poisson", "SELECT segment, spend_share, expected FROM scored"), dp={"spend_share": 9, "expected": 6})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindings import tables as tb
 from bindings.q_funnel import PANEL, big, panel
 from bindings.registry import query
-from bindings.sql_draws import multinomial_ctes, poisson_ctes
+from bindings.sql_draws import key_text, multinomial_ctes, poisson_ctes
 from spendlens.operators import bootstrap, ordering, stats
 
 
@@ -230,7 +230,7 @@ def jn14(spark, d):
 
 # --- bootstrap ----------------------------------------------------------------
 
-N_BOOT = 100
+N_BOOT = 2000
 SEG_UNITS = """units AS (SELECT l_returnflag || '|' || l_linestatus AS seg, CAST(l_suppkey AS VARCHAR) AS unit,
     CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS DOUBLE) AS C, sum(l_extendedprice) AS S FROM lineitem GROUP BY 1, 2)"""
 CI = "quantile_cont(rate, 0.025) AS rate_ci_low, quantile_cont(rate, 0.975) AS rate_ci_high"
@@ -249,14 +249,14 @@ def seg_units(spark, d):
 @query(
     "sta4_row_bootstrap_ci",
     f"""WITH rows_ AS (SELECT 'all' AS stratum, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS C, o_totalprice AS S FROM orders),
-    {multinomial_ctes("rows_", "stratum", "o_orderkey", 50)},
+    {multinomial_ctes("rows_", "stratum", "o_orderkey", N_BOOT)},
     rates AS (SELECT b, sum(C) / sum(S) AS rate FROM boot_hit GROUP BY 1)
     SELECT {CI}, {big('count(rate)')} AS n_valid FROM rates""",
     dp={"rate_ci_low": 15, "rate_ci_high": 15},
 )
 def sta4(spark, d):
     rows = tb.load(spark, d, "orders").withColumn("c", (F.col("o_orderstatus") == "F").cast("double"))
-    return bootstrap.row_bootstrap_interval(rows, "o_orderkey", "c", "o_totalprice", 50)
+    return bootstrap.row_bootstrap_interval(rows, "o_orderkey", "c", "o_totalprice", N_BOOT, mode="multinomial")
 
 
 @query(
@@ -269,7 +269,7 @@ def sta5_multinomial(spark, d):
     return bootstrap.bootstrap_rates(seg_units(spark, d), ["seg"], "unit", N_BOOT, mode="multinomial")
 
 
-POISSON_RATES = f"""{SEG_UNITS}, {poisson_ctes("units", "seg || '|' || unit", N_BOOT)},
+POISSON_RATES = f"""{SEG_UNITS}, {poisson_ctes("units", key_text("seg", "unit"), N_BOOT)},
     rates AS (SELECT seg, b, sum(w * C) / sum(w * S) AS rate FROM boot_w GROUP BY 1, 2)"""
 
 
@@ -323,7 +323,7 @@ AUC_CI = "quantile_cont(auc, 0.025) AS auc_low, quantile_cont(auc, 0.975) AS auc
 
 @query(
     "sta10_bootstrap_auc_ci",
-    f"""WITH {AUC_UNITS}, {poisson_ctes("units", "unit", 50)}, {WEIGHTED_AUC.format(keys="")} SELECT {AUC_CI} FROM areas""",
+    f"""WITH {AUC_UNITS}, {poisson_ctes("units", key_text("unit"), N_BOOT)}, {WEIGHTED_AUC.format(keys="")} SELECT {AUC_CI} FROM areas""",
     dp={"auc_low": 9, "auc_high": 9},
 )
 def sta10(spark, d):
@@ -332,4 +332,4 @@ def sta10(spark, d):
         F.col("p_retailprice").alias("s"),
         (F.col("p_size") > 25).cast("int").alias("y"),
     )
-    return bootstrap.auc_interval(rows, "unit", "s", "y", 50)
+    return bootstrap.auc_interval(rows, "unit", "s", "y", N_BOOT)

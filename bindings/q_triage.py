@@ -8,7 +8,7 @@ from bindings import tables as tb
 from bindings.q_funnel import FORMAT, PANEL, big, panel
 from bindings.q_stats import AUC_CI, WEIGHTED_AUC
 from bindings.registry import query
-from bindings.sql_draws import poisson_ctes
+from bindings.sql_draws import key_text, poisson_ctes
 from spendlens.operators import bootstrap, stats, triage
 
 EARLY, MIN_DAYS = 2, 5
@@ -160,7 +160,7 @@ def tri7_threshold(spark, d):
     return middle.crossJoin(F.broadcast(positives))
 
 
-MODEL_BOOT = 200
+MODEL_BOOT = 2000
 
 
 def _evaluation(spark, d):
@@ -193,7 +193,7 @@ def tri8_folds(spark, d):
     return folds.groupBy("campaign_id").agg(F.max("fold").alias("fold"), F.count(F.lit(1)).alias("n"))
 
 
-UNI = f"""units AS (SELECT ad_id AS unit, e_icr AS s, y FROM lab),{poisson_ctes("units", "'rule_cv|' || unit", MODEL_BOOT)},
+UNI = f"""units AS (SELECT ad_id AS unit, campaign_id, ad_name, e_icr AS s, y FROM lab),{poisson_ctes("units", key_text("'rule_cv'", "unit", "campaign_id", "ad_name"), MODEL_BOOT)},
 {WEIGHTED_AUC.format(keys="")}, ci AS (SELECT {AUC_CI} FROM areas),
 auc AS (SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM (
     SELECT y, {_rank('e_icr')} AS r FROM lab) x)"""
@@ -201,12 +201,12 @@ auc AS (SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y
 
 @query(
     "tri8_univariate_auc",
-    sql(f"SELECT 'rule_cv' AS evaluation, {big('n')} AS n, auc, auc_low, auc_high, auc_low > 0.5 AS above_chance FROM auc, ci", UNI),
+    sql(f"SELECT 'rule_cv' AS evaluation, {big('n')} AS n, auc, auc_low, auc_high, auc_low > 0.5 AS above_chance, 'ok' AS status FROM auc, ci", UNI),
     dp={"auc": 9, "auc_low": 9, "auc_high": 9},
 )
 def tri8_univariate(spark, d):
     labelled = stats.above_median(frame(spark, d), "late_icr", "y")
-    long = labelled.select("ad_id", "y", F.lit("rule_cv").alias("evaluation"), F.col("e_icr").alias("s"))
+    long = labelled.select("ad_id", "campaign_id", "ad_name", "y", F.lit("rule_cv").alias("evaluation"), F.col("e_icr").alias("s"))
     return triage.evaluation_rows(long, MODEL_BOOT)
 
 
@@ -228,12 +228,13 @@ def tri10(spark, d):
         "auc_low",
         "auc_high",
         (F.col("auc_low") > 0.5).alias("above_chance"),
+        F.lit("ok").alias("status"),
     )
     rows = cv.unionByName(temporal)
     return rows.crossJoin(F.broadcast(triage.verdict(rows).select("winner")))
 
 
-CURVE = """ranked AS (SELECT ad_id, l_spend, l_ic, row_number() OVER (ORDER BY e_icr, ad_id, ad_name) AS r, count(*) OVER () AS n FROM feat),
+CURVE = """ranked AS (SELECT ad_id, l_spend, l_ic, row_number() OVER (ORDER BY e_icr, ad_id, campaign_id, ad_name) AS r, count(*) OVER () AS n FROM feat),
 cuts AS (SELECT q, CAST(round_even((SELECT count(*) FROM feat) * q, 0) AS BIGINT) AS k FROM (VALUES (CAST(0.0 AS DOUBLE)), (0.1), (0.2), (0.25), (0.33), (0.4), (0.5)) v(q)),
 sums AS (SELECT q, k, coalesce(sum(CASE WHEN r <= k THEN l_spend END), 0) AS freed, coalesce(sum(CASE WHEN r <= k THEN l_ic END), 0) AS lost,
     sum(CASE WHEN r > k THEN l_spend END) AS ks, sum(CASE WHEN r > k THEN l_ic END) AS ki, sum(l_ic) AS base FROM ranked, cuts GROUP BY 1, 2)"""

@@ -9,6 +9,12 @@ def word(key: str, n: int) -> str:
     return f"CAST('0x' || substr(md5({key}), {1 + 8 * n}, 8) AS BIGINT)"
 
 
+def key_text(*columns: str) -> str:
+    """The text of several columns: each as its length, a colon and itself; null as a dash."""
+    one = "coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    return " || ".join(one.format(c=c) for c in columns)
+
+
 def mix(x: str) -> str:
     def fold(v):
         return f"xor({v}, {v} >> 16)"
@@ -33,11 +39,12 @@ boot_u AS (SELECT *, {mix("d + h2")} AS u FROM boot_d),
 boot_w AS (SELECT *, {poisson("u")} AS w FROM boot_u)"""
 
 
-def multinomial_ctes(units: str, stratum: str, unit: str, n_boot: int, seed: int = 0) -> str:
-    """CTE boot_hit: one row per draw with the drawn unit's C and S."""
+def multinomial_ctes(units: str, stratum: str, unit: str, n_boot: int, seed: int = 0, text: str | None = None) -> str:
+    """CTE boot_hit: one row per draw with the drawn unit's C and S; ``text`` names a stratum."""
+    text = text or key_text(stratum)
     return f"""
-boot_i AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {word(f"CAST({unit} AS VARCHAR)", 0)} % 256, {unit}) - 1 AS i,
-    count(*) OVER (PARTITION BY {stratum}) AS k, {word(f"'{seed}|' || {stratum}", 0)} AS h FROM {units}),
+boot_i AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {word(key_text(unit), 0)}, {unit} NULLS FIRST) - 1 AS i,
+    count(*) OVER (PARTITION BY {stratum}) AS k, {word(f"'{seed}|' || {text}", 0)} AS h FROM {units}),
 boot_b AS (SELECT {stratum} AS st, i, k, h, CAST(unnest(generate_series(1, {n_boot})) AS BIGINT) AS b FROM boot_i),
 boot_d AS (SELECT *, {mix(f"h + b * {draws.REPLICATE_STEP}")} AS d FROM boot_b),
 boot_u AS (SELECT st, b, {mix(f"d + i * {draws.INDEX_STEP}")} % k AS j FROM boot_d),

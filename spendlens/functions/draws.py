@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +49,16 @@ def poisson_ladder() -> list[int]:
 def poisson_weight(draw: str) -> Column:
     """Poisson(1) count for a column of uniform 32-bit draws."""
     return F.expr(" + ".join(f"CAST({draw} >= {step}L AS INT)" for step in poisson_ladder()))
+
+
+def poisson_counts(h1: np.ndarray, h2: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same Poisson(1) counts for rows of key words, as an array of replicates x rows."""
+
+    def mix(x):
+        x = x & MASK
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * MIX) & MASK
+        return x ^ (x >> 16)
+
+    start = mix(h1[None, :] + b[:, None].astype(np.int64) * REPLICATE_STEP)
+    return np.searchsorted(np.array(poisson_ladder()), mix(start + h2[None, :]), side="right")

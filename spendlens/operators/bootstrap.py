@@ -9,26 +9,22 @@ Rows are first collapsed to one unit per (stratum, cluster). Two schemes:
   No join; the replicate totals combine map-side, so only
   (tasks x strata x replicates) partial sums are shuffled. Meant for many units.
 
-``auto`` counts units x replicates once and picks by ``MULTINOMIAL_LIMIT``.
+The scheme never depends on the size of the data: ``poisson`` unless the caller
+names the other. A null cluster id is a cluster of its own in both. Texts that
+name a stratum or a unit give every part its length first, so values that hold
+the separator cannot make two of them one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions import draws
 from spendlens.operators.sharing import shared
-from spendlens.operators.stats import exact_auc
-
-MULTINOMIAL_LIMIT = 50_000_000
-_INDEX_BUCKETS = 256
-
-
-def resampling_mode(units: DataFrame, n_boot: int, mode: str = "auto") -> str:
-    if mode != "auto":
-        return mode
-    return "multinomial" if units.count() * n_boot <= MULTINOMIAL_LIMIT else "poisson"
+from spendlens.operators.ordering import with_slices
 
 
 def _spread(units: DataFrame, *by: str) -> DataFrame:
@@ -41,8 +37,10 @@ def _spread(units: DataFrame, *by: str) -> DataFrame:
     return units.repartition(n, *by)
 
 
-def _stratum_text(strata):
-    return F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("␀")) for s in strata])
+def key_text(*parts: str):
+    """One text for several columns: each as its length, a colon and itself; null as a dash."""
+    each = [F.col(p).cast("string") for p in parts]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in each])
 
 
 def cluster_units(
@@ -75,14 +73,11 @@ def poisson_replicates(units: DataFrame, key, n_boot: int, seed: int = 0) -> Dat
 def _positions(units: DataFrame, unit: str) -> DataFrame:
     """Dense 0-based position ``__i`` of a unit in its stratum, and the size ``__K``.
 
-    Units are numbered bucket by bucket (hash of the unit id), so no task ever
-    sorts a whole stratum.
+    Units are numbered in the order of the hash of their id, slice by slice of a
+    range partitioning, so no task ever sorts a whole stratum.
     """
-    spread = shared(
-        units.withColumn(
-            "__bk", F.pmod(draws.key_word(F.col(unit).cast("string"), 0), F.lit(_INDEX_BUCKETS))
-        )
-    )
+    keyed = units.withColumn("__w", draws.key_word(key_text(unit), 0))
+    spread = with_slices(keyed, ["__w", unit], ["__st"]).withColumnRenamed("__slice", "__bk")
     sizes = spread.groupBy("__st", "__bk").agg(F.count(F.lit(1)).alias("__n"))
     stratum = Window.partitionBy("__st")
     sizes = sizes.select(
@@ -94,17 +89,17 @@ def _positions(units: DataFrame, unit: str) -> DataFrame:
         ).alias("__off"),
         F.sum("__n").over(stratum).alias("__K"),
     )
-    inside = Window.partitionBy("__st", "__bk").orderBy(unit)
+    inside = Window.partitionBy("__st", "__bk").orderBy("__w", F.col(unit).asc_nulls_first())
     numbered = spread.withColumn("__r", F.row_number().over(inside))
     return (
         numbered.join(sizes, ["__st", "__bk"])
         .withColumn("__i", (F.col("__off") + F.col("__r") - 1).cast("bigint"))
-        .drop("__bk", "__r", "__off")
+        .drop("__bk", "__r", "__off", "__w")
     )
 
 
 def _multinomial_sums(units: DataFrame, strata, unit: str, n_boot: int, seed: int) -> DataFrame:
-    placed = shared(_positions(units.withColumn("__st", _stratum_text(strata)), unit))
+    placed = shared(_positions(units.withColumn("__st", key_text(*strata)), unit))
     draw = _spread(placed.select("__st", "__i", "__K"), "__st", "__i").select(
         "__st",
         "__i",
@@ -130,7 +125,7 @@ def bootstrap_rates(
     unit: str,
     n_boot: int = 2000,
     seed: int = 0,
-    mode: str = "multinomial",
+    mode: str = "poisson",
 ) -> DataFrame:
     """Replicate rates of sum(C)/sum(S): columns strata, b, rate.
 
@@ -148,7 +143,7 @@ def bootstrap_rates(
     usable = units.join(sizes, same, "left_semi") if strata else units.crossJoin(sizes.limit(1))
     usable = usable.select(*strata, unit, "C", "S")
     if mode == "poisson":
-        key = F.concat_ws("|", _stratum_text(strata), F.col(unit).cast("string"))
+        key = key_text(*strata, unit)
         each = poisson_replicates(usable, key, n_boot, seed)
         sums = each.groupBy(*strata, "b").agg(
             F.sum(F.col("w") * F.col("C")).alias("C"), F.sum(F.col("w") * F.col("S")).alias("S")
@@ -199,7 +194,7 @@ def row_bootstrap_interval(
     n_boot: int = 2000,
     alpha: float = 0.05,
     seed: int = 0,
-    mode: str = "multinomial",
+    mode: str = "poisson",
 ) -> DataFrame:
     """Interval of sum(outcome)/sum(exposure) when single rows are resampled."""
     units = rows.select(
@@ -215,7 +210,7 @@ def row_bootstrap_interval(
 
 def auc_interval(
     df: DataFrame,
-    row_id: str,
+    row_id,
     score: str,
     label: str,
     n_boot: int = 2000,
@@ -223,15 +218,77 @@ def auc_interval(
     seed: int = 0,
     keys=(),
 ) -> DataFrame:
-    """Percentile interval of the AUC per key; one-class replicates are skipped."""
+    """Percentile interval of the AUC per key; one-class replicates are skipped.
+
+    ``row_id`` names the column or columns that make a row unique. Rows are range
+    partitioned by score once, equal scores over several partitions when they are
+    many. A task draws the counts of all replicates for its rows, some replicates
+    at a time, and gives sums for each replicate: of the lowest and the highest
+    score it has, which others may share, and of all scores between. The
+    negatives of lower scores are added to that short table. What is shuffled
+    after the first exchange is partitions x replicates, whatever the rows.
+    """
     keys = list(keys)
-    units = df.select(*keys, row_id, score, label)
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, row_id]])
-    each = poisson_replicates(units, key, n_boot, seed)
-    areas = exact_auc(each, score, label, [*keys, "b"], weight="w")
+    ids = [row_id] if isinstance(row_id, str) else list(row_id)
+    value = F.col(score).cast("double")
+    group = (key_text(*keys) if keys else F.lit("")).alias("__g")
+    kept = df.where(value.isNotNull() & ~F.isnan(value))
+    rows = kept.select(
+        group, value.alias("__score"), F.coalesce((F.col(label) == 1), F.lit(False)).alias("__y"),
+        F.concat(F.lit(f"{seed}|"), key_text(*keys, *ids)).alias("__k"),
+    ).select("__g", "__score", "__y", draws.key_word(F.col("__k"), 0).alias("__h1"), draws.key_word(F.col("__k"), 1).alias("__h2"))
+    order = ["__g", "__score"]
+    cut = rows.repartitionByRange(*order, "__h1", "__h2").sortWithinPartitions(*order)
+
+    def run(batches):
+        batches = list(batches)  # one range of scores
+        if not batches:
+            return
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        g = whole.column("__g").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
+        for lo, hi in zip(at, np.append(at[1:], len(g))):
+            yield from _partition_sums(whole.slice(lo, hi - lo), n_boot)
+
+    sums = cut.mapInArrow(run, "__g string, at double, edge boolean, b int, pos long, neg long, wins double")
+    scores = sums.groupBy("__g", "at", "edge", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
+    tied = F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("wins"))
+    lower = Window.partitionBy("__g", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = scores.withColumns({"wins": tied, "below": F.coalesce(F.sum("neg").over(lower), F.lit(0))})
+    total = placed.groupBy("__g", "b").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("wins") + F.col("pos") * F.col("below")).alias("w")
+    )
+    areas = total.select("__g", (F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
     ends = F.percentile("auc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return (
-        areas.groupBy(*keys)
-        .agg(ends.alias("__ci"), F.count("auc").alias("n_valid"))
-        .select(*keys, F.col("__ci")[0].alias("auc_low"), F.col("__ci")[1].alias("auc_high"), "n_valid")
+    found = areas.groupBy("__g").agg(ends.alias("__ci"), F.count("auc").alias("n_valid"))
+    if keys:
+        found = found.join(kept.select(*keys, group).distinct(), "__g")
+    return found.select(
+        *keys, F.col("__ci")[0].alias("auc_low"), F.col("__ci")[1].alias("auc_high"), "n_valid"
     )
+
+
+def _partition_sums(table: pa.Table, n_boot: int, cells: int = 2_000_000):
+    """Sums of each replicate for rows of one key, sorted by score: both edge scores, and between."""
+    score, y = table.column("__score").to_numpy(), table.column("__y").to_numpy(zero_copy_only=False)
+    h1, h2 = (table.column(c).to_numpy() for c in ("__h1", "__h2"))
+    tie = np.flatnonzero(np.append(True, score[1:] != score[:-1]))  # where each distinct score begins
+    last = len(tie) - 1
+    parts = [("first", 0, 1, True)] + ([("last", last, last + 1, True)] if last else []) + ([("between", 1, last, False)] if last > 1 else [])
+    step = max(1, cells // len(score))
+    for lo in range(1, n_boot + 1, step):
+        b = np.arange(lo, min(lo + step, n_boot + 1))
+        w = draws.poisson_counts(h1, h2, b)
+        pos = np.add.reduceat(np.where(y, w, 0), tie, axis=1)
+        neg = np.add.reduceat(np.where(y, 0, w), tie, axis=1)
+        for _, i, j, edge in parts:
+            p, n = pos[:, i:j], neg[:, i:j]
+            wins = (p * (np.cumsum(n, axis=1) - n / 2)).sum(1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([table.column("__g")[0].as_py()] * len(b), pa.string()), pa.array(np.full(len(b), score[tie[i]])),
+                    pa.array([edge] * len(b)), pa.array(b, pa.int32()), pa.array(p.sum(1), pa.int64()), pa.array(n.sum(1), pa.int64()),
+                    pa.array(wins, pa.float64()),
+                ],
+                names=["__g", "at", "edge", "b", "pos", "neg", "wins"],
+            )

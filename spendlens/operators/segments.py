@@ -93,7 +93,7 @@ def rank_segments(
     fdr_alpha: float = 0.05,
     n_boot: int = 2000,
     seed: int = 0,
-    mode: str = "auto",
+    mode: str = "poisson",
     null_safe: bool = False,
 ) -> SegmentRanking:
     """Score every segment of ``dims`` against the whole.
@@ -111,17 +111,19 @@ def rank_segments(
     units = settled(
         bootstrap.cluster_units(rows, dims, "cluster_id", "conversions", "spend"), "units"
     )
-    grouped = settled(
+    every = settled(
         with_expectation(
             units.groupBy(*dims).agg(
                 F.sum("S").alias("spend"),
                 F.sum("C").alias("conversions"),
                 F.sum("n_rows").alias("n_rows"),
-                F.count("cluster_id").alias("__clusters"),
+                F.count(F.lit(1)).alias("__clusters"),
             )
-        ).where("total_spend > 0 AND total_conversions > 0"),
+        ),
         "segments",
     )
+    # without any outcome nothing is ranked, but the account's totals stand
+    grouped = every.where("total_spend > 0 AND total_conversions > 0")
     keep = (F.col("expected") >= min_expected) & (
         F.col("spend") >= F.lit(min_spend_share) * F.col("total_spend")
     )
@@ -147,11 +149,10 @@ def rank_segments(
         }
     ).drop("__clusters")
 
-    chosen = bootstrap.resampling_mode(units, n_boot, mode)
     tested = kept.where(matched).select(*[F.col(d).alias(f"__k_{d}") for d in dims], "reference_rate")
     same = [F.col(d).eqNullSafe(F.col(f"__k_{d}")) for d in dims]
     in_scope = units.join(tested, same, "left_semi")
-    rates = bootstrap.bootstrap_rates(in_scope, dims, "cluster_id", n_boot, seed, chosen)
+    rates = bootstrap.bootstrap_rates(in_scope, dims, "cluster_id", n_boot, seed, mode)
     compared = rates.join(tested, same).drop(*[f"__k_{d}" for d in dims])
     ends = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
     inferred = (
@@ -166,10 +167,7 @@ def rank_segments(
     )
     scored = kept.join(inferred, same, "left").drop(*[f"__k_{d}" for d in dims])
     scored = scored.withColumn("p_value", F.coalesce(F.col("__p"), F.lit(1.0))).drop("__p")
-    # the spend floor leaves at most 1 / min_spend_share segments in the family
-    small_family = min_spend_share >= 1e-4
-    adjust = stats.step_up if small_family else stats.benjamini_hochberg
-    scored = adjust(scored, "p_value", "q_value")
+    scored = stats.benjamini_hochberg(settled(scored, "inferred"), "p_value", "q_value")
     scored = scored.withColumns(
         {
             "significant": F.col("q_value") < fdr_alpha,
@@ -185,11 +183,12 @@ def rank_segments(
         "cpc_ci_low", "cpc_ci_high",
     ]
     scored = settled(scored.select(*columns), "scored")
-    counts = grouped.agg(
+    ranked = F.col("total_conversions") > 0
+    counts = every.agg(
         F.max("total_spend").alias("total_spend"),
         F.max("total_conversions").alias("total_conversions"),
-        F.count(F.when(keep, 1)).alias("n_tested"),
-        F.count(F.when(~keep, 1)).alias("n_excluded"),
+        F.count(F.when(ranked & keep, 1)).alias("n_tested"),
+        F.count(F.when(ranked & ~keep, 1)).alias("n_excluded"),
     )
     summary = counts.crossJoin(F.broadcast(dispersion)).select(
         F.coalesce("total_spend", F.lit(0.0)).alias("total_spend"),
@@ -199,10 +198,10 @@ def rank_segments(
         "n_tested",
         "n_excluded",
         F.lit(n_boot).alias("n_boot"),
-        F.lit(chosen).alias("mode"),
+        F.lit(mode).alias("mode"),
     )
     return SegmentRanking(
-        scored.orderBy(F.desc("perf_index"), "segment"), excluded, summary, chosen
+        scored.orderBy(F.desc("perf_index"), "segment"), excluded, summary, mode
     )
 
 

@@ -326,7 +326,8 @@ def fit_and_evaluate(split: DataFrame, n_boot: int = 2000, features=FEATURES) ->
         F.avg(F.when(F.col("is_test") == 1, (F.col("p") - F.col("y")) ** 2)).alias("brier"),
         F.avg(F.when(F.col("is_test") == 1, F.col("y"))).alias("positive_rate_test"),
     )
-    ci = bootstrap.auc_interval(test, "ad_id", "p", "y", n_boot)
+    ids = [c for c in ("ad_id", "campaign_id", "ad_name") if c in test.columns]
+    ci = bootstrap.auc_interval(test, ids, "p", "y", n_boot)
     metrics = sizes.crossJoin(F.broadcast(wide)).crossJoin(
         F.broadcast(ci.select("auc_low", "auc_high"))
     )
@@ -395,7 +396,7 @@ def grouped_cv_auc(
     labelled = stats.above_median(df, "late_icr", "y")
     scored = out_of_fold(labelled, FEATURES, "y", group, n_splits).where("oof IS NOT NULL")
     long = scored.select(
-        "ad_id",
+        *[c for c in ("ad_id", "campaign_id", "ad_name") if c in scored.columns],
         "y",
         F.inline(
             F.array(
@@ -407,45 +408,49 @@ def grouped_cv_auc(
     return evaluation_rows(long, n_boot)
 
 
-def evaluation_rows(long: DataFrame, n_boot: int, min_rows: int = 20) -> DataFrame:
-    """(evaluation, s, y, ad_id) to AUC with interval and an above-chance flag."""
+def evaluation_rows(long: DataFrame, n_boot: int, min_rows: int = 20, row_id=("ad_id", "campaign_id", "ad_name")) -> DataFrame:
+    """(evaluation, s, y, row id) to AUC with interval, an above-chance flag and a status.
+
+    Under ``min_rows`` the row stays, without AUC, with status "too few rows".
+    """
     long = settled(long, "evaluated")
     areas = stats.exact_auc(long, "s", "y", ["evaluation"])
-    ci = bootstrap.auc_interval(long, "ad_id", "s", "y", n_boot, keys=["evaluation"])
-    out = areas.join(ci, "evaluation").where(F.col("n_pos") + F.col("n_neg") >= min_rows)
-    return out.select(
-        "evaluation",
-        (F.col("n_pos") + F.col("n_neg")).alias("n"),
-        "auc",
-        "auc_low",
-        "auc_high",
-        (F.col("auc_low") > 0.5).alias("above_chance"),
+    ids = [c for c in row_id if c in long.columns]
+    ci = bootstrap.auc_interval(long, ids, "s", "y", n_boot, keys=["evaluation"])
+    n = (F.col("n_pos") + F.col("n_neg")).alias("n")
+    enough = F.col("n_pos") + F.col("n_neg") >= min_rows
+    shown = lambda c: F.when(enough, F.col(c)).alias(c)
+    return areas.join(ci, "evaluation").select(
+        "evaluation", n, shown("auc"), shown("auc_low"), shown("auc_high"),
+        F.when(enough, F.col("auc_low") > 0.5).alias("above_chance"),
+        F.when(enough, "ok").otherwise("too few rows").alias("status"),
     )
 
 
 def verdict(rows: DataFrame, model: str = "model_cv", rule: str = "rule_cv") -> DataFrame:
-    """Which of the two wins in cross-validation."""
+    """Which of the two wins in cross-validation; null when either has no AUC."""
 
     def area(name):
         return F.max(F.when(F.col("evaluation") == name, F.col("auc")))
 
     return rows.agg(area(model).alias("auc_model"), area(rule).alias("auc_rule")).withColumn(
-        "winner", F.when(F.col("auc_rule") > F.col("auc_model"), "rule").otherwise("model")
+        "winner", F.when(F.col("auc_rule") > F.col("auc_model"), "rule").when(F.col("auc_rule") <= F.col("auc_model"), "model")
     )
 
 
 def decision_curve(
     scored: DataFrame,
     score: str = "p",
-    ties=("ad_id", "ad_name"),
+    ties=("ad_id", "campaign_id", "ad_name"),
     saturation: float = 0.8,
     fractions=CUT_FRACTIONS,
 ) -> DataFrame:
     """Gain from cutting the lowest-scored share of ads, for every cut fraction.
 
-    The order is total (score, then ``ties``, unique per row); its running sums are read at the k-th
+    The order is total (score, then those of ``ties`` that there are, unique per row); its running sums are read at the k-th
     row of each fraction, so no task sees the whole ranking.
     """
+    ties = [t for t in ties if t in scored.columns]
     base = shared(
         scored.select(
             F.col(score).alias("__s"),

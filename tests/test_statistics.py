@@ -207,11 +207,38 @@ def test_bootstrap_p_bounds(spark):
     assert row["a"] == pytest.approx(1 / 10) and row["b"] == 1.0
 
 
-def test_auto_mode_switches_on_size(spark, units, monkeypatch):
-    df = spark.createDataFrame(units, SCHEMA)
-    assert bootstrap.resampling_mode(df, 10) == "multinomial"
-    monkeypatch.setattr(bootstrap, "MULTINOMIAL_LIMIT", 100)
-    assert bootstrap.resampling_mode(df, 10) == "poisson"
+@pytest.mark.parametrize("mode", ["multinomial", "poisson"])
+def test_separators_and_null_clusters(spark, mode):
+    """Values that hold the separator stay apart; a null cluster is a cluster of its own."""
+    rows = [("a|b", "c", f"u{i}", 0.1, 1.0) for i in range(30)] + [("a", "b|c", f"u{i}", 0.9, 1.0) for i in range(30)]
+    rows += [("n", None, f"u{i}", 0.5, 1.0) for i in range(10)] + [("n", None, None, 5.0, 10.0)]
+    df = spark.createDataFrame(rows, "x string, y string, unit string, C double, S double")
+    got = bootstrap.bootstrap_rates(df, ["x", "y"], "unit", 40, mode=mode).collect()
+    for x, y, rate in (("a|b", "c", 0.1), ("a", "b|c", 0.9), ("n", None, 0.5)):
+        own = [r["rate"] for r in got if r["x"] == x and r["y"] == y]
+        assert len(own) == 40 and own == pytest.approx([rate] * 40)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_auc_interval_against_weighted_ranks(spark, parts):
+    """Many ties, so that one score lies in several partitions."""
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.integers(0, 4)) if i % 3 else 1.0, int(rng.random() < 0.4), "k" if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, s double, l int, g string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["g"]: r for r in bootstrap.auc_interval(df, "id", "s", "l", 60, keys=["g"]).collect()}
+        key = bootstrap.F.concat_ws("|", bootstrap.key_text("g", "id"))
+        each = bootstrap.poisson_replicates(df, key, 60)
+        areas = stats.exact_auc(each, "s", "l", ["g", "b"], weight="w").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    auc = areas[areas.g == "k"].auc.to_numpy(dtype=float)
+    assert got["k"]["n_valid"] == got[None]["n_valid"] == len(auc) == 60
+    assert [got["k"]["auc_low"], got["k"]["auc_high"]] == pytest.approx(np.percentile(auc, [2.5, 97.5]))
 
 
 def test_auc_interval_covers_point(spark, frame):
