@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import tables as tb
 from bindings.q_funnel import big
 from bindings.registry import query
+from bindings.sql_tails import rho_p, step_up
 from spendlens.functions import images as im
 from spendlens.functions import text as tx
 from spendlens.operators import creative
@@ -84,17 +85,17 @@ def txt13(spark, d):
 
 # --- pictures -----------------------------------------------------------------
 
-PIXELS = """px AS (SELECT CAST(vec_id AS VARCHAR) AS ad_id, i, i % 16 AS x, i // 16 AS y,
+PIXELS = """px AS (SELECT CAST(vec_id AS VARCHAR) AS ad_id, i, i % 11 AS x, i // 11 AS y,
     least(255, greatest(0, floor((CAST(embedding[(i * 3 + 2) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS r,
     least(255, greatest(0, floor((CAST(embedding[(i * 3 + 1) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS g,
     least(255, greatest(0, floor((CAST(embedding[(i * 3) % 64 + 1] AS DOUBLE) + 0.55) * 255))) / 255 AS b
-    FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i) s),
+    FROM embeddings, (SELECT unnest(generate_series(0, 21)) AS i) s),
 lum AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px),
 nb AS (SELECT *, lag(l) OVER h AS lf, lead(l) OVER h AS rt, lag(l) OVER v AS up, lead(l) OVER v AS dn FROM lum
     WINDOW h AS (PARTITION BY ad_id, y ORDER BY x), v AS (PARTITION BY ad_id, x ORDER BY y)),
 grad AS (SELECT *, CASE WHEN lf IS NULL THEN rt - l WHEN rt IS NULL THEN l - lf ELSE (rt - lf) / 2 END AS gx,
     CASE WHEN up IS NULL THEN dn - l WHEN dn IS NULL THEN l - up ELSE (dn - up) / 2 END AS gy FROM nb),
-feats AS (SELECT ad_id, CAST(16 AS DOUBLE) / 4 AS aspect_ratio, avg(l) AS brightness,
+feats AS (SELECT ad_id, CAST(11 AS DOUBLE) / 2 AS aspect_ratio, avg(l) AS brightness,
     avg(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END) AS saturation, stddev_pop(l) AS contrast,
     sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(power(avg(r - g), 2) + power(avg(0.5 * (r + g) - b), 2)) AS colorfulness,
     avg(sqrt(gx * gx + gy * gy)) AS edge_density, avg(CASE WHEN l < 0.25 THEN 1.0 ELSE 0.0 END) AS dark_ratio FROM grad GROUP BY 1)"""
@@ -114,13 +115,13 @@ def img(spark, d):
 
 @query(
     "img8_block_downscale",
-    f"""WITH {PIXELS} SELECT ad_id, CAST(6 AS BIGINT) AS w, CAST(2 AS BIGINT) AS h, avg(l) AS brightness FROM (
+    f"""WITH {PIXELS} SELECT ad_id, CAST(4 AS BIGINT) AS w, CAST(1 AS BIGINT) AS h, avg(l) AS brightness FROM (
     SELECT ad_id, x // 3 AS bx, y // 3 AS by, avg(l) AS l FROM lum GROUP BY ALL) b GROUP BY 1""",
     dp={"brightness": 6},
 )
 def img8(spark, d):
-    """Sixteen columns against a limit of six: squares of three by three are averaged."""
-    small = im.decoded(tb.pictures(spark, d), max_side=6)
+    """Eleven columns against a limit of four: squares of three by three are averaged."""
+    small = im.decoded(tb.pictures(spark, d), max_side=4)
     lums = F.zip_with("r", "g", lambda r, g: F.lit(im.LUMA[0]) * r + F.lit(im.LUMA[1]) * g)
     lums = F.zip_with(lums, "b", lambda rg, b: rg + F.lit(im.LUMA[2]) * b)
     mean = F.aggregate(lums, F.lit(0.0), lambda a, v: a + v) / F.size("r")
@@ -129,7 +130,7 @@ def img8(spark, d):
 
 @query(
     "src5_picture_pixels",
-    f"WITH {PIXELS} SELECT ad_id, CAST(16 AS BIGINT) AS width, CAST(4 AS BIGINT) AS height, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px GROUP BY 1",
+    f"WITH {PIXELS} SELECT ad_id, CAST(11 AS BIGINT) AS width, CAST(2 AS BIGINT) AS height, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px GROUP BY 1",
     dp={"r": 6, "g": 6, "b": 6},
 )
 def src5(spark, d):
@@ -203,7 +204,7 @@ cent AS (SELECT feature, x - avg(x) OVER (PARTITION BY feature, campaign_id) AS
 rr AS (SELECT feature, x, """ + rank_of("x", "feature") + " AS rx, " + rank_of("y", "feature") + """ AS ry FROM long WHERE x IS NOT NULL AND y IS NOT NULL),
 rw AS (SELECT feature, x, """ + rank_of("x", "feature") + " AS rx, " + rank_of("y", "feature") + """ AS ry FROM cent WHERE x IS NOT NULL AND y IS NOT NULL),
 raw_rho AS (SELECT feature, count(*) AS n, corr(rx, ry) AS rho FROM rr GROUP BY 1 HAVING count(*) >= 20 AND stddev_pop(x) > 0),
-in_rho AS (SELECT feature, corr(rx, ry) AS rho_within FROM rw GROUP BY 1 HAVING count(*) >= 20 AND stddev_pop(x) > 0),
+in_rho AS (SELECT feature, count(*) AS n_within, corr(rx, ry) AS rho_within FROM rw GROUP BY 1 HAVING count(*) >= 20 AND stddev_pop(x) > 0),
 assoc AS (SELECT r.feature, CAST(n AS BIGINT) AS n, rho, rho_within FROM raw_rho r LEFT JOIN in_rho i ON i.feature = r.feature)"""
 
 
@@ -221,7 +222,27 @@ def cre2_icr(spark, d):
     return creative.associations(data(spark, d), "icr").select("feature", "n", "rho", "rho_within")
 
 
-@query("cre2_associations_full")
+FULL = f"""tested AS (SELECT r.feature, CAST(n AS BIGINT) AS n, rho, {rho_p('rho', 'n')} AS p_value, rho_within,
+    {rho_p('rho_within', 'n_within')} AS p_within FROM raw_rho r LEFT JOIN in_rho i ON i.feature = r.feature),
+one AS (SELECT * EXCLUDE (s, q), q AS q_value FROM {step_up('p_value', 'tested')} b),
+two AS (SELECT * EXCLUDE (s, q), q AS q_within FROM {step_up('p_within', 'one')} b),
+full_ AS (SELECT feature, n, rho, p_value, rho_within, p_within, q_value, coalesce(q_value < 0.05, false) AS significant, q_within,
+    coalesce(q_within < 0.05 AND sign(rho_within) = sign(rho), false) AS holds_within FROM two)"""
+FULL_DP = {"rho": 6, "rho_within": 6, "p_value": 6, "p_within": 6, "q_value": 6, "q_within": 6}
+
+
+def full(target):
+    return f"(WITH {ASSOC.replace('{t}', target)}, {FULL} SELECT * FROM full_)"
+
+
+def pair_sql(body, one="ctr", two="icr"):
+    """``a`` and ``b``: the associations with two targets, feature by feature."""
+    joined = """j AS (SELECT a.feature, a.rho_within AS ctr_effect, a.holds_within AS ctr_robust, b.rho_within AS icr_effect,
+    b.holds_within AS icr_robust FROM a JOIN b ON b.feature = a.feature)"""
+    return tb.with_tables(["ads_daily", "creatives"], body, f"{DATASET}, a AS {full(one)}, b AS {full(two)}, {joined}")
+
+
+@query("cre2_associations_full", sql(f"SELECT * FROM {full('ctr')} f"), dp=FULL_DP)
 def cre2_full(spark, d):
     return creative.associations(data(spark, d), "ctr")
 
@@ -256,17 +277,30 @@ def jn8(spark, d):
     return creative.both_targets(*both(spark, d)).select("feature", "ctr_effect", "icr_effect")
 
 
-@query("jn8_robust_on_either")
+@query("jn8_robust_on_either", pair_sql("SELECT * FROM j WHERE ctr_robust OR icr_robust", two="n_words"), dp={"ctr_effect": 6, "icr_effect": 6})
 def jn8_robust(spark, d):
-    return creative.robust_on_either(*both(spark, d))
+    """The second target is the number of words, with which several features do hold."""
+    frame = data(spark, d)
+    return creative.robust_on_either(creative.associations(frame, "ctr"), creative.associations(frame, "n_words"))
 
 
-@query("cre6_inversion_table")
+LABELS = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in creative.PUBLISHED_FEATURES.items())
+
+
+@query(
+    "cre6_inversion_table",
+    pair_sql(f"""SELECT label AS "Caractéristique", round(ctr_effect, 3) AS "Effet sur le CTR", round(icr_effect, 3) AS "Effet sur la conversion",
+    CASE WHEN ctr_robust THEN 'oui' ELSE '' END AS "Robuste (CTR)", CASE WHEN icr_robust THEN 'oui' ELSE '' END AS "Robuste (conv.)"
+    FROM j JOIN (VALUES {LABELS}) l(feature, label) ON l.feature = j.feature"""),
+)
 def cre6(spark, d):
     return creative.inversion_table(*both(spark, d))
 
 
-@query("cre7_association_counts")
+@query(
+    "cre7_association_counts",
+    sql(f"SELECT {big('count(*)')} AS n_features, {big('count(*) FILTER (significant)')} AS n_significant, {big('count(*) FILTER (holds_within)')} AS n_holding_within FROM {full('icr')} f"),
+)
 def cre7(spark, d):
     return creative.association_counts(creative.associations(data(spark, d), "icr"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import tables as tb
 from bindings.q_funnel import PANEL, big, panel
 from bindings.registry import query
+from bindings.sql_tails import normal_two_sided, rho_p, student_two_sided
 from bindings.sql_draws import key_text, multinomial_ctes, poisson_ctes
 from spendlens.operators import bootstrap, ordering, stats
 
@@ -105,7 +106,11 @@ def sta2(spark, d):
     return brands(spark, d).select("p_brand", stats.score_z("conversions", "expected", F.lit(1.5)).alias("z"))
 
 
-@query("sta2_score_test_p")
+@query(
+    "sta2_score_test_p",
+    f"WITH {BRANDS}, zs AS (SELECT p_brand, (o - e) / sqrt(1.5 * e) AS z FROM br) SELECT p_brand, z, {normal_two_sided('z')} AS p_value FROM zs",
+    dp={"z": 9, "p_value": 9},
+)
 def sta2_p(spark, d):
     return stats.score_test(brands(spark, d), "conversions", "expected", F.lit(1.5)).select("p_brand", "z", "p_value")
 
@@ -124,7 +129,17 @@ def sta8(spark, d):
     return stats.spearman(lines(spark, d), "l_quantity", "l_extendedprice", ["l_returnflag"], with_p=False)
 
 
-@query("sta8_spearman_p")
+LANG_RANKS = """ranked AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS rx,
+    rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2 AS ry
+    FROM documents JOIN labels ON labels.doc_id = documents.doc_id),
+rho AS (SELECT lang, count(*) AS n, corr(rx, ry) AS rho FROM ranked GROUP BY 1)"""
+
+
+@query(
+    "sta8_spearman_p",
+    f"WITH {LANG_RANKS} SELECT lang, {big('n')} AS n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t_stat, {rho_p('rho', 'n')} AS p_value FROM rho",
+    dp={"rho": 9, "t_stat": 6, "p_value": 9},
+)
 def sta8_p(spark, d):
     docs = tb.load(spark, d, "documents").join(tb.load(spark, d, "labels"), "doc_id")
     return stats.spearman(docs, "n_chars", "quality", ["lang"])
@@ -199,7 +214,18 @@ def sta14(spark, d):
     return stats.slope_summary(slopes(spark, d))
 
 
-@query("sta14_slope_test_p")
+@query(
+    "sta14_slope_test_p",
+    tb.with_tables(
+        "ads_daily",
+        f"""SELECT {big('n')} AS n, mean_slope, median_slope, share_negative, t_stat, {student_two_sided('t_stat', '(n - 1)')} AS p_value FROM (
+        SELECT count(*) AS n, avg(slope_pct) AS mean_slope, quantile_cont(slope_pct, 0.5) AS median_slope,
+        avg(CASE WHEN slope_pct < 0 THEN 1.0 ELSE 0.0 END) AS share_negative,
+        avg(slope_pct) / (stddev_samp(slope_pct) / sqrt(count(*))) AS t_stat FROM slopes) x""",
+        f"{PANEL}, {SLOPES}",
+    ),
+    dp={"mean_slope": 9, "median_slope": 9, "share_negative": 9, "t_stat": 6, "p_value": 6},
+)
 def sta14_p(spark, d):
     return stats.slope_test(slopes(spark, d))
 

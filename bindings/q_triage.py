@@ -8,6 +8,7 @@ from bindings import tables as tb
 from bindings.q_funnel import FORMAT, PANEL, big, panel
 from bindings.q_stats import AUC_CI, WEIGHTED_AUC
 from bindings.registry import query
+from bindings.sql_tails import rho_p
 from bindings.sql_draws import key_text, poisson_ctes
 from spendlens.operators import bootstrap, stats, triage
 
@@ -137,7 +138,12 @@ def tri6(spark, d):
     return triage.within_group_signal(frame(spark, d)).select("n_ads", "n_campaigns", "raw_rho", "within_rho")
 
 
-@query("tri6_within_campaign_p")
+@query(
+    "tri6_within_campaign_p",
+    sql(f"""SELECT n_ads, n_campaigns, raw_rho, {rho_p('raw_rho', 'n_ads')} AS raw_p, within_rho, {rho_p('within_rho', 'n_ads')} AS within_p FROM (
+    SELECT {big('count(*)')} AS n_ads, {big('count(DISTINCT campaign_id)')} AS n_campaigns, corr(r1, r2) AS raw_rho, corr(r3, r4) AS within_rho FROM rk) x""", WITHIN),
+    dp={"raw_rho": 6, "within_rho": 4, "raw_p": 6, "within_p": 4},
+)
 def tri6_p(spark, d):
     return triage.within_group_signal(frame(spark, d))
 

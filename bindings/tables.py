@@ -64,7 +64,7 @@ PLACEMENT = {
 }
 REGION = {"region": "n_name"}
 
-PIXEL_WIDTH, PIXEL_HEIGHT = 16, 4
+PIXEL_WIDTH, PIXEL_HEIGHT = 11, 2
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -189,12 +189,12 @@ def creatives(spark, d) -> DataFrame:
 
 
 def pictures(spark, d) -> DataFrame:
-    """Embeddings as 16 x 4 pictures in the layout of Spark's image source.
+    """Embeddings as 11 x 2 pictures in the layout of Spark's image source.
 
-    64 pixels of three channels take each of the 64 values three times in turn.
+    22 pixels of three channels take all 64 values and the first two again.
     """
     level = F.transform(
-        F.concat("embedding", "embedding", "embedding"),
+        F.concat("embedding", F.slice("embedding", 1, 2)),
         lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e + 0.55) * 255))).cast("int"),
     )
     text = F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")
