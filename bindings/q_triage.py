@@ -234,7 +234,7 @@ def tri10(spark, d):
         "auc_low",
         "auc_high",
         (F.col("auc_low") > 0.5).alias("above_chance"),
-        F.lit("ok").alias("status"),
+        "status",
     )
     rows = cv.unionByName(temporal)
     return rows.crossJoin(F.broadcast(triage.verdict(rows).select("winner")))

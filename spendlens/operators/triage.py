@@ -268,22 +268,39 @@ def fit_logistic(train: DataFrame, features, label: str, c: float = 0.5) -> Logi
 
 @dataclass
 class TriageEvaluation:
-    fit: LogisticFit
+    fit: LogisticFit | None
     scored: DataFrame
     metrics: DataFrame
     calibration: DataFrame
     coefficients: DataFrame
 
 
-def fit_and_evaluate(split: DataFrame, n_boot: int = 2000, features=FEATURES) -> TriageEvaluation | None:
-    """Train before the boundary, judge after it; None when a side is too small.
+def _not_fitted(split: DataFrame, status: str, features) -> TriageEvaluation:
+    """The evaluation of a split that is too small: sizes and status, all else null or empty."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    scored = split.select("*", *none("double", "threshold"), *none("int", "y"), *none("double", "p"))
+    sizes = split_status(split).select(
+        "n_train", "n_test", *none("double", "threshold", "brier", "positive_rate_test", "auc_model", "auc_rule", "auc_train", "auc_low", "auc_high"),
+        F.lit(status).alias("status"),
+    )
+    spark = split.sparkSession
+    calibration = spark.createDataFrame([], "bin int, n bigint, predicted double, observed double")
+    coefficients = spark.createDataFrame([(f, None) for f in features], "feature string, coefficient double")
+    return TriageEvaluation(None, scored, sizes, calibration, coefficients)
+
+
+def fit_and_evaluate(split: DataFrame, n_boot: int = 2000, features=FEATURES) -> TriageEvaluation:
+    """Train before the boundary, judge after it.
 
     The label threshold is the training median, applied unchanged to the test ads.
+    When a side is too small nothing is fitted: ``fit`` is None, the metrics row
+    says so in ``status``, scores and coefficients are null.
     """
     spark = split.sparkSession
     split = settled(split, "split")
-    if split_status(split).first()["status"] != "ok":
-        return None
+    status = split_status(split).first()["status"]
+    if status != "ok":
+        return _not_fitted(split, status, features)
     middle = exact_percentiles(split.where("is_test = 0"), "late_icr", {"threshold": 0.5})
     labelled = settled(
         split.crossJoin(F.broadcast(middle)).withColumn(
@@ -330,7 +347,7 @@ def fit_and_evaluate(split: DataFrame, n_boot: int = 2000, features=FEATURES) ->
     ci = bootstrap.auc_interval(test, ids, "p", "y", n_boot)
     metrics = sizes.crossJoin(F.broadcast(wide)).crossJoin(
         F.broadcast(ci.select("auc_low", "auc_high"))
-    )
+    ).withColumn("status", F.lit("ok"))
     return TriageEvaluation(
         fit, scored, metrics, stats.calibration(test, "p", "y"), fit.coefficients(spark)
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,20 +25,33 @@ def build_session(app: str = "spendlens", master: str | None = None, **conf) ->
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
+    if (master or "").startswith("local"):
+        settings.setdefault("spark.checkpoint.dir", own_folder())
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location of the session.
+    """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, a laptop) falls back
-    to a temporary folder of this machine.
+    A local session that was not made by ``build_session`` and has no such
+    setting gets a folder of this process, removed at its end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spendlens-")
+        base = own_folder()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_OWN: list[str] = []
+
+
+def own_folder() -> str:
+    """One temporary folder of this process, for local sessions alone; removed at exit."""
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spendlens-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.operators.funnel import ad_lifecycle, funnel_by_period
-from spendlens.schema import PASSES, PassSpec
+from spendlens.schema import PASSES, PassSpec, pass_schema
 
 
 def has_pass(spark: SparkSession, root: str, spec: PassSpec) -> bool:
@@ -23,11 +23,12 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 def scan_pass(spark: SparkSession, root: str, spec: PassSpec) -> DataFrame:
     """All months of a pass; columns missing from a month read as null.
 
-    ``pass`` and ``month`` are partition columns, so filters on them prune
-    directories before any file is opened.
+    The pinned schema of the pass unites the months by name, so no footer is
+    opened to find it. ``pass`` and ``month`` are partition columns, so filters
+    on them prune directories before any file is opened.
     """
     return (
-        spark.read.option("mergeSchema", True)
+        spark.read.schema(pass_schema(spec))
         .option("basePath", root)
         .parquet(f"{root}/pass={spec.name}")
     )
