@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spendlens.session import ship
+
 IMAGE_FEATURES = (
     "aspect_ratio",
     "brightness",
@@ -90,6 +92,7 @@ def decoded(images: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
                     schema=out,
                 )
 
+    ship(images.sparkSession)
     channel = pa.list_(pa.float64())
     out = pa.schema(
         [("ad_id", pa.string()), *[(c, pa.int32()) for c in ("width", "height", "w", "h")], *[(c, channel) for c in "rgb"]]
@@ -111,4 +114,5 @@ def image_features(images: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
                 names=["ad_id", *IMAGE_FEATURES],
             )
 
+    ship(images.sparkSession)
     return images.select("ad_id", "image").mapInArrow(run, "ad_id string, " + ", ".join(f"{f} double" for f in IMAGE_FEATURES))

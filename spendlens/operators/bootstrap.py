@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from spendlens.functions import draws
 from spendlens.operators.sharing import shared
 from spendlens.operators.ordering import with_slices
+from spendlens.session import ship
 
 
 def _spread(units: DataFrame, *by: str) -> DataFrame:
@@ -250,6 +251,7 @@ def auc_interval(
         for lo, hi in zip(at, np.append(at[1:], len(g))):
             yield from _partition_sums(whole.slice(lo, hi - lo), n_boot)
 
+    ship(df.sparkSession)
     sums = cut.mapInArrow(run, "__g string, at double, edge boolean, b int, pos long, neg long, wins double")
     scores = sums.groupBy("__g", "at", "edge", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
     tied = F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("wins"))
