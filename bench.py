@@ -40,6 +40,21 @@ def full_bootstrap(spark, sf_dir):
     return rank_segments(df, ["impression_device"], n_boot=2000).scored
 
 
+def large_pictures(spark, sf_dir):
+    """Seven features of one 320 x 320 picture for each embedding."""
+    from pyspark.sql import functions as F
+
+    from bindings import tables as tb
+    from spendlens.functions.images import image_features
+
+    side, small = 320, tb.pictures(spark, sf_dir)
+    data = F.unhex(F.substring(F.repeat(F.hex("image.data"), side * side // 22 + 1), 1, side * side * 6))
+    fields = {"height": F.lit(side), "width": F.lit(side), "data": data}
+    kept = ["origin", "height", "width", "nChannels", "mode", "data"]
+    image = F.struct(*[fields.get(c, F.col(f"image.{c}")).alias(c) for c in kept])
+    return image_features(small.select("ad_id", image.alias("image")))
+
+
 def main() -> None:
     from bindings import catalogue
     from spendlens.session import build_session
@@ -60,6 +75,7 @@ def main() -> None:
     queries = catalogue.queries()
     runs = {k: queries[k] for k in HEADLINE}
     runs["seg5_device_2000_replicates"] = full_bootstrap
+    runs["img_320px_pictures"] = large_pictures
     queries["agg3_funnel_totals"](spark, sf_dir).collect()  # start the JVM's compilers
     times = {}
     for key, fn in runs.items():

@@ -10,7 +10,7 @@ from bindings.registry import query
 from spendlens.functions import scalars as sc
 from spendlens.operators import funnel, segments, triage
 from spendlens.plans import star
-from spendlens.schema import HOUR_RANGE
+from spendlens.schema import HOUR_RANGE, PASSES
 
 DAILY = "ads_daily"
 
@@ -383,13 +383,14 @@ COVER = f"{CALENDAR}, {q_ingest.LEDGER}"
 @query(
     "agg19_coverage_matrix",
     t(q_ingest.LEDGER_VIEWS, """SELECT m.month, ln(1 + max(rows) FILTER (pass = 'base')) AS base,
-    CAST(NULL AS DOUBLE) AS placement, ln(1 + max(rows) FILTER (pass = 'region')) AS region
+    ln(1 + max(rows) FILTER (pass = 'placement')) AS placement, ln(1 + max(rows) FILTER (pass = 'region')) AS region,
+    CAST(NULL AS DOUBLE) AS unheard
     FROM (SELECT label AS month FROM cal UNION SELECT month FROM ledger WHERE month <> 'lump') m
     LEFT JOIN ledger l ON l.month = m.month GROUP BY 1""", COVER),
-    dp={"base": 9, "region": 9},
+    dp={"base": 9, "placement": 9, "region": 9},
 )
 def agg19(spark, d):
-    return funnel.coverage_matrix(q_ingest.ledger(spark, d), calendar(spark, d), ["base", "placement", "region"])
+    return funnel.coverage_matrix(q_ingest.ledger(spark, d), calendar(spark, d), ["base", "placement", "region", "unheard"])
 
 
 @query("agg19_off_calendar", t(q_ingest.LEDGER_VIEWS, "SELECT * FROM ledger WHERE month = 'lump'", q_ingest.LEDGER))
@@ -399,11 +400,11 @@ def agg19_off(spark, d):
 
 @query(
     "jn11_grid_completion",
-    t(q_ingest.LEDGER_VIEWS, """SELECT p.pass, c.label AS month, l.rows FROM cal c, (VALUES ('base'), ('region'), ('hourly')) p(pass)
+    t(q_ingest.LEDGER_VIEWS, """SELECT p.pass, c.label AS month, l.rows FROM cal c, (VALUES ('base'), ('age_gender'), ('placement'), ('region'), ('hourly')) p(pass)
     LEFT JOIN ledger l ON l.pass = p.pass AND l.month = c.label""", COVER),
 )
 def jn11(spark, d):
-    return funnel.expected_grid(q_ingest.ledger(spark, d), calendar(spark, d), ["base", "region", "hourly"])
+    return funnel.expected_grid(q_ingest.ledger(spark, d), calendar(spark, d), list(PASSES))
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from bindings import tables as tb
 from bindings.registry import query
 from spendlens.operators.creative import delivered_creatives
-from spendlens.schema import CREATIVE_SOURCE_SCHEMA, PASSES, insight_schema
+from spendlens.operators.funnel import ad_lifecycle, funnel_by_period
+from spendlens.schema import CREATIVE_SOURCE_SCHEMA, FUNNEL_ACTIONS, PASSES, insight_schema
 from spendlens.session import scratch_path
 from spendlens.sinks.tables import write_csv, write_pass, write_table
 from spendlens.sources import creatives as cr
@@ -116,26 +117,33 @@ def src2(spark, d):
     return rows.select("ad_id", "date_start", "impressions", F.greatest(n, F.lit(0)).alias("n_actions"))
 
 
+ACTION_SQL = ", ".join(
+    f"CAST(round_even(max(v) FILTER (action_type = '{a}' AND back = 1), 0) AS BIGINT) AS {a}" for a in FUNNEL_ACTIONS
+)
+AMOUNT_SQL = ", ".join(f"max(v) FILTER (action_type = '{a}') AS {a}_value" for a in FUNNEL_ACTIONS)
+
+
 @query(
     "prj1_flatten_insight",
     LANDED_SQL
-    + """SELECT 'age_gender' AS pass_name, CAST(date AS VARCHAR) AS date, 'c' || (o_custkey % 50) AS campaign_id,
-    CAST(o_orderkey AS VARCHAR) AS ad_id,
+    + f""", every AS (SELECT l_orderkey, {ACTION_SQL} FROM valid GROUP BY 1),
+    amounts AS (SELECT l_orderkey, {AMOUNT_SQL} FROM ok WHERE pos = 1 AND action_type IS NOT NULL GROUP BY 1)
+    SELECT 'age_gender' AS pass_name, CAST(date AS VARCHAR) AS date, 'c' || (o_custkey % 50) AS campaign_id,
+    'Campaign ' || (o_custkey % 50) AS campaign_name, CAST(NULL AS VARCHAR) AS adset_id, CAST(NULL AS VARCHAR) AS adset_name,
+    CAST(o_orderkey AS VARCHAR) AS ad_id, o_orderpriority AS ad_name,
     CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 1000 AS DOUBLE) END AS impressions,
-    CAST(o_orderkey % 31 AS DOUBLE) AS clicks, o_totalprice AS spend, CAST(NULL AS DOUBLE) AS frequency,
-    CAST(NULL AS DOUBLE) AS cpc, link_click, add_to_cart, initiate_checkout, CAST(NULL AS BIGINT) AS purchase,
-    add_to_cart_value, CASE WHEN o_orderkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender, actions_raw
-    FROM src LEFT JOIN last ON last.l_orderkey = o_orderkey LEFT JOIN first ON first.l_orderkey = o_orderkey
+    CAST(o_orderkey % 31 AS DOUBLE) AS clicks, o_totalprice AS spend, CAST(NULL AS DOUBLE) AS reach, CAST(NULL AS DOUBLE) AS frequency,
+    CAST(1.25 AS DOUBLE) AS cpm, CAST(NULL AS DOUBLE) AS cpc, CAST(0.5 AS DOUBLE) AS ctr,
+    every.* EXCLUDE (l_orderkey), amounts.* EXCLUDE (l_orderkey), CASE WHEN o_orderkey % 3 = 0 THEN '18-24' ELSE '25-34' END AS age,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender, actions_raw
+    FROM src LEFT JOIN every ON every.l_orderkey = o_orderkey LEFT JOIN amounts ON amounts.l_orderkey = o_orderkey
     LEFT JOIN raw ON raw.l_orderkey = o_orderkey""",
     dp={"spend": 2},
     dates=("date",),
 )
 def prj1(spark, d):
-    flat = ins.flatten(landed(spark, d), PASSES["age_gender"])
-    return flat.select(
-        "pass_name", "date", "campaign_id", "ad_id", "impressions", "clicks", "spend", "frequency", "cpc",
-        "link_click", "add_to_cart", "initiate_checkout", "purchase", "add_to_cart_value", "gender", "actions_raw",
-    )
+    """All columns of a flattened pass."""
+    return ins.flatten(landed(spark, d), PASSES["age_gender"])
 
 
 @query(
@@ -369,24 +377,32 @@ def set1(spark, d):
     )
 
 
+CATALOG = {"ads_daily": 23, "ads_by_age_gender": 25, "ads_by_placement": 26, "ads_by_region": 24, "campaigns_by_hour": 16}
+
+
 @query(
     "src7_catalog_profile",
     tb.with_tables(
-        ["ads_daily", "ads_by_region", "campaigns_by_hour"],
-        """SELECT 'ads_daily' AS view, CAST(count(*) AS BIGINT) AS n_rows, CAST(23 AS BIGINT) AS n_columns FROM ads_daily
-        UNION ALL SELECT 'ads_by_region', count(*), 24 FROM ads_by_region
-        UNION ALL SELECT 'campaigns_by_hour', count(*), 16 FROM campaigns_by_hour""",
+        list(CATALOG),
+        " UNION ALL ".join(f"SELECT '{v}' AS view, CAST(count(*) AS BIGINT) AS n_rows, CAST({n} AS BIGINT) AS n_columns FROM {v}" for v, n in CATALOG.items())
+        + """ UNION ALL SELECT 'funnel_by_month', count(DISTINCT date_trunc('month', date)), 12 FROM ads_daily
+        UNION ALL SELECT 'ad_lifecycle', count(DISTINCT ad_id), 10 FROM ads_daily""",
     ),
 )
 def src7(spark, d):
-    names = ["ads_daily", "ads_by_region", "campaigns_by_hour"]
-    return wh.catalog_profile(tb.views(spark, d, names))
+    """All seven views; each is counted where it is, nothing is copied."""
+    views = {name: tb.VIEWS[name](spark, d) for name in CATALOG}
+    views["funnel_by_month"] = funnel_by_period(views["ads_daily"])
+    views["ad_lifecycle"] = ad_lifecycle(views["ads_daily"])
+    return wh.catalog_profile(views)
 
 
 LEDGER = """ledger AS (SELECT 'base' AS pass, strftime(date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS rows FROM ads_daily GROUP BY 2
+    UNION ALL SELECT 'age_gender', strftime(date, '%Y-%m'), count(*) FROM ads_by_age_gender GROUP BY 2
+    UNION ALL SELECT 'placement', strftime(date, '%Y-%m'), count(*) FROM ads_by_placement GROUP BY 2
     UNION ALL SELECT 'region', strftime(date, '%Y-%m'), count(*) FROM ads_by_region GROUP BY 2
     UNION ALL SELECT 'hourly', 'lump', count(*) FROM campaigns_by_hour)"""
-LEDGER_VIEWS = ["ads_daily", "ads_by_region", "campaigns_by_hour"]
+LEDGER_VIEWS = ["ads_daily", "ads_by_age_gender", "ads_by_placement", "ads_by_region", "campaigns_by_hour"]
 
 
 def ledger(spark, d):
@@ -394,6 +410,8 @@ def ledger(spark, d):
     return wh.ledger(
         {
             "base": tb.ads_daily(spark, d).select(month),
+            "age_gender": tb.ads_by_age_gender(spark, d).select(month),
+            "placement": tb.ads_by_placement(spark, d).select(month),
             "region": tb.ads_by_region(spark, d).select(month),
             "hourly": tb.campaigns_by_hour(spark, d).select(F.lit("lump").alias("month")),
         }
