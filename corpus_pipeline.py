@@ -8,7 +8,9 @@
 5. sharding: the rows get a shard and a slot, uniformly at random, in shards of
    equal size.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``. ``docs`` is a scan of
+stored files in every stage, so that rows keep their numbers and no stage has to
+store the texts again.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs.select(*DOCUMENT_COLUMNS))
+    return neardup.deduplicate(docs.select(*DOCUMENT_COLUMNS), stored=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +37,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs.select(*DOCUMENT_COLUMNS), keep=DOCUMENT_COLUMNS)
+    mixed = mixing.mix(docs.select(*DOCUMENT_COLUMNS), keep=DOCUMENT_COLUMNS, stored=True)
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return mixed.select(*DOCUMENT_COLUMNS, copies.alias("copy")).drop("copy")
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shuffle(docs.select(*DOCUMENT_COLUMNS), SHARDS)
+    return sharding.shuffle(docs.select(*DOCUMENT_COLUMNS), SHARDS, stored=True)
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.session import scratch_path
+from spendlens.session import scratch_path, ship
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,7 +41,8 @@ class Workspace:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once: whole texts are long, and ten thousand of them too many."""
+    """Readies Python workers: this package, and batches they can hold (ten thousand whole texts are too many)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -65,20 +66,30 @@ def unit_hash(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def ranked(ws: Workspace, df: DataFrame, order: list, rank: str = "__rank", later: dict | None = None) -> DataFrame:
+def numbered(ws: Workspace, rows: DataFrame, stored: bool) -> DataFrame:
+    """Adds a unique row number ``__rid`` that is the same whenever the rows are read.
+
+    A plain scan of files numbers its rows alike every time (the split of files
+    into partitions does not depend on the columns read); other rows are stored
+    with their number.
+    """
+    out = rows.withColumn("__rid", F.monotonically_increasing_id())
+    return out if stored else ws.settle(out, "rows")
+
+
+def ranked(ws: Workspace, df: DataFrame, order: list, rank: str = "__rank") -> DataFrame:
     """Adds the gapless position of each row in ``order`` without a single task.
 
     Rows are range partitioned and sorted, stored, counted for each partition,
     and get the partition's offset plus their place inside. Rows equal in
     ``order`` are numbered in any order. Nothing but one row for each partition
     is summed in one place, and that table is bounded by the partition count.
-    ``later`` are columns worked out after the exchange, once for each row.
     """
     part, at = F.spark_partition_id(), F.monotonically_increasing_id()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = ws.settle(
         df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .withColumns(later or {}).select("*", part.alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")),
+        .select("*", part.alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")),
         "ranked",
     )
     counts = laid.groupBy("__part").count().collect()  # one row for each partition

@@ -1,9 +1,10 @@
 """Connected components of a table of links, by contraction.
 
-Every round each node points to the neighbour (or itself) of smallest hashed
-priority, links are moved to the nodes pointed at, and links inside one node go.
-Priorities are hashed anew each round, so chains shrink by a constant factor and
-the number of rounds is logarithmic. Links and pointers of a round are stored in
+Every round each node points to the neighbour (or itself) that comes first,
+links are moved to the nodes pointed at, and links inside one node go. In every
+other round nodes come in their own order, which folds a group around its
+smallest node at once; in between in a hashed order, so that chains of any order
+shrink by a constant factor and the number of rounds is logarithmic. Links and pointers of a round are stored in
 the shared folder; nothing but a count reaches the driver. Minima are combined
 before they are shuffled, so a node with a third of all links is no hot task.
 """
@@ -27,10 +28,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hops, k = [], 0
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("p"), F.col(c).alias("n"))
+        rank = lambda c: F.struct((F.xxhash64(F.lit(k), c) if k % 2 else F.lit(0).cast("long")).alias("p"), F.col(c).alias("n"))
         points = ws.settle(
             both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m"))
-            .select("node", F.least("m", F.struct(F.xxhash64(F.lit(k), "node").alias("p"), F.col("node").alias("n")))["n"].alias("to")),
+            .select("node", F.least("m", rank("node"))["n"].alias("to")),
             f"points{k}",
         )
         hops.append(points)
@@ -73,7 +74,7 @@ def resolve(
     Every two keys of a bucket are decided or end in one component, but not as all
     pairs: first each key with the smallest of its bucket; then components are
     formed, that leader is done, and buckets that still hold several components
-    take more leaders (four, sixteen, ... expected, up to all). A bucket of close
+    take more leaders (64, 4096, ... expected, up to all). A bucket of close
     copies is settled by its first leader. Buckets are never gathered: leaders meet
     their bucket by a join that splits, and the cheap test is part of that join.
     """
@@ -92,14 +93,14 @@ def resolve(
     links = ws.settle(verify(tested), "links0")
     left = led.drop("leader")
     held, k = [led, tested, links], 0
+    classes = components(links)
     while True:
-        classes = components(links)
         named = left.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
         k += 1
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
         now = ws.settle(
-            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(4.0**k) / F.col("size")).drop("size"),
+            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(64.0**k) / F.col("size")).drop("size"),
             f"open{k}",
         )
         held.append(now)
@@ -114,12 +115,13 @@ def resolve(
         # of two leaders, the pair is made once
         once = ~F.col("leads") | (F.col("x_key") < F.col("y_key"))
         fresh = (
-            wide.alias("w").join(leaders.alias("l"), (F.col("w.bucket") == F.col("l.bucket")) & (F.col("root") != F.col("lead_root")) & once & near("x", "y") & first("x", "y"))
+            wide.alias("w").join(leaders.alias("l"), (F.col("w.bucket") == F.col("l.bucket")) & (F.col("root") != F.col("lead_root")) & once & first("x", "y") & near("x", "y"))
             .select(*ordered("x_key", "y_key")).distinct().join(tested, ["a", "b"], "left_anti")
         )
         fresh = ws.settle(fresh, f"pairs{k}")
         more = ws.settle(verify(fresh), f"links{k}")
         held += [fresh, more]
         tested = tested.unionByName(fresh)
-        links = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        if more.limit(1).count():
+            classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         left = now.filter("not leads").drop("root", "leads")

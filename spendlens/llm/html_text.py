@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spendlens.llm.common import small_batches
+
 # fixed values: element names of HTML, by the role they play here
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style template noscript title textarea select svg math iframe object audio video canvas datalist".split())
@@ -388,6 +390,7 @@ def main_text(html: str | None, field: Field) -> str:
 
 def extract(pages: DataFrame, field: Field | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds text and n_chars to each page."""
+    small_batches(pages.sparkSession)
     results = ("text", "n_chars")
     names = [c for c in (pages.columns if keep is None else keep) if c not in results]
     sent = pages.sparkSession.sparkContext.broadcast(field or learned())

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Workspace, ranked, text_or_empty, unit_hash
+from spendlens.llm.common import Workspace, numbered, ranked, text_or_empty, unit_hash
 
 CHUNK = 64
 CAP = 3
@@ -144,25 +144,35 @@ def pivotal(ws: Workspace, due: DataFrame, seed: int = SEED) -> DataFrame:
         level += 1
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """Adds size, source_size, target, copies and taken (copies x size) to each document."""
+def mix(
+    documents: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    cap: int = CAP,
+    seed: int = SEED,
+    keep: list[str] | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """Adds size, source_size, target, copies and taken (copies x size) to each document.
+
+    ``keep`` names the columns to return beside the results (default: all);
+    ``stored`` says that the rows are a plain scan of files.
+    """
     ws = Workspace(documents.sparkSession, "mixing")
     names = [c for c in (documents.columns if keep is None else keep) if c not in RESULTS]
+    source = numbered(ws, documents, stored)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), text_or_empty()).alias("__order")
-    rows = documents.select(
-        *names, F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), order,
-        *([] if "text" in names else ["text"]),
+    narrow = ws.settle(
+        source.select("__rid", F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), order, word_count().alias("size")), "narrow"
     )
     # numbered within all sources together; a source's first number is its offset
-    placed = ranked(
-        ws, rows, [F.col("__source").asc_nulls_last(), "__order", "__doc"], "__id", {"size": word_count()}
-    ).drop(*({"text"} - set(names)))
+    placed = ranked(ws, narrow, [F.col("__source").asc_nulls_last(), "__order", "__doc"], "__id")
     goal = targets(placed.select(F.col("__source").alias("source"), "size"), weights, cap)
     first = placed.groupBy("__source").agg(F.min("__id").alias("__first"))
     goal = goal.join(first, F.col("source").eqNullSafe(F.col("__source"))).select(
         F.col("__source").alias("__s"), "at", "source_size", "target", "__first"
     )
     goal = ws.settle(goal, "goal")  # one row for each source
+    ws.drop(narrow)
     all_rows = placed.join(goal, F.col("__source").eqNullSafe(F.col("__s"))).withColumn(
         "__rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
@@ -175,4 +185,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = C
     out = all_rows.join(copy, F.col("__id") == F.col("id"), "left").withColumn(
         "copies", F.floor("__rate").cast("long") + F.coalesce(F.col("copy"), F.lit(0))
     )
-    return out.select(*names, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    results = ["size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    if set(names) <= {"doc_id", "source"}:
+        return out.select(*[F.col({"doc_id": "__doc", "source": "__source"}[c]).alias(c) for c in names], *results)
+    mixed = out.select(F.col("__rid").alias("__row"), *results)
+    return source.select("__rid", *names).join(mixed, F.col("__rid") == F.col("__row")).select(*names, *RESULTS)

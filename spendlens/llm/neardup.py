@@ -15,16 +15,14 @@ to a time at which all registers are expected full are made, about m log m a
 text whatever its length; texts with an empty register go on to twice the time.
 
 Candidates. Equal multisets are one node. Bands of rows are buckets; a bucket
-of one node is dropped. Instead of all pairs, every node of a bucket is checked
-against the bucket's leader; then components are formed, the leader is done, and
-buckets that still hold nodes of different components go on with more leaders
-(four, sixteen, ... as shares of the bucket), until every pair of a bucket was
-checked or lies in one component. No link between different components is lost
-and no bucket is cut. A cheap bound on sizes and on signature agreement (six
-deviations below the threshold) goes before the exact overlap of the texts.
+of one node is dropped. How the nodes of a bucket meet without all pairs is told
+in ``components.resolve``: leaders first, further ones only where a bucket holds
+different components. Part of that join is a cheap test on sizes, on four bits
+of each register, four deviations below the threshold, and on histograms of the
+shingles; what passes is decided by the exact overlap of the texts. No bucket is cut and no link lost by size.
 
 With bands of 6 rows, 32 of them, a pair at similarity 0.8 shares no bucket
-with probability 6e-5, at 0.9 with 1e-11.
+with probability 6e-5 (at 0.9: 1e-11) and fails the cheap test with 3e-5.
 
 Defined results: texts without words are linked when they are equal (null is
 the empty text); repeated rows are members of the same class; a class is named
@@ -38,18 +36,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendlens.llm import words as W
-from spendlens.llm.common import Workspace
-from spendlens.llm.components import components
+from spendlens.llm.common import Workspace, numbered
+from spendlens.llm.components import resolve
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction: 0.8
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
+CLASSES = 256
 U = W.U
 
 
@@ -100,7 +98,7 @@ def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) ->
         time, k = np.zeros(len(live)), 0
         while len(live):
             k += 1
-            point = W.mix(seed[live] + U(0x9E3779B97F4A7C15) * U(k))
+            point = W.mix(seed[live] + U(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF))
             time = time - np.log(((point >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) * REGISTERS / (rate[live] * REGISTERS)
             near = time <= until[doc[live]]
             live, time, point = live[near], time[near], point[near]
@@ -135,6 +133,8 @@ def describe(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         "__key": pa.array(keys, pa.binary()),
         "__n": pa.array(n),
         "__sig": pa.array([signed[i].tobytes() if n[i] else None for i in range(rows)], pa.binary()),
+        "__histogram": pa.array(histograms(row, h, count, rows), pa.list_(pa.int8())),
+        "__sketch": pa.array(list(sketches(signed)), pa.list_(pa.int32())),
     }
 
 
@@ -151,14 +151,41 @@ def overlap(a, b) -> np.ndarray:
     return np.bincount(row[twin] if len(twin) else row[:0], weights=least, minlength=len(a)).astype(np.int64)
 
 
-def _agree(batches):
-    """Keeps pairs whose signatures agree nearly often enough."""
+def sketches(signed: np.ndarray) -> np.ndarray:
+    """Four bits of each register, the six of a band to a number: rows x BANDS."""
+    nibbles = (signed & 0xF).astype(np.int32).reshape(len(signed), BANDS, ROWS)
+    return (nibbles << (4 * np.arange(ROWS, dtype=np.int32))).sum(axis=2, dtype=np.int32)
+
+
+def histograms(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) -> list:
+    """Shingles by hash in ``CLASSES`` classes; None for texts of too many shingles."""
+    n = np.bincount(row, weights=count, minlength=rows)
+    at = row * CLASSES + (W.mix(h) % U(CLASSES)).astype(np.int64)
+    table = np.bincount(at, weights=count, minlength=rows * CLASSES).reshape(rows, CLASSES)
+    fits = (n > 0) & (n <= 20 * CLASSES) & (table.max(axis=1) < 128)
+    return [t if ok else None for t, ok in zip(table.astype(np.int8), fits)]
+
+
+def near(x: str, y: str) -> Column:
+    """Whether sizes, sketches and histograms of two nodes allow the similarity.
+
+    Sketches may be four deviations below it. Two texts share no more shingles
+    than the smaller counts of all classes, so histograms reject without error.
+    """
     share = SIMILARITY[0] / SIMILARITY[1]
-    least = share - 6 * (share * (1 - share) / REGISTERS) ** 0.5
-    for batch in batches:
-        sig = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for k in (2, 3)]
-        near = (sig[0] == sig[1]).mean(axis=1) >= least
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+    differ = (1 - share) * 15 / 16  # four bits agree by chance, too
+    most = int(REGISTERS * differ + 4 * (REGISTERS * differ * (1 - differ)) ** 0.5)
+    # one bit for each register whose four bits differ
+    spread = f"transform(zip_with({x}_sketch, {y}_sketch, (a, b) -> a ^ b), d -> d | shiftright(d, 1) | shiftright(d, 2) | shiftright(d, 3))"
+    apart = f"aggregate({spread}, 0, (n, d) -> n + bit_count(d & {int('1' * ROWS, 16)}))"
+    both = f"aggregate(zip_with({x}_histogram, {y}_histogram, (a, b) -> int(least(a, b))), 0, (n, c) -> n + c)"
+    room = f"coalesce({both} * {sum(SIMILARITY)} >= ({x}_n + {y}_n) * {SIMILARITY[0]}, true)"
+    return F.expr(f"least({x}_n, {y}_n) * {SIMILARITY[1]} >= greatest({x}_n, {y}_n) * {SIMILARITY[0]} AND {apart} <= {most} AND {room}")
+
+
+def first(x: str, y: str) -> Column:
+    """The bucket's band is the first that the two nodes share."""
+    return F.expr(f"array_position(zip_with({x}_sketch, {y}_sketch, (a, b) -> a = b), true) = band + 1")
 
 
 def _overlapping(batches):
@@ -171,92 +198,60 @@ def _overlapping(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
 
-def signed(ws: Workspace, documents: DataFrame) -> DataFrame:
-    """The documents stored with row number, node key, size and signature."""
-    names = documents.columns
-    schema = T.StructType(
-        [*documents.schema.fields, T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType()), T.StructField("__sig", T.BinaryType())]
+def signed(ws: Workspace, documents: DataFrame, stored: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents with a row number, and row number, doc_id and description of each, stored."""
+    source = numbered(ws, documents, stored)
+    schema = (
+        "__rid long, doc_id long, __key binary, __n long, __sig binary, __histogram array<tinyint>, __sketch array<int>"
     )
 
     def run(batches):
         for block in W.blocks(batches):
             got = describe(block)
-            yield pa.RecordBatch.from_arrays([*block.columns, *got.values()], names=[*names, *got])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *got.values()], names=["__rid", "doc_id", *got])
 
-    return ws.settle(
-        documents.mapInArrow(run, schema).withColumn("__rid", F.monotonically_increasing_id()), "signed"
-    )
+    read = source.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source, ws.settle(read.mapInArrow(run, schema), "signed")
 
 
-def link(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """``key, root`` for nodes that are linked to others; rows as stored by ``signed``."""
-    ratio = SIMILARITY[0] / SIMILARITY[1]
+def link(ws: Workspace, source: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, root`` for nodes that are linked to others; see ``signed`` for the two tables."""
     nodes = ws.settle(
-        rows.filter("__sig is not null").groupBy(F.col("__key").alias("key")).agg(F.first("__n").alias("n"), F.first("__sig").alias("sig")),
+        rows.filter("__sig is not null").groupBy(F.col("__key").alias("key")).agg(
+            F.first("__n").alias("n"), F.first("__sig").alias("sig"), F.first("__sketch").alias("sketch"), F.first("__histogram").alias("histogram"), F.min("__rid").alias("__rid")
+        ),
         "nodes",
     )
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     spread = nodes.select("key", "sig", band.alias("band")).select(
-        "key", F.expr(f"xxhash64(band, substring(sig, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
-    )
-    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).filter("size > 1")
-    buckets = ws.settle(spread.join(several, "bucket").select("bucket", "key", "leader"), "buckets")
-    texts = ws.settle(
-        rows.select(F.col("__key").alias("key"), "text")
-        .join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")),
-        "texts",
+        "key", "band", F.expr(f"xxhash64(band, substring(sig, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
     )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-            F.least("na", "nb") >= F.greatest("na", "nb") * (ratio - 1e-9)
-        )
-        near = sized.select("a", "b", "sa", "sb").mapInArrow(_agree, "a binary, b binary")
-        text = lambda x: texts.join(nodes.select("key", "n"), "key").select(F.col("key").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
-        return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb", "na", "nb").mapInArrow(
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    buckets = ws.settle(spread.join(several, "bucket"), "buckets")
+    wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi")
+    wanted = ws.settle(wanted.select("key", "n", "sketch", "histogram", "__rid"), "wanted")
+    texts = ws.settle(source.select("__rid", "text").join(wanted.select("__rid", "key", "n"), "__rid").drop("__rid"), "texts")  # one of each node
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+        return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb", "na", "nb").mapInArrow(
             _overlapping, "a binary, b binary"
         )
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = ws.settle(buckets.filter("key <> leader").select(*ordered("leader", "key")).distinct(), "pairs0")
-    links = ws.settle(verified(tested), "links0")
-    left = buckets.filter("key <> leader").select("bucket", "key")
-    held = [tested, links]
-    k = 0
-    while True:
-        classes = components(links)
-        named = left.join(classes.withColumnRenamed("node", "key"), "key", "left").select(
-            "bucket", "key", F.coalesce("root", "key").alias("root")
-        )
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        k += 1
-        draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
-        now = ws.settle(
-            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(4.0**k) / F.col("size")).drop("size"),
-            f"open{k}",
-        )
-        if not now.limit(1).count():
-            ws.drop(nodes, buckets, texts, *held, now)
-            return classes.select(F.col("node").alias("key"), "root")
-        leaders = now.filter("leads").select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root"))
-        fresh = (
-            now.join(leaders, "bucket").filter("root <> lead_root").select(*ordered("lead", "key")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        fresh = ws.settle(fresh, f"pairs{k}")
-        more = ws.settle(verified(fresh), f"links{k}")
-        tested = tested.unionByName(fresh)
-        held += [now, fresh, more]
-        links = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-        left = now.filter("not leads").select("bucket", "key")
-
-
-def classify(documents: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_size`` for each document."""
-    ws = Workspace(documents.sparkSession, "neardup")
-    rows = signed(ws, documents.select("doc_id", "text"))
-    roots = link(ws, rows)
+    roots = resolve(ws, wanted.select("key", "n", "sketch", "histogram"), buckets, verify, near, first)
+    ws.drop(nodes, buckets, wanted, texts)
+    return roots
+
+
+def classify(documents: DataFrame, stored: bool = False) -> DataFrame:
+    """``doc_id, class_id, class_size`` for each document.
+
+    ``stored`` says that the rows are a plain scan of files, which gives each row
+    the same number every time; other rows are stored first.
+    """
+    ws = Workspace(documents.sparkSession, "neardup", batches=True)
+    source, rows = signed(ws, documents.select("doc_id", "text"), stored)
+    roots = link(ws, source, rows)
     per_key = rows.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     placed = per_key.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = placed.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
@@ -264,16 +259,17 @@ def classify(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("__key").alias("key")).join(of_key, "key").select("doc_id", "class_id", "class_size")
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
+def deduplicate(documents: DataFrame, stored: bool = False) -> DataFrame:
     """One document of each class: the one of smallest doc_id (nulls last), with its own columns."""
-    ws = Workspace(documents.sparkSession, "neardup")
-    rows = signed(ws, documents)
-    roots = link(ws, rows)
+    ws = Workspace(documents.sparkSession, "neardup", batches=True)
+    source, rows = signed(ws, documents, stored)
+    roots = link(ws, source, rows)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__rid").alias("rid"))
     per_key = rows.groupBy(F.col("__key").alias("key")).agg(F.min(first).alias("first"))
     placed = per_key.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = ws.settle(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid")), "kept")
-    return rows.join(kept, "__rid", "left_semi").select(*documents.columns)
+    ws.drop(rows)
+    return source.join(kept, "__rid", "left_semi").select(*documents.columns)
 
 
 _WORDS = (

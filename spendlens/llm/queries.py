@@ -8,7 +8,7 @@ from spendlens.llm.common import table
 
 
 def op1_bagminhash_neardup(spark, sf_dir):
-    return neardup.classify(table(spark, sf_dir, "documents"))
+    return neardup.classify(table(spark, sf_dir, "documents"), stored=True)
 
 
 def op2_ftrl_toxicity(spark, sf_dir):
@@ -50,7 +50,7 @@ def op9_hypergeometric_sharding(spark, sf_dir):
 
 def op10_pivotal_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, keep=["doc_id", "source"]).select(
+    return mixing.mix(docs, keep=["doc_id", "source"], stored=True).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
     )
 

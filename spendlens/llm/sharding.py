@@ -91,13 +91,18 @@ def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shuffle(df: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to each row; laid out and sorted by both."""
-    ws = Workspace(df.sparkSession, "sharding")
+def shuffle(df: DataFrame, shards: int, seed: int = SEED, stored: bool = False) -> DataFrame:
+    """Adds ``shard`` and ``slot`` to each row; laid out and sorted by both.
+
+    ``stored`` says that the rows are a plain scan of files, whose partitions are
+    the senders; other rows are stored first.
+    """
+    ws = Workspace(df.sparkSession, "sharding", batches=True)
     results = ("shard", "slot")
     rows = df.drop(*results)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    laid = ws.settle(rows.withColumns({"__part": F.spark_partition_id(), "__place": place}), "laid")
+    laid = rows.withColumns({"__part": F.spark_partition_id(), "__place": place})
+    laid = laid if stored else ws.settle(laid, "laid")
     counts = {r["__part"]: r["count"] for r in laid.groupBy("__part").count().collect()}
     parts = max(counts, default=-1) + 1
     size = np.array([counts.get(p, 0) for p in range(parts)], dtype=np.int64)

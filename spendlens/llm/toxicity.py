@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm import words as W
-from spendlens.llm.common import Workspace, crc_mod
+from spendlens.llm.common import Workspace, crc_mod, small_batches
 
 BUCKETS = 1 << 24
 SAMPLE = 20_000
@@ -37,13 +37,20 @@ ALPHA, BETA, L1, L2 = 4.0, 1.0, 6.0, 0.02
 RESULTS = ["score", "predicted"]
 
 
-def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) pairs of all texts of a batch, sorted by row, each once."""
+def features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) pairs of all texts of a batch, sorted by row, each once.
+
+    ``wanted`` marks the buckets to return (default: all).
+    """
     row, _, _, h = W.hashed(*W.texts(batch.column(batch.schema.get_field_index("text"))), W.ALNUM)
-    kinds = [(row, h), W.grams(row, h, 2), W.grams(row, h, 2, 2), W.grams(row, h, 2, 3)]
-    rows = np.concatenate([r for r, _ in kinds])
-    at = np.concatenate([W.mix(g + W.U(k)) & W.U(BUCKETS - 1) for k, (_, g) in enumerate(kinds)])
-    key = np.unique((rows.astype(W.U) << W.U(24)) | at)
+    keys = []
+    for k, (r, g) in enumerate([(row, h), W.grams(row, h, 2), W.grams(row, h, 2, 2), W.grams(row, h, 2, 3)]):
+        at = W.mix(g + W.U(k)) & W.U(BUCKETS - 1)
+        if wanted is not None:
+            some = wanted[at]
+            r, at = r[some], at[some]
+        keys.append((r.astype(W.U) << W.U(24)) | at)
+    key = np.unique(np.concatenate(keys))
     return (key >> W.U(24)).astype(np.int64), (key & W.U(BUCKETS - 1)).astype(np.int64)
 
 
@@ -74,7 +81,7 @@ def train(documents: DataFrame, labels: DataFrame, use: Column | None = None, sa
 
     ``use`` is a condition on doc_id for the rows to learn from.
     """
-    ws = Workspace(documents.sparkSession, "toxicity")
+    ws = Workspace(documents.sparkSession, "toxicity", batches=True)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if use is not None:
         known = known.filter(use)
@@ -102,6 +109,7 @@ def train(documents: DataFrame, labels: DataFrame, use: Column | None = None, sa
 
 def score(documents: DataFrame, model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Adds score and predicted to each document."""
+    small_batches(documents.sparkSession)
     names = [c for c in (documents.columns if keep is None else keep) if c not in RESULTS]
     sent = documents.sparkSession.sparkContext.broadcast(model)
     read = documents.select(*dict.fromkeys([*names, "text"]))
@@ -109,13 +117,11 @@ def score(documents: DataFrame, model, threshold: float = THRESHOLD, keep: list[
 
     def run(batches):
         at, w, bias = sent.value
+        wanted = np.zeros(BUCKETS, dtype=bool)
+        wanted[at] = True
         for block in W.blocks(batches):
-            row, bucket = features(block)
-            sums = np.full(block.num_rows, bias)
-            if len(at):
-                spot = np.minimum(np.searchsorted(at, bucket), len(at) - 1)
-                has = at[spot] == bucket
-                sums += np.bincount(row[has], weights=w[spot[has]], minlength=block.num_rows)
+            row, bucket = features(block, wanted)
+            sums = bias + np.bincount(row, weights=w[np.searchsorted(at, bucket)], minlength=block.num_rows)
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             arrays = [block.column(block.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(

@@ -86,18 +86,58 @@ def test_classes_against_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(sizes)
 
 
-def test_rounds_find_links_that_leaders_miss(spark, monkeypatch):
-    """With one coarse band all texts share a bucket, so most links are not with its leader."""
-    monkeypatch.setattr(N, "BANDS", 1)
-    rows = []
-    for group in range(12):
-        base = [f"g{group}w{i}" for i in range(40)]
-        rows += [(len(rows) + k, " ".join(base[:-1] + [f"end{k}"]), "x") for k in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_rounds_find_links_that_leaders_miss(spark):
+    """All keys share one bucket; most links are not with its leader."""
+    from pyspark.sql import functions as F
+
+    from spendlens.llm.components import resolve
+
     ws = N.Workspace(spark, "test")
-    stored = N.signed(ws, docs).withColumn("__sig", N.F.when(N.F.col("__sig").isNotNull(), N.F.lit(b"\0" * 2 * N.REGISTERS)))
-    monkeypatch.setattr(N, "_agree", lambda batches: (b.select(["a", "b"]) for b in batches))
-    assert len({r["root"] for r in N.link(ws, stored).collect()}) == 12
+    nodes = spark.range(60).select(F.col("id").alias("key"))
+    buckets = nodes.select(F.lit(1).alias("bucket"), "key").unionByName(nodes.filter("key < 9").select(F.lit(2).alias("bucket"), "key"))
+    verify = lambda pairs: pairs.filter("a % 20 = b % 20 and b - a <= 20")  # noqa: E731  chains of three
+    got = {r["key"]: r["root"] for r in resolve(ws, nodes, buckets, verify).collect()}
+    assert got == {i: i % 20 for i in range(60)}
+
+
+def test_sketch_bounds(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**16, (50, N.REGISTERS)).astype("<u2")
+    b = a.copy()
+    for i in range(50):
+        change = rng.choice(N.REGISTERS, 2 * i, replace=False)
+        b[i, change] = rng.integers(0, 2**16, len(change))
+    sa, sb = N.sketches(a).tolist(), N.sketches(b).tolist()
+    rows = [(i, band, 10, 10, sa[i], sb[i], None, None) for i in range(50) for band in range(N.BANDS)]
+    df = spark.createDataFrame(rows, "i int, band int, x_n int, y_n int, x_sketch array<int>, y_sketch array<int>, x_histogram array<tinyint>, y_histogram array<tinyint>")
+    got = df.select("i", "band", N.near("x", "y").alias("near"), N.first("x", "y").alias("first")).collect()
+    apart = ((a & 15) != (b & 15)).sum(axis=1)
+    for r in got:
+        same = ((a[r["i"]] & 15) == (b[r["i"]] & 15)).reshape(N.BANDS, N.ROWS).all(axis=1)
+        assert r["near"] == (apart[r["i"]] <= 57) and r["first"] == (same[r["band"]] and not same[: r["band"]].any())
+    assert not df.withColumn("x_n", F.lit(7)).filter(N.near("x", "y")).count()
+
+
+def test_histograms_never_reject_a_link(spark):
+    """Pairs around the threshold: whatever is similar passes, most that is not is rejected."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, truth = [], []
+    for i in range(80):
+        a = rng.choice(vocabulary, 150).tolist()
+        b = list(a)
+        for _ in range(i // 6):
+            b[int(rng.integers(0, 150))] = "other"
+        a, b = " ".join(a), " ".join(b)
+        side = lambda t: (N.counted(*N.shingles(pa.array([t]))), sum(bag(t).values()))
+        (ha, na), (hb, nb) = side(a), side(b)
+        rows.append((i, na, nb, [0] * N.BANDS, [0] * N.BANDS, N.histograms(*ha, 1)[0].tolist(), N.histograms(*hb, 1)[0].tolist()))
+        truth.append(similar(a, b))
+    df = spark.createDataFrame(rows, "i int, x_n int, y_n int, x_sketch array<int>, y_sketch array<int>, x_histogram array<tinyint>, y_histogram array<tinyint>")
+    got = {r["i"]: r["near"] for r in df.select("i", N.near("x", "y").alias("near")).collect()}
+    assert all(got[i] for i in range(80) if truth[i]) and sum(got[i] for i in range(80) if not truth[i]) < 15
 
 
 def test_nulls_repeats_and_empty_tables(spark):

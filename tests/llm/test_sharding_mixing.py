@@ -87,3 +87,15 @@ def test_expected_copies_are_kept(spark):
         for r in mixing.mix(docs, weights=(1, 3), seed=seed).collect():
             totals[r["source"]] += r["copies"]
     assert abs(totals["a"] / 360 - 0.5) < 0.06 and abs(totals["b"] / 360 - 1.5) < 0.06
+
+
+def test_stored_scans_need_no_copy(spark, tmp_path):
+    rows = [(i % 90, f"s{i % 3}", "w " * (i % 7), i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, other long").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = lambda df: Counter(df.select("doc_id", "source", "text", "other", "copies").collect())
+    assert key(mixing.mix(docs, stored=True)) == key(mixing.mix(docs))
+    dealt = sharding.shuffle(docs, 4, stored=True).collect()
+    assert Counter((r["doc_id"], r["source"], r["text"], r["other"]) for r in dealt) == Counter(rows)
+    for s in range(4):
+        assert sorted(r["slot"] for r in dealt if r["shard"] == s) == list(range(75))
