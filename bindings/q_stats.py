@@ -63,7 +63,7 @@ PART_P = "(SELECT p_brand AS family, power((p_partkey * 7919 % 10007) / 10007, 2
 def win7(spark, d):
     p = F.pow((F.col("p_partkey") * 7919 % 10007) / 10007, F.lit(2.0))
     rows = tb.load(spark, d, "part").select(F.col("p_brand").alias("family"), p.alias("p"))
-    return stats.step_up(rows, "p", "q", ["family"])
+    return stats.benjamini_hochberg(rows, "p", "q", ["family"])
 
 
 @query(
