@@ -496,7 +496,7 @@ def win12(spark, d):
 )
 def win13(spark, d):
     daily = tb.ads_daily(spark, d)
-    return funnel.launch_window(daily, star.dim_ad(daily))
+    return funnel.launch_window(daily)
 
 
 @query(

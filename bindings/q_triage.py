@@ -10,7 +10,7 @@ from bindings.q_stats import AUC_CI, WEIGHTED_AUC
 from bindings.registry import query
 from bindings.sql_tails import rho_p
 from bindings.sql_draws import key_text, poisson_ctes
-from spendlens.operators import bootstrap, stats, triage
+from spendlens.operators import stats, triage
 
 EARLY, MIN_DAYS = 2, 5
 TRIAGE = f"""{PANEL},

@@ -353,11 +353,20 @@ def year_to_date(df: DataFrame) -> DataFrame:
     return daily.withColumn("spend_ytd", F.sum("spend").over(running))
 
 
-def launch_window(df: DataFrame, first_days: DataFrame, days: int = 1) -> DataFrame:
-    """Per ad: spend and checkouts within ``days`` calendar days of the first one."""
+def launch_window(df: DataFrame, first_days: DataFrame | None = None, days: int = 1) -> DataFrame:
+    """Per ad: spend and checkouts within ``days`` calendar days of the first one.
+
+    Rows are summed by ad and day before anything is shuffled. The first day is
+    the ad's earliest in ``df`` (a window over a row for each day), unless
+    ``first_days`` names it.
+    """
     since = F.datediff("date", "first_day")
     early = since <= days
-    joined = df.join(first_days.select("ad_id", "first_day"), "ad_id")
+    daily = df.groupBy("ad_id", "date").agg(F.sum("spend").alias("spend"), F.sum("initiate_checkout").alias("initiate_checkout"))
+    if first_days is None:
+        joined = daily.withColumn("first_day", F.min("date").over(Window.partitionBy("ad_id")))
+    else:
+        joined = daily.join(first_days.select("ad_id", "first_day"), "ad_id")
     return joined.groupBy("ad_id").agg(
         F.sum(F.when(early, F.col("spend"))).alias("spend_launch"),
         F.sum(F.when(early, F.col("initiate_checkout"))).alias("checkouts_launch"),

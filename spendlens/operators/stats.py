@@ -9,7 +9,6 @@ from spendlens.functions.tails import normal_two_sided, student_two_sided
 from spendlens.operators.sharing import shared
 from spendlens.operators.ordering import (
     exact_percentiles,
-    mid_ranks,
     value_counts,
     with_running_sums,
     with_slices,
