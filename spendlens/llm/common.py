@@ -25,8 +25,12 @@ class Workspace:
     def path(self, step: str) -> str:
         return scratch_path(self.spark, f"{self.name}-{step}")
 
-    def settle(self, df: DataFrame, step: str) -> DataFrame:
+    def settle(self, df: DataFrame, step: str, like: DataFrame | None = None) -> DataFrame:
+        """Stores a table and returns the copy; one no larger than about twice the stored
+        table ``like`` is written by twice as many tasks as that takes to read."""
         path = self.path(step)
+        if like is not None:
+            df = df.coalesce(max(8, 2 * like.rdd.getNumPartitions()))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)

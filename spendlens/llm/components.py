@@ -26,21 +26,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
     )
     hops, k = [], 0
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct((F.xxhash64(F.lit(k), c) if k % 2 else F.lit(0).cast("long")).alias("p"), F.col(c).alias("n"))
         points = ws.settle(
             both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m"))
             .select("node", F.least("m", rank("node"))["n"].alias("to")),
-            f"points{k}",
+            f"points{k}", edges,
         )
         hops.append(points)
         moved = (
             edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(points.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-            .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         )
-        edges, last = ws.settle(moved, f"edges{k}"), edges
+        edges, last = ws.settle(moved, f"edges{k}", edges), edges
         ws.drop(last)
         k += 1
     ws.drop(edges)
@@ -50,7 +50,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for points in reversed(hops[:-1]):  # follow the pointers from the last round back
         after = end.select(F.col("node").alias("to"), F.col("to").alias("end"))
         end = points.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    end = ws.settle(end, "ends")
+    end = ws.settle(end, "ends", hops[0])
     ws.drop(*hops)
     least = end.groupBy("to").agg(F.min("node").alias("root"))
     return end.join(least, "to").select("node", "root")
@@ -74,7 +74,7 @@ def resolve(
     Every two keys of a bucket are decided or end in one component, but not as all
     pairs: first each key with the smallest of its bucket; then components are
     formed, that leader is done, and buckets that still hold several components
-    take more leaders (64, 4096, ... expected, up to all). A bucket of close
+    take more leaders (4, 64, 1024, ... expected, up to all). A bucket of close
     copies is settled by its first leader. Buckets are never gathered: leaders meet
     their bucket by a join that splits, and the cheap test is part of that join.
     """
@@ -100,11 +100,11 @@ def resolve(
         k += 1
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
         now = ws.settle(
-            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(64.0**k) / F.col("size")).drop("size"),
-            f"open{k}",
+            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(4.0 * 16.0 ** (k - 1)) / F.col("size")).drop("size"),
+            f"open{k}", led,
         )
         held.append(now)
-        if not now.limit(1).count():
+        if now.isEmpty():
             ws.drop(*held)
             return classes.select(F.col("node").alias("key"), "root")
         wide = now.join(side("x"), F.col("key") == F.col("x_key")).drop("key")
@@ -122,6 +122,6 @@ def resolve(
         more = ws.settle(verify(fresh), f"links{k}")
         held += [fresh, more]
         tested = tested.unionByName(fresh)
-        if more.limit(1).count():
+        if not more.isEmpty():
             classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         left = now.filter("not leads").drop("root", "leads")
