@@ -74,7 +74,7 @@ def resolve(
     Every two keys of a bucket are decided or end in one component, but not as all
     pairs: first each key with the smallest of its bucket; then components are
     formed, that leader is done, and buckets that still hold several components
-    take more leaders (4, 64, 1024, ... expected, up to all). A bucket of close
+    take more leaders (2, 64, 2048, ... expected, up to all). A bucket of close
     copies is settled by its first leader. Buckets are never gathered: leaders meet
     their bucket by a join that splits, and the cheap test is part of that join.
     """
@@ -100,7 +100,7 @@ def resolve(
         k += 1
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
         now = ws.settle(
-            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(4.0 * 16.0 ** (k - 1)) / F.col("size")).drop("size"),
+            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(2.0 * 32.0 ** (k - 1)) / F.col("size")).drop("size"),
             f"open{k}", led,
         )
         held.append(now)
