@@ -317,7 +317,7 @@ def _monthly(df):
 
 @query("src1_pass_scan", tb.with_tables("ads_daily", MONTHLY), dp={"spend": 2})
 def src1(spark, d):
-    return _monthly(wh.scan_pass(spark, stored_pass(spark, d), PASSES["base"]))
+    return _monthly(wh.scan_pass(spark, stored_pass(spark, d), PASSES["base"], pinned=True))
 
 
 @query("snk1_partitioned_write", tb.with_tables("ads_daily", MONTHLY), dp={"spend": 2})
@@ -457,7 +457,7 @@ def land(spark, d, landing, keep, mode, spend=None):
 
 
 def _by_month(spark, root):
-    return wh.scan_pass(spark, root, PASSES["base"]).groupBy("month").agg(
+    return wh.scan_pass(spark, root, PASSES["base"], pinned=True).groupBy("month").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("spend").alias("spend"),
         F.count(F.when(F.col("date").isNull(), 1)).alias("undated"),
         F.count(F.when(F.date_format("date", "yyyy-MM") != F.col("month"), 1)).alias("off_month"),

@@ -20,16 +20,17 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan_pass(spark: SparkSession, root: str, spec: PassSpec) -> DataFrame:
+def scan_pass(spark: SparkSession, root: str, spec: PassSpec, pinned: bool = False) -> DataFrame:
     """All months of a pass; columns missing from a month read as null.
 
-    The pinned schema of the pass unites the months by name, so no footer is
-    opened to find it. ``pass`` and ``month`` are partition columns, so filters
-    on them prune directories before any file is opened.
+    ``pinned`` takes the schema from the pass, as ingestion writes it, and opens
+    no footer to find it; without it months of any columns and types are united
+    by name from all footers. ``pass`` and ``month`` are partition columns, so
+    filters on them prune directories before any file is opened.
     """
+    reader = spark.read.schema(pass_schema(spec)) if pinned else spark.read.option("mergeSchema", True)
     return (
-        spark.read.schema(pass_schema(spec))
-        .option("basePath", root)
+        reader.option("basePath", root)
         .parquet(f"{root}/pass={spec.name}")
     )
 
