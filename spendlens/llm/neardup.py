@@ -183,9 +183,13 @@ def near(x: str, y: str) -> Column:
     return F.expr(f"least({x}_n, {y}_n) * {SIMILARITY[1]} >= greatest({x}_n, {y}_n) * {SIMILARITY[0]} AND {apart} <= {most} AND {room}")
 
 
-def first(x: str, y: str) -> Column:
-    """The bucket's band is the first that the two nodes share."""
-    return F.expr(f"array_position(zip_with({x}_sketch, {y}_sketch, (a, b) -> a = b), true) = band + 1")
+def first(x: str, y: str, bands: str = "sketch") -> Column:
+    """The bucket's band is the first in which the two nodes have equal ``bands``.
+
+    ``link`` takes the buckets themselves: sketches can agree in an earlier band
+    that is no bucket of both, and the pair would be made nowhere.
+    """
+    return F.expr(f"array_position(zip_with({x}_{bands}, {y}_{bands}, (a, b) -> a = b), true) = band + 1")
 
 
 def _overlapping(batches):
@@ -222,14 +226,12 @@ def link(ws: Workspace, source: DataFrame, rows: DataFrame) -> DataFrame:
         ),
         "nodes",
     )
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    spread = nodes.select("key", "sig", band.alias("band")).select(
-        "key", "band", F.expr(f"xxhash64(band, substring(sig, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
-    )
+    of_bands = F.expr(f"transform(sequence(0, {BANDS - 1}), band -> xxhash64(band, substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})))")
+    spread = nodes.select("key", F.posexplode(of_bands).alias("band", "bucket"))
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     buckets = ws.settle(spread.join(several, "bucket"), "buckets")
     wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi")
-    wanted = ws.settle(wanted.select("key", "n", "sketch", "histogram", "__rid"), "wanted")
+    wanted = ws.settle(wanted.select("key", "n", "sketch", "histogram", of_bands.alias("buckets"), "__rid"), "wanted")
     texts = ws.settle(source.select("__rid", "text").join(wanted.select("__rid", "key", "n"), "__rid").drop("__rid"), "texts")  # one of each node
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def link(ws: Workspace, source: DataFrame, rows: DataFrame) -> DataFrame:
             _overlapping, "a binary, b binary"
         )
 
-    roots = resolve(ws, wanted.select("key", "n", "sketch", "histogram"), buckets, verify, near, first)
+    roots = resolve(ws, wanted.select("key", "n", "sketch", "histogram", "buckets"), buckets, verify, near, lambda x, y: first(x, y, "buckets"))
     ws.drop(nodes, buckets, wanted, texts)
     return roots
 

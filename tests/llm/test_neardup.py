@@ -149,3 +149,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == Counter({(None, 3, 3): 1, (3, 3, 3): 2, (None, None, 1): 1})
     assert sorted((r["doc_id"] or 0) for r in N.deduplicate(docs).collect()) == [0, 3]
     assert N.classify(docs.limit(0)).count() == 0 and N.deduplicate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [58, 107])
+def test_links_inside_a_bucket_of_many_components(spark, seed):
+    """Pages of much common text: the two that are near share only large buckets, lead none of
+    them, and have equal sketches in an earlier band that is no bucket of both."""
+    rng = np.random.default_rng(seed)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    common = word(400)
+    page = lambda n: " ".join(common + word(n))
+    rows = [(i, page(200)) for i in range(120)] + [(120, page(42)), (121, page(42))]
+    want = brute(rows)
+    assert want[121] == 120 and len(set(want)) == 121
+    got = {r["doc_id"]: r["class_id"] for r in N.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
