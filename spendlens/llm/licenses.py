@@ -1,13 +1,15 @@
 """Licence scans: Dice coefficient of word bigrams between passages and licence templates.
 
 A text is normalised (A-Z in lower case, words of letters, digits and anything
-beyond ASCII) and cut into lines. Each window of consecutive lines that may hold
-a template is compared with it: 2 x common bigrams / (bigrams of both), as
-multisets. Sizes bound the coefficient: with p and q bigrams it is at most
-2 min(p, q) / (p + q), so a window only meets templates whose size lies between
-p x d / (2 - d) and p x (2 - d) / d for a threshold d, found by bisection in the
-templates ordered by size; a window with fewer than d / (2 - d) of its bigrams in
-any template is not compared at all.
+beyond ASCII). Each window of consecutive words, of one line or of several, that
+may hold a template is compared with it: 2 x common bigrams / (bigrams of both), as
+multisets. A window that begins or ends with a bigram the template does not have
+is worse than one without it, so windows go from one of the template's bigrams to
+another. Sizes bound the coefficient: with p and q bigrams it is at most
+2 min(p, q) / (p + q), so for a threshold d a window has at most q x (2 - d) / d
+bigrams and at least q x d / (2 - d) of them are the template's; places without so
+many in reach are not looked at. ``Templates.scan`` compares windows of whole
+lines only; ``Templates.passages`` is what documents are scanned with.
 
 Templates are a bounded table (``MAX_TEMPLATES``, checked) and broadcast; texts
 are read in blocks and scored in place, without a shuffle.
@@ -24,6 +26,7 @@ import bisect
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +136,15 @@ class Templates:
         self.seen = {g for _, _, b in made for g in b}
         self.low = threshold / (2 - threshold)
         self.largest = max(self.sizes, default=0) / self.low if made else 0
+        # which templates hold a bigram, and how often: a slice of ``owners`` and ``times`` for each
+        held: dict[tuple, list] = {}
+        for t, (_, _, b) in enumerate(made):
+            for g, n in b.items():
+                held.setdefault(g, []).append((t, n))
+        self.ids = {g: i for i, g in enumerate(held)}
+        self.edges = np.cumsum([0, *map(len, held.values())])
+        self.owners = np.array([t for x in held.values() for t, _ in x], dtype=np.int64)
+        self.times = np.array([n for x in held.values() for _, n in x], dtype=np.int64)
 
     def fitting(self, size: int) -> list:
         """Templates that a window of ``size`` bigrams can reach the threshold with."""
@@ -173,6 +185,70 @@ class Templates:
                         best[name] = {"licence": name, "dice": d, "from_line": first, "to_line": lines[j][0] + 1}
         return sorted(best.values(), key=lambda x: (-x["dice"], x["licence"]))
 
+    def passages(self, text: str | None) -> list[dict]:
+        """As ``scan`` over all windows of words, also those that begin or end inside a line."""
+        words, line = [], []
+        for k, part in enumerate((text or "").split("\n")):
+            more = normal(part)
+            words += more
+            line += [k] * len(more)
+        best = {}
+        for t, d, a, b in self._windows(words):
+            best[self.made[t][1]] = {"licence": self.made[t][1], "dice": d, "from_line": line[a], "to_line": line[b] + 1}
+        return sorted(best.values(), key=lambda x: (-x["dice"], x["licence"]))
+
+    def _windows(self, words: list[str]):
+        """(template, coefficient, first word, last word) of the best window of each template."""
+        get = self.ids.get
+        ids = [get(g, -1) for g in zip(words, words[1:])]
+        for k in sorted({w: k for k, w in reversed(list(enumerate(words))) if (w, "") in self.ids}.values()):
+            g = get((words[k], ""))  # templates of a single word
+            for t in self.owners[self.edges[g] : self.edges[g + 1]].tolist():
+                yield t, 1.0, k, k
+        ids = np.array(ids, dtype=np.int64)
+        at = np.flatnonzero(ids >= 0)
+        ids = ids[at]
+        many = self.edges[ids + 1] - self.edges[ids]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        slot = np.repeat(self.edges[ids], many) + inside
+        place, owner = np.repeat(at, many), self.owners[slot]
+        by = np.argsort(owner, kind="stable")
+        place, owner, slot = place[by], owner[by], slot[by]
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(owner)]):
+            t = int(owner[a])
+            q = self.sizes[t]
+            need, longest = max(1, int(np.ceil(q * self.low - 1e-9))), int(q / self.low + 1e-9)
+            if b - a < need:
+                continue
+            where = place[a:b]
+            starts = np.flatnonzero(where[need - 1 :] - where[: b - a - need + 1] < longest)
+            if len(starts):
+                found = self._best(where, slot[a:b], starts, q, longest)
+                if found:
+                    yield t, *found
+
+    def _best(self, where: np.ndarray, slot: np.ndarray, starts: np.ndarray, q: int, longest: int):
+        # of a bigram that the template has n times, an occurrence counts unless n before it are in the window
+        by = np.argsort(slot, kind="stable")
+        same, n = slot[by], self.times[slot[by]]
+        back = np.arange(len(by)) - n
+        before = np.full(len(by), -1, dtype=np.int64)
+        fits = np.flatnonzero(back >= 0)
+        fits = fits[same[back[fits]] == same[fits]]
+        before[by[fits]] = by[back[fits]]
+        best, found = self.threshold - 1e-12, None
+        ends = np.searchsorted(where, where[starts] + longest)
+        for i, e in zip(starts.tolist(), ends.tolist()):
+            hits = np.cumsum(before[i:e] < i)
+            if 2 * hits[-1] < best * (hits[-1] + q):
+                continue  # not even a window of these alone
+            d = 2 * hits / (where[i:e] - where[i] + 1 + q)
+            j = int(d.argmax())
+            if d[j] > best:
+                best, found = float(d[j]), (float(d[j]), int(where[i]), int(where[i + j]) + 1)
+        return found
+
 
 def scan(documents: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Adds ``licences``: name, coefficient and lines [from, to) of each licence found, the likeliest first.
@@ -194,7 +270,7 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, threshold: fl
     def run(batches):
         for block in W.blocks(batches):
             text = block.column(block.schema.get_field_index("text"))
-            found = [sent.value.scan(t.as_py()) for t in text]
+            found = [sent.value.passages(t.as_py()) for t in text]
             arrays = [block.column(block.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, kind)], names=[*names, "licences"])
 

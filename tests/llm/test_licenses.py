@@ -46,3 +46,39 @@ def test_documents(spark):
     none = spark.createDataFrame([], "licence string, text string")
     assert C.scan(docs, none).filter("size(licences) > 0").count() == 0
     assert C.scan(docs.limit(0)).count() == 0
+
+
+def brute_words(text, templates, threshold):
+    """All windows of words, wherever lines end."""
+    words = [w for x in (text or "").split("\n") for w in C.normal(x)]
+    best = {}
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            for name, t in templates:
+                d = C.dice(C.bigrams(words[i:j]), C.bigrams(C.normal(t)))
+                if d >= threshold and d > best.get(name, 0):
+                    best[name] = d
+    return best
+
+
+def test_windows_of_words_against_brute_force():
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(rng.choice(list("abcdefg"), n).tolist())
+    templates = [(f"t{i}", say(int(rng.integers(1, 14)))) for i in range(15)]
+    found = 0
+    for threshold in (0.5, 0.8):
+        ready = C.Templates(templates, threshold)
+        for _ in range(40):
+            text = "\n".join(say(int(rng.integers(0, 12))) for _ in range(int(rng.integers(0, 4))))
+            want = brute_words(text, templates, threshold)
+            found += len(want)
+            assert {x["licence"]: x["dice"] for x in ready.passages(text)} == pytest.approx(want)
+    assert found > 50
+
+
+def test_notices_inside_long_lines(spark):
+    prose = "some words of ordinary prose that go on and on before and after the notice " * 12
+    one_line = prose + "Copyright 2020 the authors. " + C.TEMPLATES["MIT"] + " " + prose
+    rows = [(1, prose + "Released under the MIT License. " + prose), (2, "first\n" + one_line), (3, prose)]
+    got = {r["doc_id"]: r["licences"] for r in C.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert tuple(got[1][0]) == ("MIT-notice", 1.0, 0, 1) and tuple(got[2][0]) == ("MIT", 1.0, 1, 2) and got[3] == []
