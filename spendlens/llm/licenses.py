@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ THRESHOLD = 0.8
 MAX_TEMPLATES = 10_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-# fixed values: notices by which works are put under a licence, and short licence texts
+# fixed values: notices by which works are put under a licence, and short licence texts; whole texts lie in TEXTS
+TEXTS = Path(__file__).with_name("license_texts")
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": (
@@ -93,6 +95,62 @@ TEMPLATES = {
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     "Proprietary": "All rights reserved.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "GFDL-1.3": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 "
+        "or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover "
+        "Texts. A copy of the license is included in the section entitled \"GNU Free Documentation License\"."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-3.0-notice": "Licensed under CC BY 3.0.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-SA-3.0-notice": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "CC-BY-NC-3.0-notice": "Licensed under CC BY-NC 3.0.",
+    "CC-BY-NC-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+    "CC-BY-ND-3.0-notice": "Licensed under CC BY-ND 3.0.",
+    "CC-BY-ND-3.0": "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.",
+    "CC-BY-NC-SA-3.0-notice": "Licensed under CC BY-NC-SA 3.0.",
+    "CC-BY-NC-SA-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    "CC-BY-NC-ND-3.0-notice": "Licensed under CC BY-NC-ND 3.0.",
+    "CC-BY-NC-ND-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.",
 }
 
 FOUND = T.ArrayType(
@@ -107,6 +165,11 @@ FOUND = T.ArrayType(
 )
 
 
+def built_in() -> list[tuple[str, str]]:
+    """The templates used when none are given: notices, and the whole texts under their names with ``-text``."""
+    return sorted([*TEMPLATES.items(), *((f"{f.stem}-text", f.read_text(encoding="utf-8")) for f in TEXTS.glob("*.txt"))])
+
+
 def normal(text: str | None) -> list[str]:
     return WORD.findall(_lower(text or ""))
 
@@ -257,7 +320,7 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, threshold: fl
     """
     small_batches(documents.sparkSession)
     if templates is None:
-        rows = sorted(TEMPLATES.items())
+        rows = built_in()
     else:
         rows = [(r["licence"], r["text"]) for r in templates.select("licence", "text").distinct().limit(MAX_TEMPLATES + 1).collect()]
         if len(rows) > MAX_TEMPLATES:

@@ -82,3 +82,20 @@ def test_notices_inside_long_lines(spark):
     rows = [(1, prose + "Released under the MIT License. " + prose), (2, "first\n" + one_line), (3, prose)]
     got = {r["doc_id"]: r["licences"] for r in C.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert tuple(got[1][0]) == ("MIT-notice", 1.0, 0, 1) and tuple(got[2][0]) == ("MIT", 1.0, 1, 2) and got[3] == []
+
+
+def test_every_built_in_template_is_found_in_prose():
+    rows = C.built_in()
+    assert len(rows) == len(dict(rows)) >= 60 and {"BSD-3-Clause-text", "Apache-2.0-text", "GPL-3.0-text", "MPL-2.0-text", "Unlicense-text", "Zlib-text"} <= set(dict(rows))
+    ready = C.Templates(rows, C.THRESHOLD)
+    for name, text in rows:
+        found = {x["licence"]: x["dice"] for x in ready.passages(f"zebra quagga\nokapi {text} gnu\nkudu")}
+        assert found[name] == 1.0 == max(found.values())
+
+
+def test_whole_texts_are_found_by_default(spark):
+    name = "BSD-3-Clause"
+    body = (C.TEXTS / f"{name}.txt").read_text().replace("REGENTS", "AUTHORS")
+    docs = spark.createDataFrame([(1, "Copyright 2020 A. Author\n" + body)], "doc_id long, text string")
+    got = C.scan(docs).collect()[0]["licences"]
+    assert got[0]["licence"] == f"{name}-text" and 0.95 < got[0]["dice"] <= 1
