@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
@@ -340,10 +341,10 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, threshold: fl
     return documents.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
-def best(found: DataFrame) -> DataFrame:
-    """The likeliest licence of each document and how many were found."""
+def best(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The likeliest licence of each document and how many were found; ``keep`` names columns to leave beside them."""
     top = F.get("licences", F.lit(0))
     return found.select(
         "doc_id", top["licence"].alias("licence"), F.round(top["dice"], 6).alias("dice"),
-        top["from_line"].alias("from_line"), top["to_line"].alias("to_line"), F.size("licences").cast("long").alias("n_licences"),
+        top["from_line"].alias("from_line"), top["to_line"].alias("to_line"), F.size("licences").cast("long").alias("n_licences"), *keep,
     )

@@ -39,7 +39,7 @@ def op7_suffix_array_decontamination(spark, sf_dir):
 
 
 def op8_dice_licence_scan(spark, sf_dir):
-    return licenses.best(licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return licenses.best(licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["licences"])
 
 
 def op9_hypergeometric_sharding(spark, sf_dir):

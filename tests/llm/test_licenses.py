@@ -99,3 +99,13 @@ def test_whole_texts_are_found_by_default(spark):
     docs = spark.createDataFrame([(1, "Copyright 2020 A. Author\n" + body)], "doc_id long, text string")
     got = C.scan(docs).collect()[0]["licences"]
     assert got[0]["licence"] == f"{name}-text" and 0.95 < got[0]["dice"] <= 1
+
+
+def test_query_returns_all_licences(spark, tmp_path):
+    from spendlens.llm import queries
+
+    text = "Some prose.\nReleased under the MIT License.\nAll rights reserved."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_dice_licence_scan(spark, str(tmp_path)).collect()}
+    assert [tuple(x) for x in got[1]["licences"]] == [("MIT-notice", 1.0, 1, 2), ("Proprietary", 1.0, 2, 3)]
+    assert got[1]["licence"] == "MIT-notice" and got[1]["n_licences"] == 2 and got[2]["licences"] == []
