@@ -22,7 +22,7 @@ def op3_crf_html_text(spark, sf_dir):
 
 def op4_simhash_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicate(docs, stored=True)
+    return lines.deduplicate(docs, stored=True, tables=lines.TABLES)
 
 
 def op5_iblt_fingerprints(spark, sf_dir):
