@@ -13,7 +13,9 @@ are taken in blocks; a block lists its distinct n-grams (hashes) with their
 training counts, packed as sorted differences, one row for each range of hashes.
 A range adds up the counts of all blocks and gives each block the totals of the
 n-grams it listed: the states and arcs that block can reach. The block is then
-traversed with just these. An n-gram is one entry for each block, however often
+scored with just these. No states or arcs are built for that: what a walk over
+failure arcs gives at a token is the interpolation arc + failure x lower order,
+which ``traverse`` sums over arrays for all positions (closed form). An n-gram is one entry for each block, however often
 it occurs, so a frequent word, pair or passage makes no hot range.
 
 Blocks and ranges both hold ``max(4 MB, sqrt(18 KB x input))`` of text, so the
@@ -183,8 +185,8 @@ def traverse(row, h, totals: list[np.ndarray], places, n_train: int, vocabulary:
     """log10 weight of each token, and whether it is known.
 
     ``totals[k]`` are counts of the block's (k+1)-grams, ``places[k]`` says which
-    belongs to which position. At each position the longest seen history is the
-    state; from it failure arcs are followed until the token has an arc.
+    belongs to which position. Every position sums arc + failure x lower
+    order over all orders, which equals following failure arcs from its state.
     """
     count = []
     for k, (at, place) in enumerate(places):
