@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from spendlens.llm import decontaminate, divergence, fingerprint, html_text, licenses, lines, lm_score, mixing, neardup, sharding, toxicity
+from spendlens.llm import chat, decontaminate, divergence, fingerprint, html_text, licenses, lines, lm_score, mixing, neardup, search, sharding, toxicity
 from spendlens.llm.common import table
 
 
@@ -59,11 +59,21 @@ def op11_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_geometric_block_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_incremental_chat_format(spark, sf_dir):
+    chats = chat.with_planted(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.format_chats(chats))
+
+
 def queries() -> dict:
     operators = (
         op1_bagminhash_neardup, op2_ftrl_toxicity, op3_crf_html_text, op4_simhash_line_dedup, op5_iblt_fingerprints,
         op6_backoff_lm_score, op7_suffix_array_decontamination, op8_dice_licence_scan, op9_hypergeometric_sharding,
         op10_pivotal_mixing, op11_source_divergence,
+        op12_geometric_block_search, op13_incremental_chat_format,
     )
     return {fn.__name__: fn for fn in operators} | {"pipeline": corpus_pipeline.run}
 
@@ -72,5 +82,6 @@ def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; the others are tested against brute force."""
     return {
         "op1_bagminhash_neardup": neardup.ORACLE, "op7_suffix_array_decontamination": decontaminate.ORACLE,
-        "op11_source_divergence": divergence.ORACLE,
+        "op11_source_divergence": divergence.ORACLE, "op12_geometric_block_search": search.ORACLE,
+        "op13_incremental_chat_format": chat.ORACLE,
     }
