@@ -92,7 +92,7 @@ class Shard:
     @classmethod
     def read(cls, row: dict) -> Shard:
         parts = {k: np.frombuffer(row[k], dtype=t) for k, t in cls.PARTS.items()}
-        parts["summary"] = parts["summary"].reshape(len(parts["of"]), -1)
+        parts["summary"] = parts["summary"].reshape(len(parts["of"]), len(parts["long"]))
         return cls(**parts)
 
     def stored(self) -> dict[str, bytes]:
