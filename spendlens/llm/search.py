@@ -49,7 +49,7 @@ from spendlens.llm import words as W
 from spendlens.llm.common import Workspace
 
 TOP = 50
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 4_000
+SHARD_BYTES, SHARD_ROWS = 4 << 20, 2_000
 #: A term in so many documents of a shard has a long list; so many documents make a block.
 LONG, BLOCK = 96, 48
 SEEDS = 16
@@ -84,10 +84,14 @@ class Shard:
         size = len(self.vocabulary)
         docs = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
         by = np.argsort(self.terms, kind="stable")
-        self.posted, self.df = docs[by], np.bincount(self.terms, minlength=size)
+        self.posted, self.gains, self.df = docs[by], self.impacts[by], np.bincount(self.terms, minlength=size)
         self.lists = np.append(0, np.cumsum(self.df))
-        self.is_long = np.zeros(size, dtype=bool)
+        self.is_long, self.column_of = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
         self.is_long[self.long] = True
+        self.column_of[self.long] = np.arange(len(self.long))
+        pick = self.is_long[self.terms]
+        self.dense = np.zeros((len(self.ids), len(self.long)))  # impacts of the long terms
+        self.dense[docs[pick], self.column_of[self.terms[pick]]] = self.impacts[pick]
 
     @classmethod
     def read(cls, row: dict) -> Shard:
@@ -98,14 +102,6 @@ class Shard:
     def stored(self) -> dict[str, bytes]:
         return {k: np.ascontiguousarray(getattr(self, k), dtype=t).tobytes() for k, t in self.PARTS.items()}
 
-    def scores(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Exact scores of some documents, given a weight for each term of the vocabulary."""
-        lo, size = self.starts[docs], self.starts[docs + 1] - self.starts[docs]
-        stop = np.append(0, np.cumsum(size))
-        at = np.repeat(lo - stop[:-1], size) + np.arange(stop[-1])
-        gained = np.append(0, np.cumsum(weight[self.terms[at]] * self.impacts[at]))
-        return gained[stop[1:]] - gained[stop[:-1]]
-
 
 def impact(tf: np.ndarray, n: np.ndarray, documents: int, words: int) -> np.ndarray:
     """What a term adds to a document's score, but for its weight."""
@@ -184,37 +180,39 @@ class Items:
 
 
 def search_shard(shard: Shard, items: Items, best: list[Best]) -> int:
-    """Adds the shard's documents to the items' best; returns how many blocks were looked into."""
+    """Adds the shard's documents to the items' best; returns how many blocks were looked into.
+
+    Sums are whole numbers below 2^53, so that matrix products of doubles are exact.
+    """
     at = np.searchsorted(shard.vocabulary, items.vocabulary)
     at[at == len(shard.vocabulary)] = 0
     there = shard.vocabulary[at] == items.vocabulary
-    asked = np.zeros((len(items.terms), len(shard.long)), dtype=np.float64)
-    column_of = np.zeros(len(shard.vocabulary), dtype=np.int64)
-    column_of[shard.long] = np.arange(len(shard.long))
     known = [t[there[t]] for t in items.terms]
+    asked = np.zeros((len(known), len(shard.long)))
     for k, t in enumerate(known):
         t = t[shard.is_long[at[t]]]
-        asked[k, column_of[at[t]]] = items.weight[t]
-    # whole numbers below 2^53, so that the product is exact
+        asked[k, shard.column_of[at[t]]] = items.weight[t]
     bounds = asked @ shard.summary.T.astype(np.float64)
-    blocks_of = np.searchsorted(shard.of, shard.long), np.searchsorted(shard.of, shard.long, side="right")
-    weight, opened = np.zeros(len(shard.vocabulary), dtype=np.int64), 0
+    first, last = np.searchsorted(shard.of, shard.long), np.searchsorted(shard.of, shard.long, side="right")
+    opened = 0
     for k, t in enumerate(known):
         if not len(t):
             continue
-        local, mine = at[t], best[k]
-        weight[local] = items.weight[t]
-        seen = np.zeros(len(shard.ids), dtype=bool)
-        for term in local[~shard.is_long[local]]:
-            seen[shard.posted[shard.lists[term] : shard.lists[term + 1]]] = True
+        local, weight, mine = at[t], items.weight[t], best[k]
+        long = shard.is_long[local]
+        lists, weights = shard.column_of[local[long]], weight[long].astype(np.float64)
+        scores = lambda docs: (short[docs] + shard.dense[docs[:, None], lists] @ weights).astype(np.int64)  # noqa: B023, E731
+        seen, short = np.zeros(len(shard.ids), dtype=bool), np.zeros(len(shard.ids))
+        for term, w in zip(local[~long], weight[~long]):
+            posted = slice(shard.lists[term], shard.lists[term + 1])
+            seen[shard.posted[posted]] = True
+            short[shard.posted[posted]] += w * shard.gains[posted]
         docs = np.flatnonzero(seen)
         if len(docs):
-            mine.add(shard.scores(docs, weight), shard.ids[docs])
-        lists = column_of[local[shard.is_long[local]]]
+            mine.add(scores(docs), shard.ids[docs])
         if len(lists):
-            blocks = np.concatenate([np.arange(blocks_of[0][c], blocks_of[1][c]) for c in lists])
-            bound = bounds[k, blocks]
-            blocks = blocks[np.argsort(-bound, kind="stable")]
+            blocks = np.concatenate([np.arange(first[c], last[c]) for c in lists])
+            blocks = blocks[np.argsort(-bounds[k, blocks], kind="stable")]
             step = 4
             while len(blocks):
                 blocks = blocks[: int((bounds[k, blocks] >= mine.needed).sum())]
@@ -227,8 +225,7 @@ def search_shard(shard: Shard, items: Items, best: list[Best]) -> int:
                 docs = docs[~seen[docs]]
                 if len(docs):
                     seen[docs] = True
-                    mine.add(shard.scores(docs, weight), shard.ids[docs])
-        weight[local] = 0
+                    mine.add(scores(docs), shard.ids[docs])
     return opened
 
 
@@ -237,7 +234,12 @@ def _size(batches):
     documents = words = 0
     for block in W.blocks(batches):
         raw, bounds = W.texts(block.column(0))
-        n = np.bincount(W.hashed(raw, bounds, W.ALNUM)[0], minlength=block.num_rows)
+        inside = W.ALNUM[0][raw]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edges = bounds[bounds < len(raw)]
+        begins[edges] = inside[edges]
+        n = np.diff(np.searchsorted(np.flatnonzero(begins), bounds))
         documents, words = documents + int((n > 0).sum()), words + int(n.sum())
     yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([words])], names=["documents", "words"])
 
