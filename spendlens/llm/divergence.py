@@ -40,7 +40,7 @@ from spendlens.llm.common import Workspace
 MIN_DF = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Terms x sources of one block of the comparison of sources.
 CELLS = 1 << 20
 #: Words of letters and everything beyond ASCII.

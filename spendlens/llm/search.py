@@ -49,9 +49,9 @@ from spendlens.llm import words as W
 from spendlens.llm.common import Workspace
 
 TOP = 50
-SHARD_BYTES, SHARD_ROWS = 4 << 20, 2_000
+SHARD_BYTES, SHARD_ROWS = 2 << 20, 1_000
 #: A term in so many documents of a shard has a long list; so many documents make a block.
-LONG, BLOCK = 96, 48
+LONG, BLOCK = 64, 32
 SEEDS = 16
 GROUP_BYTES = 4 << 20
 SALTS = 32
