@@ -10,6 +10,7 @@ from bindings.q_stats import AUC_CI, WEIGHTED_AUC
 from bindings.registry import query
 from bindings.sql_tails import rho_p
 from bindings.sql_draws import key_text, poisson_ctes
+from bindings.sql_newton import newton_ctes, newton_score
 from spendlens.operators import stats, triage
 
 EARLY, MIN_DAYS = 2, 5
@@ -173,17 +174,59 @@ def _evaluation(spark, d):
     return triage.fit_and_evaluate(triage.temporal_split(frame(spark, d)), MODEL_BOOT)
 
 
-@query("tri7_logistic_triage")
+def _auc(score, rows, prefix=""):
+    """Area under the curve of one score over the rows, by mid-ranks."""
+    return f"""(SELECT (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))
+    FROM (SELECT y, {_rank(score)} AS r FROM {rows}) {prefix}a)"""
+
+
+def _interval(name, rows, key):
+    """CTE ``name``: the bootstrap interval of the AUC over ``rows`` (unit, campaign_id, ad_name, s, y)."""
+    body = f"{poisson_ctes(rows, key, MODEL_BOOT)},\n{WEIGHTED_AUC.format(keys='')}"
+    return f"{name} AS (WITH {body.strip()} SELECT {AUC_CI} FROM areas)"
+
+
+UNIT = ("unit", "campaign_id", "ad_name")
+EARLY_FEATURES = triage.FEATURES
+#: The model of the temporal split: the label is cut at the training median.
+TEMPORAL = f"""{LATE_CUT},
+tm AS (SELECT quantile_cont(late_icr, 0.5) AS threshold FROM split WHERE is_test = 0),
+tl AS MATERIALIZED (SELECT split.*, threshold, CASE WHEN late_icr > threshold THEN 1 ELSE 0 END AS y FROM split, tm),
+train AS MATERIALIZED (SELECT 0 AS model, y, {", ".join(EARLY_FEATURES)} FROM tl WHERE is_test = 0),
+{newton_ctes("train", EARLY_FEATURES)},
+ts AS MATERIALIZED (SELECT tl.*, {newton_score("tl", EARLY_FEATURES)} AS p FROM tl, nw_fit, nw_scale),
+test AS MATERIALIZED (SELECT ad_id AS unit, campaign_id, ad_name, p AS s, y FROM ts WHERE is_test = 1),
+{_interval("tci", "test", key_text(*UNIT))}"""
+METRICS = f"""SELECT {big('count(*) FILTER (is_test = 0)')} AS n_train, {big('count(*) FILTER (is_test = 1)')} AS n_test, any_value(threshold) AS threshold,
+    avg((p - y) * (p - y)) FILTER (is_test = 1) AS brier, avg(y) FILTER (is_test = 1) AS positive_rate_test,
+    {_auc("p", "ts WHERE is_test = 1")} AS auc_model, {_auc("e_icr", "ts WHERE is_test = 1")} AS auc_rule, {_auc("p", "ts WHERE is_test = 0")} AS auc_train,
+    (SELECT auc_low FROM tci) AS auc_low, (SELECT auc_high FROM tci) AS auc_high, 'ok' AS status FROM ts"""
+METRICS_DP = {"threshold": 12, "brier": 6, "positive_rate_test": 9, "auc_model": 9, "auc_rule": 9, "auc_train": 9, "auc_low": 9, "auc_high": 9}
+
+
+@query("tri7_logistic_triage", sql(METRICS, TEMPORAL).replace("WITH ", "WITH RECURSIVE ", 1), dp=METRICS_DP)
 def tri7(spark, d):
     return _evaluation(spark, d).metrics
 
 
-@query("tri7_coefficients")
+COEFFICIENTS = " UNION ALL ".join(f"SELECT '{f}' AS feature, w[{i + 1}] AS coefficient FROM nw_fit" for i, f in enumerate(EARLY_FEATURES))
+
+
+@query("tri7_coefficients", sql(COEFFICIENTS, TEMPORAL).replace("WITH ", "WITH RECURSIVE ", 1), dp={"coefficient": 6})
 def tri7_coefficients(spark, d):
     return _evaluation(spark, d).coefficients
 
 
-@query("tri7_calibration")
+CALIBRATION = """SELECT bin, CAST(count(*) AS BIGINT) AS n, avg(s) AS predicted, avg(y) AS observed FROM (
+    SELECT s, y, greatest(1, CAST((s > e[1]) AS BIGINT) + CAST((s > e[2]) AS BIGINT) + coalesce(CAST((s > e[3]) AS BIGINT), 0)
+        + coalesce(CAST((s > e[4]) AS BIGINT), 0) + coalesce(CAST((s > e[5]) AS BIGINT), 0)) AS bin
+    FROM test, (SELECT list_distinct_sorted AS e FROM (SELECT list_sort(list_distinct(CASE least(4, greatest(2, n // 8))
+        WHEN 2 THEN [lo, h, hi] WHEN 3 THEN [lo, t1, t2, hi] ELSE [lo, q1, h, q3, hi] END)) AS list_distinct_sorted FROM (
+        SELECT count(s) AS n, min(s) AS lo, max(s) AS hi, quantile_cont(s, 0.5) AS h, quantile_cont(s, 1.0 / 3) AS t1, quantile_cont(s, 2.0 / 3) AS t2,
+        quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.75) AS q3 FROM test) q) c) x) b GROUP BY bin"""
+
+
+@query("tri7_calibration", sql(CALIBRATION, TEMPORAL).replace("WITH ", "WITH RECURSIVE ", 1), dp={"predicted": 6, "observed": 9})
 def tri7_calibration(spark, d):
     return _evaluation(spark, d).calibration
 
@@ -216,12 +259,34 @@ def tri8_univariate(spark, d):
     return triage.evaluation_rows(long, MODEL_BOOT)
 
 
-@query("tri8_grouped_cv_auc")
+FOLDS = """gf AS (SELECT campaign_id, CASE WHEN t < k THEN t ELSE 2 * k - 1 - t END AS fold, k FROM (
+    SELECT campaign_id, k, (row_number() OVER (ORDER BY n DESC, campaign_id) - 1) % (2 * k) AS t FROM (
+    SELECT campaign_id, count(*) AS n, least(5, count(*) OVER ()) AS k FROM {rows} GROUP BY 1) x) y)"""
+CV = f"""{FOLDS.format(rows="lab")},
+cl AS MATERIALIZED (SELECT lab.*, fold, k FROM lab JOIN gf ON gf.campaign_id = lab.campaign_id),
+ct AS MATERIALIZED (SELECT m.fold AS model, y, {", ".join(EARLY_FEATURES)} FROM cl JOIN (SELECT DISTINCT fold FROM gf) m ON m.fold <> cl.fold),
+{newton_ctes("ct", EARLY_FEATURES)},
+cs AS MATERIALIZED (SELECT cl.*, {newton_score("cl", EARLY_FEATURES)} AS oof FROM cl JOIN nw_fit ON nw_fit.model = fold JOIN nw_scale ON nw_scale.model = fold),
+cvm AS MATERIALIZED (SELECT ad_id AS unit, campaign_id, ad_name, oof AS s, y FROM cs), cvr AS MATERIALIZED (SELECT ad_id AS unit, campaign_id, ad_name, e_icr AS s, y FROM cs),
+{_interval("cim", "cvm", key_text("'model_cv'", *UNIT))},
+{_interval("cir", "cvr", key_text("'rule_cv'", *UNIT))},
+cv AS (SELECT 'model_cv' AS evaluation, count(*) AS n, {_auc("s", "cvm")} AS auc, (SELECT auc_low FROM cim) AS auc_low, (SELECT auc_high FROM cim) AS auc_high FROM cvm
+    UNION ALL SELECT 'rule_cv', count(*), {_auc("s", "cvr")}, (SELECT auc_low FROM cir), (SELECT auc_high FROM cir) FROM cvr)"""
+AUC_DP = {"auc": 9, "auc_low": 9, "auc_high": 9}
+SHOWN = f"evaluation, {big('n')} AS n, auc, auc_low, auc_high, auc_low > 0.5 AS above_chance, 'ok' AS status, (SELECT {big('max(k)')} FROM gf) AS n_splits"
+
+
+@query("tri8_grouped_cv_auc", sql(f"SELECT {SHOWN} FROM cv", CV).replace("WITH ", "WITH RECURSIVE ", 1), dp=AUC_DP)
 def tri8(spark, d):
     return triage.grouped_cv_auc(frame(spark, d), n_boot=MODEL_BOOT)
 
 
-@query("tri10_model_vs_rule")
+BOTH = f"""SELECT c.*, (SELECT CASE WHEN r > m THEN 'rule' ELSE 'model' END FROM (
+    SELECT max(auc) FILTER (evaluation = 'model_cv') AS m, max(auc) FILTER (evaluation = 'rule_cv') AS r FROM cv) v) AS winner
+    FROM (SELECT {SHOWN} FROM cv UNION ALL SELECT * FROM (WITH {{temporal}} SELECT 'model_temporal', n_test, auc_model, auc_low, auc_high, auc_low > 0.5, 'ok', CAST(NULL AS BIGINT) FROM ({METRICS}) t) tt) c"""
+
+
+@query("tri10_model_vs_rule", sql(BOTH.format(temporal="RECURSIVE " + TEMPORAL), CV).replace("WITH ", "WITH RECURSIVE ", 1), dp=AUC_DP)
 def tri10(spark, d):
     """Cross-validated model and rule next to the temporal test, with the winner."""
     f = frame(spark, d)
@@ -236,7 +301,7 @@ def tri10(spark, d):
         (F.col("auc_low") > 0.5).alias("above_chance"),
         "status",
     )
-    rows = cv.unionByName(temporal)
+    rows = cv.unionByName(temporal, allowMissingColumns=True)
     return rows.crossJoin(F.broadcast(triage.verdict(rows).select("winner")))
 
 
@@ -259,6 +324,9 @@ def win10(spark, d):
     return triage.decision_curve(frame(spark, d), "e_icr").select("cut_fraction", "ads_cut", "spend_freed")
 
 
-@query("tri9_model_decision_curve")
+MODEL_CURVE = TEMPORAL + ", tfeat AS (SELECT * FROM ts WHERE is_test = 1), " + CURVE.replace("FROM feat", "FROM tfeat").replace("ORDER BY e_icr", "ORDER BY p")
+
+
+@query("tri9_model_decision_curve", sql(CURVE_SQL, MODEL_CURVE).replace("WITH ", "WITH RECURSIVE ", 1), dp=CURVE_DP)
 def tri9_model(spark, d):
     return triage.decision_curve(_evaluation(spark, d).scored.where("is_test = 1"), "p")

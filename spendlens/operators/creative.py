@@ -15,7 +15,7 @@ from spendlens.operators.ordering import exact_percentiles
 from spendlens.operators.sharing import settled
 from spendlens.operators.triage import (
     evaluation_rows,
-    fit_logistic,
+    fold_count,
     group_folds,
     out_of_fold,
     per_fold,
@@ -252,32 +252,19 @@ def _fill(df: DataFrame, medians: dict) -> DataFrame:
     )
 
 
-class _ImputedLogistic:
-    """Median imputation and logistic fit of one fold."""
-
-    def __init__(self, train, features, label):
-        self.medians = _imputed(train, features)
-        self.fit = fit_logistic(_fill(train, self.medians), features, label)
-
-    def score(self):
-        margin = F.lit(self.fit.intercept)
-        for name, m, s, w in zip(
-            self.fit.features, self.fit.means, self.fit.scales, self.fit.weights
-        ):
-            x = F.coalesce(F.col(name).cast("double"), F.lit(self.medians[name]))
-            margin = margin + F.lit(w) * (x - F.lit(m)) / F.lit(s)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-
-
 def logistic_cv(df: DataFrame, target: str, n_splits: int = 5, n_boot: int = 2000, features=ALL_FEATURES):
     """Grouped cross-validated AUC of a logistic model for an above-median target."""
     base = stats.above_median(df, target, "y")
     chosen = usable_features(df, features)
-    scored = out_of_fold(base, chosen, "y", "campaign_id", n_splits, _ImputedLogistic)
+    scored = settled(out_of_fold(base, chosen, "y", "campaign_id", n_splits, impute=True), "scored")
     long = scored.where("oof IS NOT NULL").select(
         "ad_id", "y", F.lit("logistic").alias("evaluation"), F.col("oof").alias("s")
     )
-    return evaluation_rows(long, n_boot)
+    return _with_sizes(evaluation_rows(long, n_boot), len(chosen), fold_count(scored))
+
+
+def _with_sizes(rows: DataFrame, n_features: int, n_splits: int) -> DataFrame:
+    return rows.withColumns({"n_features": F.lit(n_features), "n_splits": F.lit(n_splits)})
 
 
 def boosted_cv(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.scalars import creative_format, or_zero, ratio
-from spendlens.operators import bootstrap, stats
+from spendlens.operators import bootstrap, newton, stats
+from spendlens.operators.newton import LogisticFit
 from spendlens.operators.ordering import exact_percentiles, with_row_position, with_running_sums
 from spendlens.operators.sharing import settled, shared
 
@@ -205,65 +206,9 @@ def early_rule(df: DataFrame, quantile: float = 0.25) -> DataFrame:
 # --- model --------------------------------------------------------------------
 
 
-@dataclass
-class LogisticFit:
-    """Fitted scaler and coefficients as plain numbers (one per feature)."""
-
-    features: tuple[str, ...]
-    means: list[float]
-    scales: list[float]
-    weights: list[float]
-    intercept: float
-
-    def score(self):
-        """Probability of the positive class as a native column expression."""
-        margin = F.lit(self.intercept)
-        for name, m, s, w in zip(self.features, self.means, self.scales, self.weights):
-            margin = margin + F.lit(w) * (F.col(name).cast("double") - F.lit(m)) / F.lit(s)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-
-    def coefficients(self, spark) -> DataFrame:
-        rows = sorted(zip(self.features, self.weights), key=lambda r: -abs(r[1]))
-        return spark.createDataFrame(rows, "feature string, coefficient double")
-
-
 def fit_logistic(train: DataFrame, features, label: str, c: float = 0.5) -> LogisticFit:
-    """L2 logistic regression on standardised columns; the intercept is not penalised.
-
-    Only the summary row (2 numbers per feature) and the coefficients reach the
-    driver; scoring happens in column expressions.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    features = tuple(features)
-    numeric = train.select(
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label")
-    )
-    facts = numeric.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)],
-    ).first()
-    means = [facts[f"m{i}"] for i in range(len(features))]
-    scales = [facts[f"s{i}"] or 1.0 for i in range(len(features))]
-    scaled = numeric.select(
-        "label",
-        *[((F.col(f) - F.lit(m)) / F.lit(s)).alias(f) for f, m, s in zip(features, means, scales)],
-    )
-    assembled = VectorAssembler(inputCols=list(features), outputCol="x").transform(scaled)
-    fitted = LogisticRegression(
-        featuresCol="x",
-        labelCol="label",
-        regParam=1.0 / (c * facts["n"]),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=2000,
-        tol=1e-6,
-    ).fit(assembled)
-    return LogisticFit(
-        features, means, scales, [float(v) for v in fitted.coefficients], float(fitted.intercept)
-    )
+    """L2 logistic regression on standardised columns by Newton steps; the intercept is not penalised."""
+    return newton.fit_one(train, features, label, c)
 
 
 @dataclass
@@ -394,24 +339,33 @@ def usable_folds(folded: DataFrame, label: str) -> list[int]:
 
 
 def out_of_fold(
-    df: DataFrame, features, label: str, group: str, n_splits: int = 5, fit=fit_logistic
+    df: DataFrame, features, label: str, group: str, n_splits: int = 5, impute: bool = False
 ) -> DataFrame:
-    """Scores from models that never saw the row's group; one-class folds are skipped."""
+    """Scores from models that never saw the row's group; one-class folds are skipped.
+
+    All folds' models are fitted in the same passes. ``impute`` fills missing features
+    with the medians of the rows a model learns from. Adds ``fold`` and ``oof``.
+    """
     folded = settled(group_folds(df, group, n_splits), "folds")
-    folds = usable_folds(folded, label)
-    models = per_fold(lambda fold: fit(folded.where(F.col("fold") != fold), features, label), folds)
+    models = newton.fit_models(folded, features, label, usable_folds(folded, label), "fold", impute=impute)
     score = F.lit(None).cast("double")
-    for fold, model in zip(folds, models):
+    for fold, model in models.items():
         score = F.when(F.col("fold") == fold, model.score()).otherwise(score)
     return folded.withColumn("oof", score)
 
 
+def fold_count(folded: DataFrame) -> int:
+    """How many folds there are: ``n_splits``, or the number of groups if there are fewer."""
+    return (folded.agg(F.max("fold").alias("last")).first()["last"] or 0) + 1
+
+
 def grouped_cv_auc(
     df: DataFrame, n_splits: int = 5, n_boot: int = 2000, group: str = "campaign_id"
 ) -> DataFrame:
-    """Model and single-rule AUC on out-of-fold scores, one row per evaluation."""
+    """Model and single-rule AUC on out-of-fold scores, one row per evaluation, with the number of folds."""
     labelled = stats.above_median(df, "late_icr", "y")
-    scored = out_of_fold(labelled, FEATURES, "y", group, n_splits).where("oof IS NOT NULL")
+    folded = settled(out_of_fold(labelled, FEATURES, "y", group, n_splits), "scored")
+    scored = folded.where("oof IS NOT NULL")
     long = scored.select(
         *[c for c in ("ad_id", "campaign_id", "ad_name") if c in scored.columns],
         "y",
@@ -422,7 +376,7 @@ def grouped_cv_auc(
             )
         ),
     )
-    return evaluation_rows(long, n_boot)
+    return evaluation_rows(long, n_boot).withColumn("n_splits", F.lit(fold_count(folded)))
 
 
 def evaluation_rows(long: DataFrame, n_boot: int, min_rows: int = 20, row_id=("ad_id", "campaign_id", "ad_name")) -> DataFrame:
