@@ -1,13 +1,14 @@
 """Ranked lexical search, exact, over an index of geometric blocks.
 
-Index. Documents are dealt to shards of bounded bytes as they are scanned, and a shard
-is one stored row: its vocabulary (64-bit hashes of terms), the terms of each document
-with their impacts (what a term adds to a score, but for the term's weight), and posting
-lists. The posting list of a term that many of the shard's documents hold, a *long*
-list, is cut into blocks of documents that are alike: some of the list's documents,
-evenly spread over it, are centres, and each document goes to the centre whose impacts
-of long terms are most similar. A block's summary is the coordinatewise maximum of the
-impacts of the long terms over its documents.
+Index. Documents are dealt to shards of bounded bytes as they are scanned. A shard has
+its vocabulary (64-bit hashes of terms), the terms of each document with their impacts
+(what a term adds to a score, but for the term's weight), and posting lists. The posting
+list of a term that many of the shard's documents hold, a *long* list, is cut into blocks
+of documents that are alike: some of the list's documents, evenly spread over it, are
+centres, and each document goes to the centre whose impacts of long terms are most
+similar. A block's summary is the coordinatewise maximum of the impacts of the long terms
+over its documents. A shard is made in the task that searches it and kept for that search
+only: its arrays are as large as its texts, so nothing of them is written.
 
 Search. For each item, documents that hold one of its other, *short* terms are scored.
 What is left holds long terms only, so that the product of a block's summary and the
@@ -15,7 +16,7 @@ item's weights bounds the score of every document left in it. Blocks go from the
 bound down, and a block is skipped only if its bound is below the score of the
 ``top``-th best document so far; equal bounds are looked into. Nothing is approximated.
 Scores of other shards help: a task carries its best scores from shard to shard, and one
-in ``SEEDS`` shards is searched first, whose ``top``-th best score is a bound for all.
+in ``SEEDS`` documents is searched first, whose ``top``-th best score is a bound for all.
 
 The shards' best documents are combined in two steps, by item and a salt, then by item,
 so that an item of many shards is no hot task. Items are searched in groups of bounded
@@ -70,14 +71,10 @@ def terms_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Arrays of one shard: rows of the index hold them, in this order."""
+    """The index of some documents."""
 
     #: ids: doc_id of each document, ``NO_ID`` for null. vocabulary: sorted hashes. terms, impacts: by document,
     #: from starts. long: the long terms. cuts: a block's documents in members. of: a block's term. summary: blocks x long.
-    PARTS = {
-        "ids": "<i8", "vocabulary": "<u8", "starts": "<i8", "terms": "<i4", "impacts": "<i4",
-        "long": "<i4", "members": "<i4", "cuts": "<i8", "of": "<i4", "summary": "<i4",
-    }
 
     def __init__(self, **parts):
         self.__dict__.update(parts)
@@ -93,15 +90,6 @@ class Shard:
         self.dense = np.zeros((len(self.ids), len(self.long)))  # impacts of the long terms
         self.dense[docs[pick], self.column_of[self.terms[pick]]] = self.impacts[pick]
 
-    @classmethod
-    def read(cls, row: dict) -> Shard:
-        parts = {k: np.frombuffer(row[k], dtype=t) for k, t in cls.PARTS.items()}
-        parts["summary"] = parts["summary"].reshape(len(parts["of"]), len(parts["long"]))
-        return cls(**parts)
-
-    def stored(self) -> dict[str, bytes]:
-        return {k: np.ascontiguousarray(getattr(self, k), dtype=t).tobytes() for k, t in self.PARTS.items()}
-
 
 def impact(tf: np.ndarray, n: np.ndarray, documents: int, words: int) -> np.ndarray:
     """What a term adds to a document's score, but for its weight."""
@@ -229,118 +217,87 @@ def search_shard(shard: Shard, items: Items, best: list[Best]) -> int:
     return opened
 
 
-def _size(batches):
-    """Documents that have a term, and terms in all."""
+def _counts(batches, asked: np.ndarray):
+    """How many documents have a term, and terms in all (term 0, in df and n), and the asked terms' documents."""
     documents = words = 0
-    for block in W.blocks(batches):
-        raw, bounds = W.texts(block.column(0))
-        inside = W.ALNUM[0][raw]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        edges = bounds[bounds < len(raw)]
-        begins[edges] = inside[edges]
-        n = np.diff(np.searchsorted(np.flatnonzero(begins), bounds))
-        documents, words = documents + int((n > 0).sum()), words + int(n.sum())
-    yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([words])], names=["documents", "words"])
-
-
-class Index:
-    """A stored index of documents; ``shards`` has one row a shard."""
-
-    def __init__(self, ws: Workspace, shards: DataFrame, documents: int, words: int):
-        self.ws, self.shards, self.documents, self.words = ws, shards, documents, words
-
-    @classmethod
-    def of(cls, documents: DataFrame, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS, long: int = LONG, block: int = BLOCK) -> Index:
-        ws = Workspace(documents.sparkSession, "search", batches=True)
-        total = documents.select("text").mapInArrow(_size, "documents long, words long").agg(F.sum("documents").alias("d"), F.sum("words").alias("w")).first()
-        n, words = total["d"] or 0, total["w"] or 0
-
+    df = np.zeros(len(asked), dtype=np.int64)
+    for block in W.blocks(batches, most=SHARD_BYTES):
+        row, _, _, h = W.hashed(*W.texts(block.column(0)), W.ALNUM)
+        documents, words = documents + len(np.unique(row)), words + len(row)
+        at = np.searchsorted(asked, h)
+        at[at == len(asked)] = 0
+        known = asked[at] == h if len(asked) else np.zeros(len(h), dtype=bool)
+        pairs = np.unique(at[known] * (block.num_rows + 1) + row[known])  # one for each document and term
+        df += np.bincount(pairs // (block.num_rows + 1), minlength=len(asked))
+    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([documents]), pa.array([words])], names=["term", "df", "n"])
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(asked[some].view(np.int64)), pa.array(df[some]), pa.array(np.zeros(len(some), np.int64))], names=["term", "df", "n"])
+
+
+def search(
+    documents: DataFrame, items: DataFrame, top: int = TOP, group_bytes: int = GROUP_BYTES,
+    shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS, long: int = LONG, block: int = BLOCK,
+) -> DataFrame:
+    """``item_id, rank, doc_id, score`` of the best ``top`` documents of each item."""
+
+    def terms(batches):
+        for part in W.blocks(batches):
+            row, h, _, _ = terms_of(part.column(1))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(h.view(np.int64))], names=["item", "term"])
+
+    ws = Workspace(documents.sparkSession, "search", batches=True)
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = ws.settle(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    asked = ws.settle(kept.select("item", "text").mapInArrow(terms, "item long, term long"), "asked")
+    groups = max(1, -(-16 * asked.count() // group_bytes))
+    deal = F.pmod(F.xxhash64("item"), F.lit(groups))
+    whole = None
+    for k in range(groups):
+        found = ws.settle(_search_group(read, asked.filter(deal == k), top, (shard_bytes, shard_rows, long, block)), f"found{k}")
+        whole = found if whole is None else whole.unionByName(found)
+    return kept.select("item", "item_id").join(whole, "item").select("item_id", "rank", "doc_id", "score")
+
+
+def _search_group(read: DataFrame, asked: DataFrame, top: int, sizes: tuple[int, int, int, int]) -> DataFrame:
+    """``item, rank, doc_id, score`` of a group whose items and terms are bounded in size."""
+    sc = asked.sparkSession.sparkContext
+    pairs = asked.toPandas()
+    item, term = pairs["item"].to_numpy(np.int64), pairs["term"].to_numpy(np.int64).view(U)
+    vocabulary = np.unique(term)
+    sent = sc.broadcast(vocabulary)
+    counted = read.select("text").mapInArrow(lambda batches: _counts(batches, sent.value), "term long, df long, n long")
+    totals = {r["term"]: r for r in counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect()}  # terms of the group alone
+    documents, words = (totals[0]["df"], totals[0]["n"]) if 0 in totals else (0, 0)
+    df = [totals[t]["df"] if t in totals else 0 for t in vocabulary.view(np.int64).tolist()]
+    weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * k + 1))) for k in df], dtype=np.int64)
+    group = sc.broadcast((item, term, vocabulary, weight))
+    most_bytes, most_rows, long, block = sizes
+
+    def best_of(rows: DataFrame, floors) -> DataFrame:
         def run(batches):
-            for part in W.blocks(batches, most=shard_bytes, rows=shard_rows):
+            own = Items(*group.value)
+            best = [Best(top, floors.value.get(int(i), 0) if floors else 0) for i in own.numbers]
+            for part in W.blocks(batches, most=most_bytes, rows=most_rows):
                 ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                shard = build(ids, part.column(1), n, words, long, block)
+                shard = build(ids, part.column(1), documents, words, long, block)
                 if shard:
-                    stored = shard.stored()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), *[pa.array([v], pa.binary()) for v in stored.values()]], names=["shard", *stored])
-
-        schema = ", ".join(["shard long", *[f"{c} binary" for c in Shard.PARTS]])
-        read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return cls(ws, ws.settle(read.mapInArrow(run, schema), "index"), n, words)
-
-    def search(self, items: DataFrame, top: int = TOP, group_bytes: int = GROUP_BYTES) -> DataFrame:
-        """``item_id, rank, doc_id, score`` of the best ``top`` documents of each item."""
-
-        def terms(batches):
-            for part in W.blocks(batches):
-                row, h, _, _ = terms_of(part.column(1))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(h.view(np.int64))], names=["item", "term"])
-
-        ws = self.ws
-        kept = ws.settle(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
-        asked = ws.settle(kept.select("item", "text").mapInArrow(terms, "item long, term long"), "asked")
-        groups = max(1, -(-16 * asked.count() // group_bytes))
-        group = F.pmod(F.xxhash64("item"), F.lit(groups))
-        found = [self._search_group(asked.filter(group == k), top, k) for k in range(groups)]
-        whole = found[0]
-        for part in found[1:]:
-            whole = whole.unionByName(part)
-        return kept.select("item", "item_id").join(whole, "item").select("item_id", "rank", "doc_id", "score")
-
-    def _search_group(self, asked: DataFrame, top: int, k: int) -> DataFrame:
-        """``item, rank, doc_id, score`` of a group whose items and terms are bounded in size."""
-        ws, sc = self.ws, asked.sparkSession.sparkContext
-        pairs = asked.toPandas()
-        item, term = pairs["item"].to_numpy(np.int64), pairs["term"].to_numpy(np.int64).view(U)
-        vocabulary = np.unique(term)
-        sent = sc.broadcast(vocabulary)
-
-        def frequencies(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    own, asked_ = np.frombuffer(row["vocabulary"], dtype=U), sent.value
-                    df = np.bincount(np.frombuffer(row["terms"], dtype="<i4"), minlength=len(own))
-                    both, mine, _ = np.intersect1d(own, asked_, assume_unique=True, return_indices=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(df[mine])], names=["term", "df"])
-
-        counted = self.shards.select("vocabulary", "terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        df = {r["term"]: r["df"] for r in counted.collect()}  # terms of the group alone
-        weight = np.array([math.floor(1000 * math.log((2 * self.documents + 2) / (2 * df.get(int(t), 0) + 1))) for t in vocabulary.view(np.int64)], dtype=np.int64)
-        items = sc.broadcast((item, term, vocabulary, weight))
-
-        def best_of(shards: DataFrame, floors) -> DataFrame:
-            def run(batches):
-                group = Items(*items.value)
-                best = [Best(top, floors.value.get(int(i), 0) if floors else 0) for i in group.numbers]
-                for batch in batches:
-                    for j in range(batch.num_rows):
-                        row = {c: memoryview(batch.column(i)[j].as_buffer()) for i, c in enumerate(Shard.PARTS)}
-                        search_shard(Shard.read(row), group, best)
-                for number, mine in zip(group.numbers, best):
-                    if len(mine.id):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine.id), number)), pa.array(mine.id), pa.array(mine.score)], names=["item", "doc_id", "score"])
-
-            rows = shards.select(*Shard.PARTS).mapInArrow(run, "item long, doc_id long, score long")
-            for keys in (["item", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))], ["item"]):
-                place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id"))
-                rows = rows.withColumn("rank", place).filter(F.col("rank") <= top)
-            return rows
-
-        seeds = best_of(self.shards.filter(F.pmod(F.xxhash64("shard"), F.lit(SEEDS)) == 0), None)
-        floors = sc.broadcast({r["item"]: r["score"] for r in seeds.filter(F.col("rank") == top).select("item", "score").collect()})
-        out = best_of(self.shards, floors).select(
-            "item", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score"
-        )
-        return ws.settle(out, f"found{k}")
-
-
-def search(documents: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
-    """The best ``top`` documents of each item: an index made for one search."""
-    index = Index.of(documents)
-    found = index.search(items, top)
-    index.ws.drop(index.shards)
-    return found
+                    search_shard(shard, own, best)
+            for number, mine in zip(own.numbers, best):
+                if len(mine.id):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine.id), number)), pa.array(mine.id), pa.array(mine.score)], names=["item", "doc_id", "score"])
+
+        out = rows.mapInArrow(run, "item long, doc_id long, score long")
+        for keys in (["item", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))], ["item"]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id"))
+            out = out.withColumn("rank", place).filter(F.col("rank") <= top)
+        return out
+
+    seeds = best_of(read.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SEEDS)) == 0), None)
+    floors = sc.broadcast({r["item"]: r["score"] for r in seeds.filter(F.col("rank") == top).select("item", "score").collect()})
+    return best_of(read, floors).select(
+        "item", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score"
+    )
 
 
 _WORDS = (

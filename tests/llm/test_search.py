@@ -63,11 +63,9 @@ def frames(spark, docs, items, parts=4):
 def test_search_equals_brute_force_over_many_shards(spark):
     docs, items = corpus(900)
     d, b = frames(spark, docs, items)
-    index = S.Index.of(d, shard_bytes=20_000, long=20, block=8)
-    assert index.shards.count() > 5
     for top in (50, 3):
-        assert read(index.search(b, top)) == brute(docs, items, top)
-    assert read(index.search(b, 50, group_bytes=400)) == brute(docs, items)  # several groups of items
+        assert read(S.search(d, b, top, shard_bytes=20_000, long=20, block=8)) == brute(docs, items, top)
+    assert read(S.search(d, b, group_bytes=400, shard_rows=50, long=5, block=2)) == brute(docs, items)  # several groups of items
     assert read(S.search(d, b)) == brute(docs, items)
 
 
@@ -98,10 +96,9 @@ def test_blocks_bound_their_documents_and_are_skipped():
     for k, term in enumerate(shard.long):  # the blocks of a list hold each of its documents once
         held = np.concatenate([shard.members[shard.cuts[b] : shard.cuts[b + 1]] for b in np.flatnonzero(shard.of == term)])
         assert sorted(held) == sorted(shard.posted[shard.lists[term] : shard.lists[term + 1]])
-    again = S.Shard.read(shard.stored())
     group = items_of(shard, docs, items)
     best = [S.Best(5) for _ in group.numbers]
-    opened = S.search_shard(again, group, best)
+    opened = S.search_shard(shard, group, best)
     blocks = np.bincount(shard.of, minlength=len(shard.vocabulary))
     offered = sum(int(blocks[np.searchsorted(shard.vocabulary, group.vocabulary[t])].sum()) for t in group.terms)
     assert 0 < opened < 0.6 * offered
