@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +71,52 @@ def unit_hash(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+#: Bits of a row number that count within a file; the rest number the files.
+PLACE_BITS = 40
+
+
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with other names for columns that could be taken for this library's own, and their way back."""
+    back: dict[str, str] = {}
+    for name in df.columns:
+        if name.startswith("__") or name.lower() == "_metadata":
+            new = f"user{name}"
+            while new.lower() in {c.lower() for c in [*df.columns, *back]}:
+                new = f"u{new}"
+            back[new] = name
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
+def located(rows: DataFrame) -> DataFrame | None:
+    """Adds the number of a row's file, ``__file``, and its place in it, ``__place``.
+
+    Both come from the stored files themselves, not from how a read cuts them into
+    tasks, so that they are the same in every read. Files are numbered by path; their
+    list, which Spark keeps on the driver for any scan, is joined as a broadcast. None
+    if the rows are not a scan of files that number their rows, or of more than 2^20.
+    """
+    try:
+        marked = rows.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        return None
+    paths = sorted(r[0] for r in marked.select("__path").distinct().collect())  # one for each file
+    if len(paths) > 1 << 20:
+        return None
+    files = rows.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__path string, __file int")
+    return marked.join(F.broadcast(files), "__path").drop("__path")
+
+
 def numbered(ws: Workspace, rows: DataFrame, stored: bool) -> DataFrame:
     """Adds a unique row number ``__rid`` that is the same whenever the rows are read.
 
-    A plain scan of files numbers its rows alike every time (the split of files
-    into partitions does not depend on the columns read); other rows are stored
-    with their number.
+    With ``stored``, rows of a scan of files are numbered by file and place in it; other
+    rows are stored with their number.
     """
-    out = rows.withColumn("__rid", F.monotonically_increasing_id())
-    return out if stored else ws.settle(out, "rows")
+    placed = located(rows) if stored else None
+    if placed is None:
+        return ws.settle(rows.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    rid = F.shiftleft(F.col("__file").cast("long"), PLACE_BITS) + F.col("__place")
+    return placed.withColumn("__rid", rid).drop("__file", "__place")
 
 
 def ranked(ws: Workspace, df: DataFrame, order: list, rank: str = "__rank") -> DataFrame:

@@ -209,7 +209,10 @@ def traverse(row, h, totals: list[np.ndarray], places, n_train: int, vocabulary:
 
 def score(documents: DataFrame, train: Column | None = None, order: int = ORDER, stored: bool = False) -> DataFrame:
     """Scores of all texts. ``stored`` says that the rows are a plain scan of files."""
-    ws = Workspace(documents.sparkSession, "lm", batches=True)
+    spark = documents.sparkSession
+    ws = Workspace(spark, "lm", batches=True)
+    # blocks are cut as rows are scanned: both scans must cut files alike, whatever executors come or go
+    spark.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism))
     rows = documents.select("doc_id", "text", (training() if train is None else train).alias("train"))
     if not stored:
         rows = ws.settle(rows, "rows")

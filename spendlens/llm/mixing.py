@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Workspace, numbered, ranked, text_or_empty, unit_hash
+from spendlens.llm.common import Workspace, aside, numbered, ranked, text_or_empty, unit_hash
 
 CHUNK = 64
 CAP = 3
@@ -158,8 +158,10 @@ def mix(
     ``stored`` says that the rows are a plain scan of files.
     """
     ws = Workspace(documents.sparkSession, "mixing")
+    plain, back = aside(documents)
     names = [c for c in (documents.columns if keep is None else keep) if c not in RESULTS]
-    source = numbered(ws, documents, stored)
+    names = [{old: new for new, old in back.items()}.get(c, c) for c in names]
+    source = numbered(ws, plain, stored)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), text_or_empty()).alias("__order")
     narrow = ws.settle(
         source.select("__rid", F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), order, word_count().alias("size")), "narrow"
@@ -189,4 +191,4 @@ def mix(
     if set(names) <= {"doc_id", "source"}:
         return out.select(*[F.col({"doc_id": "__doc", "source": "__source"}[c]).alias(c) for c in names], *results)
     mixed = out.select(F.col("__rid").alias("__row"), *results)
-    return source.select("__rid", *names).join(mixed, F.col("__rid") == F.col("__row")).select(*names, *RESULTS)
+    return source.select("__rid", *names).join(mixed, F.col("__rid") == F.col("__row")).select(*names, *RESULTS).withColumnsRenamed(back)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm import words as W
-from spendlens.llm.common import Workspace, numbered
+from spendlens.llm.common import Workspace, aside, numbered
 from spendlens.llm.components import resolve
 
 SHINGLE = 5
@@ -264,14 +264,15 @@ def classify(documents: DataFrame, stored: bool = False) -> DataFrame:
 def deduplicate(documents: DataFrame, stored: bool = False) -> DataFrame:
     """One document of each class: the one of smallest doc_id (nulls last), with its own columns."""
     ws = Workspace(documents.sparkSession, "neardup", batches=True)
-    source, rows = signed(ws, documents, stored)
+    plain, back = aside(documents)
+    source, rows = signed(ws, plain, stored)
     roots = link(ws, source, rows)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__rid").alias("rid"))
     per_key = rows.groupBy(F.col("__key").alias("key")).agg(F.min(first).alias("first"))
     placed = per_key.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = ws.settle(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid")), "kept")
     ws.drop(rows)
-    return source.join(kept, "__rid", "left_semi").select(*documents.columns)
+    return source.join(kept, "__rid", "left_semi").select(*plain.columns).withColumnsRenamed(back)
 
 
 _WORDS = (

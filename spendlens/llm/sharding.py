@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import Workspace, text_or_empty
+from spendlens.llm.common import Workspace, aside, located, text_or_empty
 from spendlens.llm.words import U, mix
 
 LAW = "rows"
@@ -94,15 +94,18 @@ def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def shuffle(df: DataFrame, shards: int, seed: int = SEED, stored: bool = False) -> DataFrame:
     """Adds ``shard`` and ``slot`` to each row; laid out and sorted by both.
 
-    ``stored`` says that the rows are a plain scan of files, whose partitions are
-    the senders; other rows are stored first.
+    The senders are files: those of ``df`` itself with ``stored``, which says that the
+    rows are a plain scan of files; other rows are stored first. A row's place in its
+    file does not depend on how a read cuts the files into tasks.
     """
     ws = Workspace(df.sparkSession, "sharding", batches=True)
     results = ("shard", "slot")
-    rows = df.drop(*results)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    laid = rows.withColumns({"__part": F.spark_partition_id(), "__place": place})
-    laid = laid if stored else ws.settle(laid, "laid")
+    plain, back = aside(df)
+    rows = plain.drop(*results)
+    laid = located(rows) if stored else None
+    if laid is None:
+        laid = located(ws.settle(rows, "laid"))
+    laid = laid.select(*rows.columns, F.col("__file").alias("__part"), "__place")
     counts = {r["__part"]: r["count"] for r in laid.groupBy("__part").count().collect()}
     parts = max(counts, default=-1) + 1
     size = np.array([counts.get(p, 0) for p in range(parts)], dtype=np.int64)
@@ -138,7 +141,7 @@ def shuffle(df: DataFrame, shards: int, seed: int = SEED, stored: bool = False)
             )
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return laid.mapInArrow(deal, schema).repartitionByRange(n, *results).sortWithinPartitions(*results)
+    return laid.mapInArrow(deal, schema).repartitionByRange(n, *results).sortWithinPartitions(*results).withColumnsRenamed(back)
 
 
 def assign(documents: DataFrame, shards: int = 24, seed: int = SEED) -> DataFrame:
