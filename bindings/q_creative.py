@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from bindings import tables as tb
 from bindings.q_funnel import big
+from bindings.q_stats import AUC_CI, WEIGHTED_AUC
+from bindings.q_triage import FOLDS
 from bindings.registry import query
+from bindings.sql_boosting import first_tree
+from bindings.sql_draws import key_text, poisson_ctes
+from bindings.sql_newton import newton_ctes, newton_score
 from bindings.sql_tails import rho_p, step_up
 from spendlens.functions import images as im
 from spendlens.functions import text as tx
@@ -113,19 +118,24 @@ def img(spark, d):
     return picture_features(spark, d)
 
 
+#: Squares of three by three leave 6 or 4 of the 22 pixels to a square; twelfths of a byte are whole for both.
+TWELFTHS = {c: f"12 * CAST(sum(CAST(round({c} * 255) AS BIGINT)) AS BIGINT) // count(*) AS {c}" for c in "rgb"}
+LUMA_PARTS = [round(w * 10_000) for w in im.LUMA]
+
+
 @query(
     "img8_block_downscale",
-    f"""WITH {PIXELS} SELECT ad_id, CAST(4 AS BIGINT) AS w, CAST(1 AS BIGINT) AS h, avg(l) AS brightness FROM (
-    SELECT ad_id, x // 3 AS bx, y // 3 AS by, avg(l) AS l FROM lum GROUP BY ALL) b GROUP BY 1""",
+    f"""WITH {PIXELS} SELECT ad_id, CAST(4 AS BIGINT) AS w, CAST(1 AS BIGINT) AS h,
+    CAST(sum({" + ".join(f"{w} * {c}" for w, c in zip(LUMA_PARTS, "rgb"))}) AS DOUBLE) / (count(*) * {12 * 255 * 10_000}) AS brightness FROM (
+    SELECT ad_id, x // 3 AS sx, y // 3 AS sy, {", ".join(TWELFTHS.values())} FROM px GROUP BY ad_id, x // 3, y // 3) b GROUP BY 1""",
     dp={"brightness": 6},
 )
 def img8(spark, d):
-    """Eleven columns against a limit of four: squares of three by three are averaged."""
+    """Eleven columns against a limit of four: squares of three by three are averaged, in whole numbers up to the one division."""
     small = im.decoded(tb.pictures(spark, d), max_side=4)
-    lums = F.zip_with("r", "g", lambda r, g: F.lit(im.LUMA[0]) * r + F.lit(im.LUMA[1]) * g)
-    lums = F.zip_with(lums, "b", lambda rg, b: rg + F.lit(im.LUMA[2]) * b)
-    mean = F.aggregate(lums, F.lit(0.0), lambda a, v: a + v) / F.size("r")
-    return small.select("ad_id", "w", "h", mean.alias("brightness"))
+    whole = lambda c, w: F.transform(c, lambda v: F.round(v * (12 * 255)).cast("bigint") * F.lit(w))
+    total = sum((F.aggregate(whole(c, w), F.lit(0).cast("bigint"), lambda a, v: a + v) for c, w in zip("rgb", LUMA_PARTS)), F.lit(0))
+    return small.select("ad_id", "w", "h", (total / (F.size("r") * (12 * 255 * 10_000))).alias("brightness"))
 
 
 @query(
@@ -305,7 +315,27 @@ def cre7(spark, d):
     return creative.association_counts(creative.associations(data(spark, d), "icr"))
 
 
-@query("cre3_logistic_cv")
+#: Features known for too few ads are zero throughout, and so take no part in a fit.
+USED = ", ".join(f"CASE WHEN (SELECT count({f}) > count(*) * 0.8 FROM data) THEN {f} ELSE 0 END AS {f}" for f in creative.ALL_FEATURES)
+N_USED = " + ".join(f"(SELECT CAST(count({f}) > count(*) * 0.8 AS BIGINT) FROM data)" for f in creative.ALL_FEATURES)
+LABELLED = f"""lab AS MATERIALIZED (SELECT ad_id, campaign_id, CASE WHEN ctr > (SELECT quantile_cont(ctr, 0.5) FROM data) THEN 1 ELSE 0 END AS y, {USED} FROM data)"""
+CV = f"""{LABELLED}, {FOLDS.format(rows="lab")},
+cl AS MATERIALIZED (SELECT lab.*, fold FROM lab JOIN gf ON gf.campaign_id = lab.campaign_id),
+ct AS MATERIALIZED (SELECT m.fold AS model, y, {", ".join(creative.ALL_FEATURES)} FROM cl JOIN (SELECT DISTINCT fold FROM gf) m ON m.fold <> cl.fold),
+{newton_ctes("ct", creative.ALL_FEATURES, steps=12, impute=True)},
+units AS MATERIALIZED (SELECT ad_id AS unit, {newton_score("cl", creative.ALL_FEATURES, impute=True)} AS s, y
+    FROM cl JOIN nw_fit ON nw_fit.model = fold JOIN nw_scale ON nw_scale.model = fold),
+{poisson_ctes("units", key_text("'logistic'", "unit"), 2000)}, {WEIGHTED_AUC.format(keys="")}, ci AS (SELECT {AUC_CI} FROM areas),
+auc AS (SELECT (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc
+    FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM units) x)"""
+
+
+@query(
+    "cre3_logistic_cv",
+    sql(f"""SELECT 'logistic' AS evaluation, (SELECT {big('count(*)')} FROM units) AS n, auc, auc_low, auc_high, auc_low > 0.5 AS above_chance, 'ok' AS status,
+    {N_USED} AS n_features, (SELECT {big('max(k)')} FROM gf) AS n_splits FROM auc, ci""", CV).replace("WITH ", "WITH RECURSIVE ", 1),
+    dp={"auc": 6, "auc_low": 6, "auc_high": 6},
+)
 def cre3(spark, d):
     return creative.logistic_cv(data(spark, d), "ctr")
 
@@ -313,3 +343,15 @@ def cre3(spark, d):
 @query("cre4_boosted_cv")
 def cre4(spark, d):
     return creative.boosted_cv(data(spark, d), "ctr")
+
+
+TREE_CTES, TREE = first_tree("trows", creative.ALL_FEATURES)
+
+
+@query(
+    "cre4_first_tree",
+    sql(TREE, f"{LABELLED}, trows AS MATERIALIZED (SELECT ad_id AS id, * EXCLUDE (ad_id) FROM lab), {TREE_CTES}"),
+    dp={"threshold": 9, "gain": 9, "value": 9},
+)
+def cre4_tree(spark, d):
+    return creative.boosted_tree(data(spark, d), "ctr")

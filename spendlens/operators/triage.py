@@ -310,23 +310,6 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
     return df.join(dealt, group)
 
 
-def per_fold(work, folds):
-    """Run the fits of several folds side by side; each fit is a series of Spark jobs.
-
-    Results come back in fold order. At most five fits share the cluster.
-    """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.sql import SparkSession
-
-    folds = list(folds)
-    if not folds:
-        return []
-    with ThreadPool(min(5, len(folds))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.active())(work), folds)
-
-
 def usable_folds(folded: DataFrame, label: str) -> list[int]:
     """Folds whose training side holds both classes (one summary row per fold)."""
     rows = folded.groupBy("fold").agg(
