@@ -6,8 +6,8 @@ Rows are first collapsed to one unit per (stratum, cluster). Two schemes:
   number i of replicate b picks unit hash(stratum, b, i) mod K through a join on
   (stratum, position), so a stratum holding most units still spreads evenly.
 * ``poisson``: every unit gets an independent Poisson(1) count per replicate.
-  No join; the replicate totals combine map-side, so only
-  (tasks x strata x replicates) partial sums are shuffled. Meant for many units.
+  No join; a task multiplies counts (replicates x units) with the units' outcome and
+  exposure, so only (tasks x strata x replicates) sums are shuffled. Meant for many units.
 
 The scheme never depends on the size of the data: ``poisson`` unless the caller
 names the other. A null cluster id is a cluster of its own in both. Texts that
@@ -71,6 +71,51 @@ def poisson_replicates(units: DataFrame, key, n_boot: int, seed: int = 0) -> Dat
     return each.drop("__h1", "__h2", "__d", "__u")
 
 
+def _poisson_sums(units: DataFrame, strata, unit: str, n_boot: int, seed: int, cells: int = 2_000_000) -> DataFrame:
+    """Totals of C and S for each (stratum, replicate), as products of count matrices.
+
+    A task draws the counts of all replicates for some units of a stratum at a time,
+    replicates x units, and multiplies them with the units' C and S. What is shuffled is
+    one row for each task, stratum and replicate, whatever the units.
+    """
+    stratum = (key_text(*strata) if strata else F.lit("")).alias("__g")
+    keyed = units.select(*strata, stratum, F.concat_ws("|", F.lit(str(seed)), key_text(*strata, unit)).alias("__k"), "C", "S").select(
+        *strata, "__g", draws.key_word(F.col("__k"), 0).alias("__h1"), draws.key_word(F.col("__k"), 1).alias("__h2"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("C", "S")],
+    )
+    cut = _spread(keyed, "__h1", "__h2").sortWithinPartitions("__g")
+    k = len(strata)
+    schema = cut.select(*strata).schema.add("b", "integer").add("C", "double").add("S", "double")
+
+    def run(batches):
+        names, held, sums = None, None, None
+        b = np.arange(1, n_boot + 1)
+        none = pa.array(np.zeros(n_boot, dtype=np.int64))
+
+        def totals():
+            columns = [*[c.take(none) for c in names], pa.array(b, pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+            return pa.RecordBatch.from_arrays(columns, names=[*strata, "b", "C", "S"])
+
+        step = max(1, cells // n_boot)
+        for batch in batches:
+            g = batch.column(k).to_numpy(zero_copy_only=False)
+            h1, h2, c, s = (batch.column(k + i).to_numpy() for i in range(1, 5))
+            at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.empty(0, np.int64)
+            for lo, hi in zip(at, np.append(at[1:], len(g))):
+                if g[lo] != held:
+                    if names is not None:
+                        yield totals()
+                    held, names, sums = g[lo], [batch.column(i).slice(lo, 1) for i in range(k)], np.zeros((n_boot, 2))
+                for i in range(lo, hi, step):
+                    some = slice(i, min(i + step, hi))
+                    sums += draws.poisson_counts(h1[some], h2[some], b).astype(np.float64) @ np.column_stack([c[some], s[some]])
+        if names is not None:
+            yield totals()
+
+    ship(units.sparkSession)
+    return cut.mapInArrow(run, schema).groupBy(*strata, "b").agg(F.sum("C").alias("C"), F.sum("S").alias("S"))
+
+
 def _positions(units: DataFrame, unit: str) -> DataFrame:
     """Dense 0-based position ``__i`` of a unit in its stratum, and the size ``__K``.
 
@@ -144,11 +189,7 @@ def bootstrap_rates(
     usable = units.join(sizes, same, "left_semi") if strata else units.crossJoin(sizes.limit(1))
     usable = usable.select(*strata, unit, "C", "S")
     if mode == "poisson":
-        key = key_text(*strata, unit)
-        each = poisson_replicates(usable, key, n_boot, seed)
-        sums = each.groupBy(*strata, "b").agg(
-            F.sum(F.col("w") * F.col("C")).alias("C"), F.sum(F.col("w") * F.col("S")).alias("S")
-        )
+        sums = _poisson_sums(usable, strata, unit, n_boot, seed)
     elif mode == "multinomial":
         sums = _multinomial_sums(usable, strata, unit, n_boot, seed)
     else:
