@@ -11,6 +11,10 @@ from spendlens.session import scratch_path, ship
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Stored bytes of a small table for one task.
+TASK_BYTES = 4 << 20
+
+
 class Workspace:
     """Stored copies of one operator run, in the folder all executors share.
 
@@ -26,14 +30,15 @@ class Workspace:
     def path(self, step: str) -> str:
         return scratch_path(self.spark, f"{self.name}-{step}")
 
-    def settle(self, df: DataFrame, step: str, like: DataFrame | None = None) -> DataFrame:
-        """Stores a table and returns the copy; one no larger than about twice the stored
-        table ``like`` is written by twice as many tasks as that takes to read."""
+    def settle(self, df: DataFrame, step: str, fit: bool = False) -> DataFrame:
+        """Stores a table and returns the copy; with ``fit`` it is read by a task for every ``TASK_BYTES``."""
         path = self.path(step)
-        if like is not None:
-            df = df.coalesce(max(8, 2 * like.rdd.getNumPartitions()))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        if fit:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            size = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+            out = out.coalesce(max(1, -(-size // TASK_BYTES)))
         self.paths[id(out)] = (out, path)
         return out
 

@@ -7,6 +7,8 @@ smallest node at once; in between in a hashed order, so that chains of any order
 shrink by a constant factor and the number of rounds is logarithmic. Links and pointers of a round are stored in
 the shared folder; nothing but a count reaches the driver. Minima are combined
 before they are shuffled, so a node with a third of all links is no hot task.
+Stored tables are read by as many tasks as their bytes ask for: a table of few links
+is contracted in one task without any exchange, a large one by many.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node that has a link; root is the smallest node of its component."""
     ws = Workspace(links.sparkSession, "components")
     edges = ws.settle(
-        links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
+        links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", fit=True
     )
     hops, k = [], 0
     while not edges.isEmpty():
@@ -32,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         points = ws.settle(
             both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m"))
             .select("node", F.least("m", rank("node"))["n"].alias("to")),
-            f"points{k}", edges,
+            f"points{k}", fit=True,
         )
         hops.append(points)
         moved = (
@@ -40,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .join(points.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         )
-        edges, last = ws.settle(moved, f"edges{k}", edges), edges
+        edges, last = ws.settle(moved, f"edges{k}", fit=True), edges
         ws.drop(last)
         k += 1
     ws.drop(edges)
@@ -50,12 +52,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for points in reversed(hops[:-1]):  # follow the pointers from the last round back
         after = end.select(F.col("node").alias("to"), F.col("to").alias("end"))
         end = points.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    end = ws.settle(end, "ends", hops[0])
+    end = ws.settle(end, "ends", fit=True)
     ws.drop(*hops)
     least = end.groupBy("to").agg(F.min("node").alias("root"))
     return end.join(least, "to").select("node", "root")
 
 
+def merged(ws: Workspace, classes: DataFrame, links: DataFrame, step: str) -> DataFrame:
+    """``key, root`` of the components that ``classes`` and new links form together, stored.
+
+    Only the links' ends are contracted, as the roots of what they belong to.
+    """
+    root = lambda c: classes.select(F.col("key").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    found = ws.settle(components(ends).withColumnRenamed("root", "end"), f"{step}-found", fit=True)
+    old = classes.join(found, classes["root"] == found["node"], "left").select("key", F.coalesce("end", "root").alias("root"))
+    new = found.join(classes, found["node"] == classes["key"], "left_anti").select(F.col("node").alias("key"), F.col("end").alias("root"))
+    out = ws.settle(old.unionByName(new), step, fit=True)
+    ws.drop(found)
+    return out
+
+
 def resolve(
     ws: Workspace,
     nodes: DataFrame,
@@ -72,41 +89,67 @@ def resolve(
     share and may use the bucket's other columns, given without prefix.
 
     Every two keys of a bucket are decided or end in one component, but not as all
-    pairs: first each key with the smallest of its bucket; then components are
-    formed, that leader is done, and buckets that still hold several components
-    take more leaders (2, 64, 2048, ... expected, up to all). A bucket of close
-    copies is settled by its first leader. Buckets are never gathered: leaders meet
-    their bucket by a join that splits, and the cheap test is part of that join.
+    pairs: first each key with the smallest of its bucket, in an eighth of the buckets
+    and then, where the two are not in one component yet, in the others. That leader is
+    done, and buckets that still hold several components take more leaders (2, 64,
+    2048, ... expected, up to all). Of the pairs between the same two components one is
+    verified before the others, which need no test if it is a link. A group of close
+    copies is settled by few pairs. Buckets are never gathered: leaders meet their bucket
+    by a join that splits, and the cheap test is part of that join. What a round has
+    stored goes when the next has read it, but for the pairs without a link.
     """
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in nodes.columns])
     near = near or (lambda x, y: F.lit(True))
     first = first or (lambda x, y: F.lit(True))
+    classes = ws.settle(nodes.select("key", F.col("key").alias("root")).limit(0), "classes", fit=True)
+    unlinked: list[DataFrame] = []
+
+    def tried(pairs: DataFrame, step: str) -> None:
+        """Verifies stored pairs and takes the links into the classes."""
+        nonlocal classes
+        links = ws.settle(verify(pairs.select("a", "b")), f"links-{step}", fit=True)
+        unlinked.append(ws.settle(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"), f"unlinked-{step}", fit=True))
+        if not links.isEmpty():
+            after = merged(ws, classes, links, f"classes-{step}")
+            ws.drop(classes)
+            classes = after
+        ws.drop(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` that are in different components, with their roots in order."""
+        root = lambda c: classes.select(F.col("key").alias(c), F.col("root").alias(f"{c}_root"))
+        known = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "ab"})
+        return known.filter("a_root <> b_root").select("a", "b", F.least("a_root", "b_root").alias("lo"), F.greatest("a_root", "b_root").alias("hi"))
+
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).filter("size > 1")
-    led = ws.settle(buckets.join(several, "bucket").filter("key <> leader").drop("size"), "led")
-    at_leader = led.select("key", "leader").distinct()
-    tested = ws.settle(
-        at_leader.join(side("x"), F.col("key") == F.col("x_key"))
-        .join(side("y"), (F.col("leader") == F.col("y_key")) & near("x", "y")).select(*ordered("leader", "key")),
-        "pairs0",
-    )
-    links = ws.settle(verify(tested), "links0")
-    left = led.drop("leader")
-    held, k = [led, tested, links], 0
-    classes = components(links)
+    led = ws.settle(buckets.join(several, "bucket").filter("key <> leader").drop("size"), "led", fit=True)
+    early = F.pmod(F.xxhash64("bucket"), F.lit(8)) == 0
+    for step, chosen in (("early", early), ("led", ~early)):
+        at_leader = led.filter(chosen).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+        pairs = ws.settle(
+            apart(at_leader).select("a", "b").join(side("x"), F.col("b") == F.col("x_key"))
+            .join(side("y"), (F.col("a") == F.col("y_key")) & near("x", "y")).select("a", "b"),
+            f"pairs-{step}", fit=True,
+        )
+        tried(pairs, step)
+        ws.drop(pairs)
+
+    left, k = led.drop("leader"), 0
     while True:
-        named = left.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        named = left.join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
         k += 1
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
         now = ws.settle(
             named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(2.0 * 32.0 ** (k - 1)) / F.col("size")).drop("size"),
-            f"open{k}", led,
+            f"open{k}", fit=True,
         )
-        held.append(now)
+        ws.drop(led)
+        led = now
         if now.isEmpty():
-            ws.drop(*held)
-            return classes.select(F.col("node").alias("key"), "root")
+            ws.drop(now, *unlinked)
+            return classes
         wide = now.join(side("x"), F.col("key") == F.col("x_key")).drop("key")
         leaders = (
             now.filter("leads").select("bucket", "key", F.col("root").alias("lead_root"), F.lit(True).alias("led"))
@@ -116,12 +159,16 @@ def resolve(
         once = ~F.col("leads") | (F.col("x_key") < F.col("y_key"))
         fresh = (
             wide.alias("w").join(leaders.alias("l"), (F.col("w.bucket") == F.col("l.bucket")) & (F.col("root") != F.col("lead_root")) & once & first("x", "y") & near("x", "y"))
-            .select(*ordered("x_key", "y_key")).distinct().join(tested, ["a", "b"], "left_anti")
+            .select(*ordered("x_key", "y_key"), F.least("root", "lead_root").alias("lo"), F.greatest("root", "lead_root").alias("hi")).distinct()
         )
-        fresh = ws.settle(fresh, f"pairs{k}")
-        more = ws.settle(verify(fresh), f"links{k}")
-        held += [fresh, more]
-        tested = tested.unionByName(fresh)
-        if not more.isEmpty():
-            classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        for known in unlinked:
+            fresh = fresh.join(known, ["a", "b"], "left_anti")
+        fresh = ws.settle(fresh, f"pairs{k}", fit=True)
+        one = fresh.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        one = ws.settle(one, f"one{k}", fit=True)
+        tried(one, f"one{k}")
+        rest = ws.settle(apart(fresh.select("a", "b")).select("a", "b").join(one, ["a", "b"], "left_anti"), f"rest{k}", fit=True)
+        if not rest.isEmpty():
+            tried(rest, f"rest{k}")
+        ws.drop(fresh, one, rest)
         left = now.filter("not leads").drop("root", "leads")
