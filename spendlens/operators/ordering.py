@@ -12,10 +12,15 @@ a key holding most rows is cut into many slices.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendlens.operators.sharing import shared
+from spendlens.operators.sharing import settled, shared
+from spendlens.session import ship
 
 
 def with_slices(df: DataFrame, order_by, keys=()) -> DataFrame:
@@ -84,6 +89,63 @@ def mid_ranks(df: DataFrame, value: str, keys=()) -> DataFrame:
     )
 
 
+def row_mid_ranks(rows: DataFrame, value: str, weight: str, tie_order, keys=()) -> DataFrame:
+    """Append ``mid_rank``, the average rank of a row's value in its key, to every row.
+
+    Rows stand for ``weight`` equal ones. They are range partitioned by key, value and
+    ``tie_order``, so that equal values may lie in several slices, and stored; a scan of
+    each slice counts what comes before a value and how often it is there. A value at
+    either end of a slice is put together with its like from a table of two values for
+    each slice. No row is joined by its value.
+    """
+    keys, tie_order = list(keys), list(tie_order)
+    group = F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in map(F.col, keys)])
+    named = rows.withColumn("__g", group)
+    order = ["__g", value, *tie_order]
+    cut = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = cut.columns
+    at = [columns.index(c) for c in ("__g", value, weight)]
+
+    def scan(batches):
+        held = list(batches)  # one range of rows
+        whole = pa.Table.from_batches(held) if held else None
+        if whole is None or not whole.num_rows:
+            return
+        g, v, n = (whole.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in at)
+        new_group = np.append(True, g[1:] != g[:-1])
+        begins = np.flatnonzero(new_group | np.append(True, v[1:] != v[:-1]))
+        ties = np.add.reduceat(n, begins)
+        upto = np.cumsum(ties) - ties
+        own = np.searchsorted(begins, np.flatnonzero(new_group))  # the group's first run
+        before = upto - np.repeat(upto[own], np.diff(np.append(own, len(begins))))
+        size = np.diff(np.append(begins, len(v)))
+        part = TaskContext.get().partitionId()
+        more = {"__slice": np.full(len(v), part, np.int32), "__before": np.repeat(before, size).astype(np.int64), "__ties": np.repeat(ties, size).astype(np.int64)}
+        for name, values in more.items():
+            whole = whole.append_column(name, pa.array(values))
+        yield from whole.to_batches(max_chunksize=50_000)
+
+    ship(rows.sparkSession)
+    schema = T.StructType([*cut.schema.fields, T.StructField("__slice", T.IntegerType()), T.StructField("__before", T.LongType()), T.StructField("__ties", T.LongType())])
+    scanned = settled(cut.mapInArrow(scan, schema), "ranks")
+    ends = scanned.groupBy("__g", "__slice").agg(
+        F.sum(weight).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.min_by("__ties", value).alias("lo_ties"), F.max_by("__ties", value).alias("hi_ties"), F.max_by("__before", value).alias("hi_before"),
+    )
+    earlier = Window.partitionBy("__g").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = settled(ends.withColumn("off", F.coalesce(F.sum("total").over(earlier), F.lit(0))), "slices")  # one row for each slice of a key
+    edge = ends.select("__g", F.col("lo").alias("v"), F.col("off").alias("start"), F.col("lo_ties").alias("ties")).unionByName(
+        ends.filter("lo <> hi").select("__g", F.col("hi").alias("v"), (F.col("off") + F.col("hi_before")).alias("start"), F.col("hi_ties").alias("ties"))
+    )
+    whole_edge = edge.groupBy("__g", "v").agg(F.min("start").alias("start"), F.sum("ties").alias("ties"))
+    rank = (F.col("start") + (F.col("ties") + 1) / 2).alias("rank")
+    known = lambda side: whole_edge.select("__g", F.col("v").alias(side), rank.alias(f"{side}_rank"))
+    places = ends.join(known("lo"), ["__g", "lo"]).join(known("hi"), ["__g", "hi"]).select("__g", "__slice", "off", "lo", "hi", "lo_rank", "hi_rank")
+    inner = F.col("off") + F.col("__before") + (F.col("__ties") + 1) / 2
+    mid = F.when(F.col(value) == F.col("lo"), F.col("lo_rank")).when(F.col(value) == F.col("hi"), F.col("hi_rank")).otherwise(inner)
+    return scanned.join(places, ["__g", "__slice"]).select(*rows.columns, mid.alias("mid_rank"))
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], keys=()) -> DataFrame:
     """Linear-interpolated percentiles, one output column per ``probs`` entry.
 

@@ -9,6 +9,7 @@ from spendlens.functions.tails import normal_two_sided, student_two_sided
 from spendlens.operators.sharing import shared
 from spendlens.operators.ordering import (
     exact_percentiles,
+    row_mid_ranks,
     value_counts,
     with_running_sums,
     with_slices,
@@ -48,36 +49,29 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
 
     Works on the distinct p-values with their running counts, so the family may
     be of any size: rank(p) = number of tests with a value <= p, and the
-    step-up minimum is taken inside each slice and over the later slices.
+    step-up minimum is taken inside each slice and over the later slices. The values
+    are cut into slices once; counts run forward over them, the minimum backward.
     """
     family = list(family)
     counted = value_counts(df, p, family)
-    ranked = with_running_sums(counted, [p], {"__before": "n"}, family, {"__m": "n"})
-    ranked = ranked.select(
-        *family, p, (F.col(p) * F.col("__m") / (F.col("__before") + F.col("n"))).alias("__s")
+    cut = with_slices(counted, [p], family)  # the one order both scans use
+    whole, slice_ = Window.partitionBy(*family), Window.partitionBy(*family, "__slice")
+    earlier = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*family, "__slice").agg(F.sum("n").alias("__t")).select(
+        *family, "__slice", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__off"), F.sum("__t").over(whole).alias("__m")
     )
-    cut = with_slices(ranked, [p], family)
-    later = Window.partitionBy(*family).orderBy(F.desc("__slice")).rowsBetween(
-        Window.unboundedPreceding, -1
+    up = slice_.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scaled = cut.withColumn("__rank", F.sum("n").over(up)).join(sizes, [*family, "__slice"]).withColumn(
+        "__s", F.col(p) * F.col("__m") / (F.col("__off") + F.col("__rank"))
     )
-    tails = (
-        cut.groupBy(*family, "__slice")
-        .agg(F.min("__s").alias("__min"))
-        .select(*family, "__slice", F.min("__min").over(later).alias("__tail"))
+    down = slice_.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scaled = shared(scaled.select(*family, p, "__slice", F.min("__s").over(down).alias("__in")))
+    later = whole.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    tails = scaled.groupBy(*family, "__slice").agg(F.min("__in").alias("__min")).select(
+        *family, "__slice", F.coalesce(F.min("__min").over(later), F.lit(1.0)).alias("__tail")
     )
-    inside = (
-        Window.partitionBy(*family, "__slice")
-        .orderBy(F.desc(p))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    adjusted = (
-        cut.withColumn("__in", F.min("__s").over(inside))
-        .join(tails, [*family, "__slice"])
-        .select(
-            *family,
-            F.col(p),
-            F.least(F.col("__in"), F.coalesce(F.col("__tail"), F.lit(1.0)), F.lit(1.0)).alias(out),
-        )
+    adjusted = scaled.join(tails, [*family, "__slice"]).select(
+        *family, F.col(p), F.least(F.col("__in"), F.col("__tail"), F.lit(1.0)).alias(out)
     )
     return df.join(adjusted, [*family, p], "left")
 
@@ -108,41 +102,28 @@ def step_up(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, keys=(), with_p: bool = True) -> DataFrame:
     """Rank correlation per key: columns keys, n, rho, t_stat (and p_value).
 
-    Both sides are stacked so that one ordering pass ranks them all; row pairs
-    are collapsed to distinct (x, y) before the ranks are joined back.
+    Row pairs are collapsed to distinct (x, y) with their number. Both sides are stacked
+    so that one ordering pass ranks them all, in place: a value that most rows share is
+    cut into slices like any other, and the two ranks of a pair meet by the pair.
     """
     keys = list(keys)
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = shared(
+    pairs = (
         df.select(*keys, xd.alias("__x"), yd.alias("__y"))
-        .where(
-            F.col("__x").isNotNull()
-            & F.col("__y").isNotNull()
-            & ~F.isnan("__x")
-            & ~F.isnan("__y")
-        )
+        .where(F.col("__x").isNotNull() & F.col("__y").isNotNull() & ~F.isnan("__x") & ~F.isnan("__y"))
         .groupBy(*keys, "__x", "__y")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    sides = pairs.select(
-        *keys,
-        "__n",
-        F.explode(
-            F.array(
-                F.struct(F.lit("x").alias("side"), F.col("__x").alias("v")),
-                F.struct(F.lit("y").alias("side"), F.col("__y").alias("v")),
-            )
-        ).alias("s"),
-    ).select(*keys, "__n", "s.side", "s.v")
-    counted = sides.groupBy(*keys, "side", "v").agg(F.sum("__n").alias("n"))
-    ranks = shared(
-        with_running_sums(counted, ["v"], {"__before": "n"}, [*keys, "side"]).select(
-            *keys, "side", "v", (F.col("__before") + (F.col("n") + 1) / 2).alias("r")
-        )
+    one = lambda side, v, other: F.struct(F.lit(side).alias("side"), F.col(v).alias("v"), F.col(other).alias("other"))
+    sides = pairs.select(*keys, "__n", F.inline(F.array(one("x", "__x", "__y"), one("y", "__y", "__x"))))
+    ranked = row_mid_ranks(sides, "v", "__n", ["other"], [*keys, "side"])
+    first = F.col("side") == "x"
+    at = lambda on, c: F.max(F.when(on, F.col(c)))
+    both = (
+        ranked.withColumns({"__x": F.when(first, F.col("v")).otherwise(F.col("other")), "__y": F.when(first, F.col("other")).otherwise(F.col("v"))})
+        .groupBy(*keys, "__x", "__y")
+        .agg(F.max("__n").alias("__n"), at(first, "mid_rank").alias("rx"), at(~first, "mid_rank").alias("ry"))
     )
-    rx = ranks.where("side = 'x'").select(*keys, F.col("v").alias("__x"), F.col("r").alias("rx"))
-    ry = ranks.where("side = 'y'").select(*keys, F.col("v").alias("__y"), F.col("r").alias("ry"))
-    both = pairs.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])
     n = F.col("__n")
     sums = both.groupBy(*keys).agg(
         F.sum("__n").alias("n"),
