@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.funnel import ad_lifecycle, funnel_by_period
 from spendlens.schema import PASSES, PassSpec, pass_schema
+from spendlens.sinks.slices import manifest, scan
+
+
+def _slices(slices: dict, spec: PassSpec) -> dict:
+    return {k: v for k, v in slices.items() if k.startswith(f"pass={spec.name}/")}
 
 
 def has_pass(spark: SparkSession, root: str, spec: PassSpec) -> bool:
-    """Whether any partition of the pass has been written."""
-    return _exists(spark, f"{root}/pass={spec.name}/month=*")
+    """Whether any slice of the pass has been published (or lies in a root without manifest)."""
+    slices = manifest(spark, root)
+    return bool(_slices(slices, spec)) if slices else _exists(spark, f"{root}/pass={spec.name}/month=*")
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -23,16 +29,20 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 def scan_pass(spark: SparkSession, root: str, spec: PassSpec, pinned: bool = False) -> DataFrame:
     """All months of a pass; columns missing from a month read as null.
 
-    ``pinned`` takes the schema from the pass, as ingestion writes it, and opens
-    no footer to find it; without it months of any columns and types are united
-    by name from all footers. ``pass`` and ``month`` are partition columns, so
-    filters on them prune directories before any file is opened.
+    Slices and their columns come from the manifest, so that no footer is opened to
+    find them. A root without manifest is scanned as it lies: by the pinned schema of the
+    pass, or with the columns of all footers united by name. ``pass`` and ``month`` are
+    partition columns, so filters on them prune slices before any file is opened.
     """
+    slices = manifest(spark, root)
+    if slices:
+        found = scan(spark, root, _slices(slices, spec))
+        if not pinned:
+            return found
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in pass_schema(spec).fields if f.name not in found.columns}
+        return found.withColumns(missing)
     reader = spark.read.schema(pass_schema(spec)) if pinned else spark.read.option("mergeSchema", True)
-    return (
-        reader.option("basePath", root)
-        .parquet(f"{root}/pass={spec.name}")
-    )
+    return reader.option("basePath", root).parquet(f"{root}/pass={spec.name}")
 
 
 def register_views(spark: SparkSession, root: str) -> list[str]:

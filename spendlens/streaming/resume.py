@@ -3,7 +3,7 @@
 Landing layout: ``<landing>/pass=<name>/month=<YYYY-MM>/*.json``. A unit is one
 (pass, month). The stream checkpoint remembers which files were taken in, so a
 rerun only touches units with new files. A touched unit is rebuilt from all of
-its landed files and replaces its slice, hence a retried batch, a late
+its landed files, once a run, and replaces its slice at one moment, hence a retried batch, a late
 correction and a unit split over several batches all give the same table.
 """
 
@@ -51,16 +51,22 @@ def rebuild_units(spark: SparkSession, landing: str, units, root: str) -> None:
 def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_batch: int | None = None):
     """Process everything that has landed since the last call, then stop.
 
-    A unit touched by several batches of a run is rebuilt once for each of them.
-    Files of an unknown pass fail the batch, which leaves them to a later run.
+    Batches note which units they touch in ``<state>-units``; after the last one each
+    unit is rebuilt once and the notes go. A run that dies before that leaves its notes,
+    which the next run takes up, so no landed file is forgotten. Files of an unknown pass
+    fail the batch, which leaves them to a later run.
     """
+    notes = f"{state}-units"
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def take_in(batch: DataFrame, _batch_id: int) -> None:
-        touched = [(r["pass"], r["month"]) for r in batch.select("pass", "month").distinct().collect()]
-        rebuild_units(batch.sparkSession, landing, touched, root)
+    def take_in(batch: DataFrame, number: int) -> None:
+        touched = batch.select("pass", "month").distinct()
+        unknown = sorted({str(r["pass"]) for r in touched.select("pass").distinct().collect()} - set(PASSES))
+        if unknown:
+            raise ValueError(f"landed files of unknown passes: {', '.join(unknown)}")
+        touched.coalesce(1).write.mode("overwrite").json(f"{notes}/batch={number}")
 
     query = (
         _reader(reader, landing).json(landing)
@@ -70,6 +76,12 @@ def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_b
         .start()
     )
     query.awaitTermination()
+    if _exists(spark, notes):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in ("pass", "month")])
+        units = [tuple(r) for r in spark.read.schema(schema).json(f"{notes}/*").distinct().collect()]
+        rebuild_units(spark, landing, units, root)
+        target = spark._jvm.org.apache.hadoop.fs.Path(notes)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     return query
 
 
