@@ -16,6 +16,9 @@ from bindings.sql_tails import rho_p, step_up
 from spendlens.functions import images as im
 from spendlens.functions import text as tx
 from spendlens.operators import creative
+from spendlens.session import scratch_path
+from spendlens.sinks.pictures import write_files, write_pictures
+from spendlens.sources.creatives import read_thumbnails
 
 CONST = {
     "urgency": "|".join(tx.URGENCY_TERMS),
@@ -144,7 +147,12 @@ def img8(spark, d):
     dp={"r": 6, "g": 6, "b": 6},
 )
 def src5(spark, d):
-    frames = im.decoded(tb.pictures(spark, d))
+    """All pictures as PNG files, read back by the image source; a file that is no picture gives no row."""
+    folder = scratch_path(spark, "pictures").removeprefix("file://").removeprefix("file:")
+    write_pictures(tb.pictures(spark, d), folder)
+    broken = spark.range(1).select(F.lit("broken").alias("ad_id"), F.encode(F.lit("no picture"), "utf-8").alias("content"))
+    write_files(broken, folder)
+    frames = im.decoded(read_thumbnails(spark, folder))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v).alias(c)
     return frames.select("ad_id", "width", "height", total("r"), total("g"), total("b"))
 
