@@ -54,10 +54,16 @@ def close(names_a, rows_a, names_b, rows_b):
 
 
 def compare(key, fn, sql, spark, con, d):
+    from spendlens.session import scope
+
     start = time.time()
-    df = fn(spark, d)
-    got = [tuple(r) for r in df.collect()]
+    with scope(spark) as owned:
+        df = fn(spark, d)
+        got = [tuple(r) for r in df.collect()]
     took = time.time() - start
+    left = [p for p in owned.paths if os.path.exists(p.removeprefix("file:"))]
+    if left:
+        return took, f"LEFT {left}"
     if sql is None:
         return took, f"rows-only n={len(got)} {got[:2]}"
     rel = con.execute(sql)

@@ -2,7 +2,8 @@
 
 Without this, column pruning gives every branch its own copy of the upstream
 work. The tables are kept with MEMORY_AND_DISK; a lost executor recomputes its
-blocks from the lineage. ``release`` frees whatever the operators have kept.
+blocks from the lineage. A ``session.scope`` owns what is kept or stored inside it and
+frees it at its end; ``release`` frees what was kept outside of any.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from spendlens.session import scratch_path
+from spendlens.session import _SCOPES, scratch_path
 
 _KEPT: list[DataFrame] = []
 
@@ -18,7 +19,7 @@ _KEPT: list[DataFrame] = []
 def shared(df: DataFrame) -> DataFrame:
     """Mark a table as read more than once; evaluated lazily, once."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _KEPT.append(kept)
+    (_SCOPES[-1].kept if _SCOPES else _KEPT).append(kept)
     return kept
 
 

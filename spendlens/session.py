@@ -44,7 +44,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = own_folder()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    return path
+
+
+_SCOPES: list[scope] = []
+
+
+class scope:
+    """Owns what operators store or keep while it is open; its end removes it all.
+
+    Results are read lazily from stored copies, so read or write them inside::
+
+        with scope(spark):
+            rank_family(spark.table(spec.view), spec).scored.write.parquet(out)
+
+    Scopes may be nested: a copy belongs to the innermost. Without one, copies stay in
+    ``spark.checkpoint.dir`` until someone removes them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        for frame in self.kept:
+            frame.unpersist()
+        for path in self.paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _OWN: list[str] = []
