@@ -30,22 +30,36 @@ class Workspace:
     def path(self, step: str) -> str:
         return scratch_path(self.spark, f"{self.name}-{step}")
 
-    def settle(self, df: DataFrame, step: str, fit: bool = False) -> DataFrame:
-        """Stores a table and returns the copy; with ``fit`` it is read by a task for every ``TASK_BYTES``."""
+    def settle(self, df: DataFrame, step: str, fit: bool = False, tasks: int | None = None) -> DataFrame:
+        """Stores a table and returns the copy; with ``fit`` it is read by a task for every ``TASK_BYTES``.
+
+        ``tasks`` limits the tasks of the last step before the copy, see ``tasks``.
+        """
         path = self.path(step)
+        if tasks:
+            df = df.coalesce(tasks)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        size = 0
         if fit:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             size = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
             out = out.coalesce(max(1, -(-size // TASK_BYTES)))
-        self.paths[id(out)] = (out, path)
+        self.paths[id(out)] = (out, path, size)
         return out
 
+    def tasks(self, *frames: DataFrame, per: int) -> int:
+        """Tasks for work over stored tables (with ``fit``): one for every ``per`` bytes, all cores at least.
+
+        Small tables get no more tasks than they have work for, whatever the number of
+        shuffle partitions; large ones are not held back.
+        """
+        return max(self.spark.sparkContext.defaultParallelism, -(-sum(self.paths[id(f)][2] for f in frames) // per))
+
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for frame in frames:
-            _, path = self.paths.pop(id(frame))
+            path = self.paths.pop(id(frame))[1]
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
 

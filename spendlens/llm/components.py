@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import Workspace
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, root`` for every node that has a link; root is the smallest node of its component."""
+def components(links: DataFrame, a: str = "a", b: str = "b", tasks: int | None = None) -> DataFrame:
+    """``node, root`` for every node that has a link; root is the smallest node of its component.
+
+    ``tasks`` limits the tasks that gather the links, if the caller knows them to be few.
+    """
     ws = Workspace(links.sparkSession, "components")
     edges = ws.settle(
-        links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", fit=True
+        links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", fit=True, tasks=tasks
     )
     hops, k = [], 0
     while not edges.isEmpty():
@@ -34,7 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         points = ws.settle(
             both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m"))
             .select("node", F.least("m", rank("node"))["n"].alias("to")),
-            f"points{k}", fit=True,
+            f"points{k}", fit=True, tasks=ws.tasks(edges, per=1 << 20),
         )
         hops.append(points)
         moved = (
@@ -42,7 +45,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .join(points.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         )
-        edges, last = ws.settle(moved, f"edges{k}", fit=True), edges
+        edges, last = ws.settle(moved, f"edges{k}", fit=True, tasks=ws.tasks(edges, per=1 << 20)), edges
         ws.drop(last)
         k += 1
     ws.drop(edges)
@@ -52,7 +55,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for points in reversed(hops[:-1]):  # follow the pointers from the last round back
         after = end.select(F.col("node").alias("to"), F.col("to").alias("end"))
         end = points.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    end = ws.settle(end, "ends", fit=True)
+    end = ws.settle(end, "ends", fit=True, tasks=ws.tasks(*hops, per=1 << 20))
     ws.drop(*hops)
     least = end.groupBy("to").agg(F.min("node").alias("root"))
     return end.join(least, "to").select("node", "root")
@@ -65,10 +68,11 @@ def merged(ws: Workspace, classes: DataFrame, links: DataFrame, step: str) -> Da
     """
     root = lambda c: classes.select(F.col("key").alias(c), F.col("root").alias(f"{c}_root"))
     ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    found = ws.settle(components(ends).withColumnRenamed("root", "end"), f"{step}-found", fit=True)
+    few = ws.tasks(links, per=1 << 20)
+    found = ws.settle(components(ends, tasks=few).withColumnRenamed("root", "end"), f"{step}-found", fit=True, tasks=few)
     old = classes.join(found, classes["root"] == found["node"], "left").select("key", F.coalesce("end", "root").alias("root"))
     new = found.join(classes, found["node"] == classes["key"], "left_anti").select(F.col("node").alias("key"), F.col("end").alias("root"))
-    out = ws.settle(old.unionByName(new), step, fit=True)
+    out = ws.settle(old.unionByName(new), step, fit=True, tasks=ws.tasks(classes, found, per=1 << 20))
     ws.drop(found)
     return out
 
@@ -108,8 +112,8 @@ def resolve(
     def tried(pairs: DataFrame, step: str) -> None:
         """Verifies stored pairs and takes the links into the classes."""
         nonlocal classes
-        links = ws.settle(verify(pairs.select("a", "b")), f"links-{step}", fit=True)
-        unlinked.append(ws.settle(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"), f"unlinked-{step}", fit=True))
+        links = ws.settle(verify(pairs.select("a", "b")), f"links-{step}", fit=True, tasks=ws.tasks(pairs, per=1 << 16))  # some thousand pairs a task
+        unlinked.append(ws.settle(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"), f"unlinked-{step}", fit=True, tasks=ws.tasks(pairs, per=1 << 20)))
         if not links.isEmpty():
             after = merged(ws, classes, links, f"classes-{step}")
             ws.drop(classes)
@@ -130,7 +134,7 @@ def resolve(
         pairs = ws.settle(
             apart(at_leader).select("a", "b").join(side("x"), F.col("b") == F.col("x_key"))
             .join(side("y"), (F.col("a") == F.col("y_key")) & near("x", "y")).select("a", "b"),
-            f"pairs-{step}", fit=True,
+            f"pairs-{step}", fit=True, tasks=ws.tasks(led, per=1 << 20),
         )
         tried(pairs, step)
         ws.drop(pairs)
@@ -143,7 +147,7 @@ def resolve(
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
         now = ws.settle(
             named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(2.0 * 32.0 ** (k - 1)) / F.col("size")).drop("size"),
-            f"open{k}", fit=True,
+            f"open{k}", fit=True, tasks=ws.tasks(led, per=1 << 20),
         )
         ws.drop(led)
         led = now
@@ -163,11 +167,11 @@ def resolve(
         )
         for known in unlinked:
             fresh = fresh.join(known, ["a", "b"], "left_anti")
-        fresh = ws.settle(fresh, f"pairs{k}", fit=True)
+        fresh = ws.settle(fresh, f"pairs{k}", fit=True, tasks=ws.tasks(now, per=1 << 18))
         one = fresh.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        one = ws.settle(one, f"one{k}", fit=True)
+        one = ws.settle(one, f"one{k}", fit=True, tasks=ws.tasks(fresh, per=1 << 20))
         tried(one, f"one{k}")
-        rest = ws.settle(apart(fresh.select("a", "b")).select("a", "b").join(one, ["a", "b"], "left_anti"), f"rest{k}", fit=True)
+        rest = ws.settle(apart(fresh.select("a", "b")).select("a", "b").join(one, ["a", "b"], "left_anti"), f"rest{k}", fit=True, tasks=ws.tasks(fresh, per=1 << 20))
         if not rest.isEmpty():
             tried(rest, f"rest{k}")
         ws.drop(fresh, one, rest)
