@@ -159,6 +159,58 @@ def _places(order, lo, hi):
     return order[lo[owner] + inside], owner
 
 
+def _distinct(lo, hi):
+    """Distinct intervals and which of them each given one is."""
+    both, which = np.unique(np.stack([lo, hi], axis=1), axis=0, return_inverse=True)
+    return both[:, 0], both[:, 1], which.ravel()
+
+
+def _deepest(n: int, lo, hi, depth):
+    """For each of ``n`` places the largest depth of the intervals that hold it.
+
+    An interval is two halves of a power of two in length, which are handed down from
+    long to short: n log n steps, however the intervals overlap.
+    """
+    if not len(lo):
+        return np.zeros(n, dtype=np.int64)
+    level = np.floor(np.log2(hi - lo)).astype(np.int64)
+    by_level = [np.zeros(n, dtype=np.int64) for _ in range(int(level.max()) + 1)]
+    for k in np.unique(level).tolist():
+        own = level == k
+        np.maximum.at(by_level[k], lo[own], depth[own])
+        np.maximum.at(by_level[k], hi[own] - (1 << k), depth[own])
+    for k in range(len(by_level) - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.maximum(by_level[k - 1], by_level[k], out=by_level[k - 1])
+        np.maximum(by_level[k - 1][half:], by_level[k][:-half], out=by_level[k - 1][half:])
+    return by_level[0]
+
+
+def _matched(row, order, lo, hi, which, item, n_items: int, most: int = 1 << 22):
+    """Distinct documents x items of intervals of one depth, in blocks of about ``most`` pairs at a time.
+
+    Equal windows are one interval, and intervals of one depth do not overlap: their
+    places are no more than the shard's words. ``which`` and ``item`` are the test windows'.
+    """
+    at, owner = _places(order, lo, hi)
+    docs = np.unique(owner * (int(row.max()) + 1) + row[at])
+    doc_of, in_doc = np.divmod(docs, int(row.max()) + 1)
+    asked = np.unique(which * n_items + item)
+    item_of, in_item = np.divmod(asked, n_items)
+    first = np.searchsorted(item_of, np.arange(len(lo) + 1))
+    times = np.diff(first)[doc_of]  # items that meet each document
+    stop = np.cumsum(times)
+    out, a = np.empty(0, dtype=np.int64), 0
+    while a < len(docs):
+        b = max(a + 1, int(np.searchsorted(stop, (stop[a - 1] if a else 0) + most, side="right")))
+        n = times[a:b]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.repeat(in_doc[a:b], n) * n_items + in_item[np.repeat(first[doc_of[a:b]], n) + inside]
+        out = np.unique(np.append(out, pairs))
+        a = b
+    return at, out
+
+
 def scan(shard: pa.RecordBatch, load, n_blocks: int) -> dict[str, list]:
     """Results of one shard; ``load(k)`` gives the k-th block of test suffixes."""
     rows = shard.num_rows
@@ -174,18 +226,19 @@ def scan(shard: pa.RecordBatch, load, n_blocks: int) -> dict[str, list]:
         for k in range(n_blocks):
             q = load(k)
             found, best = search(h, end, order, q)
-            for suffix, lo, hi in found:
-                at, owner = _places(order, lo, hi)
+            for suffix, lo, hi in found:  # the windows of one length
+                lo, hi, which = _distinct(lo, hi)
+                at, pairs = _matched(row, order, lo, hi, which, q.row[suffix], len(q.ids))
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + q.need[suffix[owner]], -1)
-                pairs = np.unique(row[at] * len(q.ids) + q.row[suffix[owner]])
+                np.add.at(cover, at + q.need[suffix[0]], -1)
                 for doc, item in zip((pairs // len(q.ids)).tolist(), (pairs % len(q.ids)).tolist()):
                     got = items.setdefault(doc, set())
                     if q.ids[item] is not None:
                         got.add(q.ids[item])
-            for _, depth, lo, hi in best:
-                at, owner = _places(order, lo, hi)
-                np.maximum.at(longest, row[at], depth[owner])
+            if best:
+                depth = np.concatenate([d for _, d, _, _ in best])
+                lo, hi = (np.concatenate([b[i] for b in best]) for i in (2, 3))
+                np.maximum.at(longest, row[order], _deepest(len(h), lo, hi, depth))
     hit = np.cumsum(cover[:-1]) > 0
     n_hit = np.bincount(row[hit], minlength=rows) if len(h) else per
     spans: list = [[] for _ in range(rows)]

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,28 @@ def test_longest_match_and_removal(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 3}
     assert D.digest(D.find(docs, bench.limit(0))).filter("contaminated").count() == 0
     assert D.find(docs.limit(0), bench).count() == 0
+
+
+def test_the_deepest_interval_of_each_place():
+    rng = np.random.default_rng(2)
+    lo = rng.integers(0, 90, 200)
+    hi = lo + rng.integers(1, 11, 200)
+    depth = rng.integers(1, 50, 200)
+    want = np.zeros(100, dtype=int)
+    for a, b, d in zip(lo, hi, depth):
+        want[a:b] = np.maximum(want[a:b], d)
+    assert (D._deepest(100, lo, hi, depth) == want).all() and (D._deepest(3, lo[:0], hi[:0], depth[:0]) == 0).all()
+
+
+def test_one_word_over_and_over_takes_memory_in_proportion():
+    import tracemalloc
+
+    text, item = "spam " * 20_000, "spam " * 3_000
+    shard = pa.record_batch({"text": [text, "eggs", "spam " * 12]})
+    q = D.Queries([(7, item), (8, "spam " * 20), (9, "eggs spam")], D.WINDOW)
+    tracemalloc.start()
+    got = D.scan(shard, lambda k: q, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_hit"] == [20_000, 0, 0] and got["items"] == [[7, 8], [], []]
+    assert got["longest_match"][0] == 3_000 and peak < 100e6
