@@ -34,6 +34,8 @@ DEPTH, TREES, RATE, LEAF_ROWS, BINS, LEAF_CURVE = 3, 150, 0.06, 15, 255, 1e-3
 #: A split must gain more than this; rounding noise is no gain.
 LEAST_GAIN = 1e-9
 KEEP = 25
+#: Stored bytes of binned rows for one task of a pass.
+TASK_BYTES = 8 << 20
 WIDTH = BINS + 1
 
 
@@ -205,7 +207,7 @@ def _with_margins(binned: DataFrame, models: list[int], d: int, recent: dict) ->
                 held = pa.FixedSizeListArray.from_arrays(pa.array(after.ravel()), len(models)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), held], names=["__fold", "__y", "__bins", "__margin"])
 
-    return settled(binned.mapInArrow(run, "__fold int, __y double, __bins binary, __margin array<double>"), "boosted")
+    return settled(binned.mapInArrow(run, "__fold int, __y double, __bins binary, __margin array<double>"), "boosted", TASK_BYTES)
 
 
 def fit_boosted(
@@ -249,7 +251,7 @@ def fit_boosted(
                 )
 
     vector = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features])
-    binned = settled(plain.select("__fold", "__y", vector).mapInArrow(cut, "__fold int, __y double, __bins binary, __margin array<double>"), "binned")
+    binned = settled(plain.select("__fold", "__y", vector).mapInArrow(cut, "__fold int, __y double, __bins binary, __margin array<double>"), "binned", TASK_BYTES)
     most = max(n for _, n in shares.values())
     scale = float(2 ** min(30, 62 - int(most).bit_length()))
     size = 2 ** (depth + 1) - 1

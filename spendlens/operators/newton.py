@@ -28,6 +28,8 @@ from spendlens.session import ship
 
 TOLERANCE = 1e-9
 MOST_STEPS = 60
+#: Stored bytes of rows for one task of a step.
+TASK_BYTES = 8 << 20
 
 
 @dataclass
@@ -151,7 +153,7 @@ def fit_models(
     )
     if not impute:
         plain = plain.dropna(subset=list(features))
-    plain = settled(plain, "newton")
+    plain = settled(plain, "newton", TASK_BYTES)
     training = _training(plain, models)
     medians = _medians(training, features) if impute else {}
     scaling = _scaling(training, features, medians)

@@ -36,12 +36,20 @@ def release() -> int:
     return freed
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, task_bytes: int | None = None) -> DataFrame:
     """Write a pivotal table to the shared scratch folder and go on from the copy.
 
     Used once per analysis, right after the pass over the large input: later
     steps neither repeat that pass when an executor is lost nor carry its plan.
+    With ``task_bytes`` the copy is read by a task for so many stored bytes: passes
+    that are made hundreds of times get no more tasks than they have work for.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if task_bytes:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        out = out.coalesce(max(1, -(-size // task_bytes)))
+    return out
