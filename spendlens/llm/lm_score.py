@@ -13,10 +13,10 @@ are taken in blocks; a block lists its distinct n-grams (hashes) with their
 training counts, packed as sorted differences, one row for each range of hashes.
 A range adds up the counts of all blocks and gives each block the totals of the
 n-grams it listed: the states and arcs that block can reach. The block is then
-scored with just these. No states or arcs are built for that: what a walk over
-failure arcs gives at a token is the interpolation arc + failure x lower order,
-which ``traverse`` sums over arrays for all positions (closed form). An n-gram is one entry for each block, however often
-it occurs, so a frequent word, pair or passage makes no hot range.
+walked with just these (``Automaton``), all its texts side by side. ``traverse`` is the
+same in closed form, arc + failure x lower order at every position, for the tests. An
+n-gram is one entry for each block, however often it occurs, so a frequent word, pair or
+passage makes no hot range.
 
 Blocks and ranges both hold ``max(4 MB, sqrt(18 KB x input))`` of text, so the
 packed rows (blocks x ranges) grow in proportion to the input and a task's
@@ -44,6 +44,7 @@ from spendlens.llm.common import Workspace, crc_mod
 ORDER = 3
 PRIOR = {2: 3000.0, 3: 4.0}  # K by order: words of prior weight given to the shorter history
 LEAST, CELL = 4 << 20, 18 << 10
+PIECE = 1024  # words of a text that are walked one after the other
 U = W.U
 END = U(0x5851F42D4C957F2D)
 
@@ -186,7 +187,8 @@ def traverse(row, h, totals: list[np.ndarray], places, n_train: int, vocabulary:
 
     ``totals[k]`` are counts of the block's (k+1)-grams, ``places[k]`` says which
     belongs to which position. Every position sums arc + failure x lower
-    order over all orders, which equals following failure arcs from its state.
+    order over all orders, which equals following failure arcs from its state:
+    a check of ``Automaton``, which does follow them.
     """
     count = []
     for k, (at, place) in enumerate(places):
@@ -207,6 +209,86 @@ def traverse(row, h, totals: list[np.ndarray], places, n_train: int, vocabulary:
     return np.log10(weight), known, count[0]
 
 
+class Automaton:
+    """The states and arcs that one block of texts can reach.
+
+    ``counts[k]`` are the training counts of the block's distinct (k+1)-grams,
+    ``places[k]`` the positions they end at and which of them stands there. State 0 is
+    the empty history; a seen k-gram, k < order, is a state. An arc is found by its state
+    and word among sorted keys, and has a log10 weight and the state it leads to: the
+    longest seen history that the words then end with.
+    """
+
+    def __init__(self, counts: list[np.ndarray], places: list, n_train: int, vocabulary: int, prior=PRIOR):
+        order, self.words = len(counts), max(1, len(counts[0]))
+        size = len(places[0][0])
+        ends = [np.full(size, -1) for _ in range(order)]  # the (k+1)-gram that ends at each position
+        last = [np.zeros(len(c), dtype=np.int64) for c in counts]  # a position where each gram ends
+        for k, (at, place) in enumerate(places):
+            ends[k][at] = place
+            last[k][place] = at
+        self.word = ends[0]
+        state, number = [], 1
+        for k in range(order - 1):
+            seen = counts[k] > 0
+            state.append(np.where(seen, number + np.cumsum(seen) - 1, 0))
+            number += int(seen.sum())
+        self.failure, self.failing = np.zeros(number, dtype=np.int64), np.zeros(number)
+        weight = (counts[0] + vocabulary / (vocabulary + 1)) / (n_train + vocabulary) if n_train else np.ones(len(counts[0]))
+        keys, logs, targets = [np.arange(len(counts[0]))], [np.log10(weight)], [state[0] if order > 1 else np.zeros(len(counts[0]), dtype=np.int64)]
+        for k in range(1, order):
+            at = last[k]
+            history, suffix = ends[k - 1][at - 1], ends[k - 1][at]
+            room = counts[k - 1][history] + prior[k + 1]
+            weight = counts[k] / room + prior[k + 1] / room * weight[suffix]
+            seen = np.flatnonzero(counts[k] > 0)
+            keys.append(state[k - 1][history[seen]] * self.words + self.word[at[seen]])
+            logs.append(np.log10(weight[seen]))
+            targets.append(state[k][seen] if k < order - 1 else state[k - 1][suffix[seen]])
+            own = np.flatnonzero(counts[k - 1] > 0)  # the states of k words
+            if k > 1:
+                self.failure[state[k - 1][own]] = state[k - 2][ends[k - 2][last[k - 1][own]]]
+            self.failing[state[k - 1][own]] = np.log10(prior[k + 1] / (counts[k - 1][own] + prior[k + 1]))
+        by = np.argsort(np.concatenate(keys))
+        self.keys, self.logs, self.targets = (np.concatenate(v)[by] for v in (keys, logs, targets))
+        self.memory = order - 1
+
+    def walk(self, row: np.ndarray, rows: int, piece: int = PIECE) -> np.ndarray:
+        """log10 weight of each text: all texts a word at a time, each carrying its state.
+
+        A long text is walked in pieces at once. The state is settled by the last order - 1
+        words, so a piece begins as many words early, without counting them.
+        """
+        length = np.bincount(row, minlength=rows)
+        begin = np.cumsum(length) - length
+        n = -(-length // piece)
+        text = np.repeat(np.arange(rows), n)
+        at = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * piece
+        early = np.minimum(at, self.memory)
+        start, steps = begin[text] + at - early, np.minimum(piece, length[text] - at) + early
+        by = np.argsort(-steps, kind="stable")
+        text, start, steps, early = text[by], start[by], steps[by], early[by]
+        total, state = np.zeros(len(text)), np.zeros(len(text), dtype=np.int64)
+        going = np.searchsorted(-steps, -np.arange(steps[0] if len(steps) else 0), side="left")
+        for t, m in enumerate(going.tolist()):
+            word, at_state, gain = self.word[start[:m] + t], state[:m], np.zeros(m)
+            open_ = np.arange(m)
+            while True:
+                key = at_state[open_] * self.words + word[open_]
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                there = self.keys[arc] == key
+                found, arc = open_[there], arc[there]
+                gain[found] += self.logs[arc]
+                at_state[found] = self.targets[arc]
+                open_ = open_[~there]
+                if not len(open_):
+                    break
+                gain[open_] += self.failing[at_state[open_]]
+                at_state[open_] = self.failure[at_state[open_]]
+            total[:m] += np.where(t >= early[:m], gain, 0)
+        return np.bincount(text, weights=total, minlength=rows)
+
+
 def score(documents: DataFrame, train: Column | None = None, order: int = ORDER, stored: bool = False) -> DataFrame:
     """Scores of all texts. ``stored`` says that the rows are a plain scan of files."""
     spark = documents.sparkSession
@@ -246,7 +328,8 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
                 raise RuntimeError("a block is not what it was when its n-grams were listed: store the rows first")
             sums.append(got.astype(np.float64))
             places.append((at, place))
-        logs, known, c = traverse(row, h, sums, places, n_train, vocabulary)
+        c = sums[0][places[0][1]]
+        score = Automaton(sums, places, n_train, vocabulary).walk(row, docs.num_rows)
         base = np.log10((c + 1) / (n_train + (vocabulary + 1)))
         add = lambda x: np.bincount(row, weights=x, minlength=docs.num_rows)
         return pa.table(
@@ -254,10 +337,10 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
                 "doc_id": docs.column("doc_id"),
                 "held_out": pa.array(~docs.column("train").to_numpy().astype(bool)),
                 "n_tokens": pa.array(add(None).astype(np.int64)),
-                "n_known": pa.array(add(known.astype(float)).astype(np.int64)),
+                "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64)),
                 "train_tokens": pa.array([n_train] * docs.num_rows, pa.int64()),
                 "base_score": pa.array(add(base)),
-                "score": pa.array(add(logs)),
+                "score": pa.array(score),
             }
         )
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spendlens.llm import lm_score as L
@@ -81,3 +82,27 @@ def test_no_training_rows_and_empty_table(spark):
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows} == {(3, 0, 0), (1, 0, 0)}
     assert all(r["score"] == 0 for r in rows)
     assert L.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("piece", [1, 3, 1000])
+def test_the_walk_equals_the_closed_form(order, piece):
+    rng = np.random.default_rng(order)
+    texts = pa.array([" ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 40)))) for _ in range(60)] + [None, ""])
+    train = (np.arange(62) % 3 > 0).astype(np.float64)
+    row, h = L.tokens(texts)
+    prior = {2: 5.0, 3: 2.0, 4: 1.0}
+    counts, places = [], []
+    for n in range(1, order + 1):
+        _, c, at, place = L.listed(row, h, train, n)
+        counts.append(c.astype(np.float64))
+        places.append((at, place))
+    tokens = int(counts[0].sum())
+    vocabulary = int((counts[0] > 0).sum())
+    logs, _, _ = L.traverse(row, h, counts, places, tokens, vocabulary, prior)
+    machine = L.Automaton(counts, places, tokens, vocabulary, prior)
+    assert machine.walk(row, 62, piece) == pytest.approx(np.bincount(row, weights=logs, minlength=62))
+    out = machine.keys // machine.words  # weights of the arcs that leave a state, and of its failure arc, leave no more than 1
+    assert (np.bincount(out, weights=10**machine.logs) < 1 + 1e-9).all() and (machine.failing <= 0).all()
+    empty = L.Automaton([np.zeros(len(c)) for c in counts], places, 0, 0, prior)
+    assert empty.walk(row, 62) == pytest.approx(np.zeros(62))
