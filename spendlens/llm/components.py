@@ -93,8 +93,9 @@ def resolve(
     share and may use the bucket's other columns, given without prefix.
 
     Every two keys of a bucket are decided or end in one component, but not as all
-    pairs: first each key with the smallest of its bucket, in an eighth of the buckets
-    and then, where the two are not in one component yet, in the others. That leader is
+    pairs: first each key with the one that meets most others in all its buckets, which
+    is the middle of a star of copies that are like it and not like each other. This
+    is done in an eighth of the buckets and then, where the two are not in one component yet, in the others. That leader is
     done, and buckets that still hold several components take more leaders (2, 64,
     2048, ... expected, up to all). Of the pairs between the same two components one is
     verified before the others, which need no test if it is a link. A group of close
@@ -126,11 +127,15 @@ def resolve(
         known = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "ab"})
         return known.filter("a_root <> b_root").select("a", "b", F.least("a_root", "b_root").alias("lo"), F.greatest("a_root", "b_root").alias("hi"))
 
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).filter("size > 1")
-    led = ws.settle(buckets.join(several, "bucket").filter("key <> leader").drop("size"), "led", fit=True)
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = ws.settle(buckets.join(sizes, "bucket"), "met", fit=True)
+    weight = met.groupBy("key").agg(F.sum("size").alias("weight"))
+    leaders_of = met.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"))
+    led = ws.settle(met.drop("size").join(leaders_of, "bucket").filter("key <> leader"), "led", fit=True)
+    ws.drop(met)
     early = F.pmod(F.xxhash64("bucket"), F.lit(8)) == 0
     for step, chosen in (("early", early), ("led", ~early)):
-        at_leader = led.filter(chosen).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+        at_leader = led.filter(chosen).select(*ordered("leader", "key")).distinct()
         pairs = ws.settle(
             apart(at_leader).select("a", "b").join(side("x"), F.col("b") == F.col("x_key"))
             .join(side("y"), (F.col("a") == F.col("y_key")) & near("x", "y")).select("a", "b"),
