@@ -97,7 +97,8 @@ def resolve(
     is the middle of a star of copies that are like it and not like each other. This
     is done in an eighth of the buckets and then, where the two are not in one component yet, in the others. That leader is
     done, and buckets that still hold several components take more leaders (2, 64,
-    2048, ... expected, up to all). Of the pairs between the same two components one is
+    2048, ... expected, up to all): those outside the bucket's largest component, where
+    they are no more than that, as every two components have one there; else any. Of the pairs between the same two components one is
     verified before the others, which need no test if it is a link. A group of close
     copies is settled by few pairs. Buckets are never gathered: leaders meet their bucket
     by a join that splits, and the cheap test is part of that join. What a round has
@@ -147,11 +148,14 @@ def resolve(
     left, k = led.drop("leader"), 0
     while True:
         named = left.join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+        rooted = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        open_ = rooted.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).filter(F.col("size") > F.col("top.n"))
         k += 1
+        most = 2.0 * 32.0 ** (k - 1)
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(k), "key"), 11) / F.lit(float(1 << 53))
+        leads = F.when(F.col("size") - F.col("top.n") <= most, F.col("root") != F.col("top.root")).otherwise(draw < F.lit(most) / F.col("size"))
         now = ws.settle(
-            named.join(open_.select("bucket", "size"), "bucket").withColumn("leads", draw < F.lit(2.0 * 32.0 ** (k - 1)) / F.col("size")).drop("size"),
+            named.join(open_, "bucket").withColumn("leads", leads).drop("size", "top"),
             f"open{k}", fit=True, tasks=ws.tasks(led, per=1 << 20),
         )
         ws.drop(led)
