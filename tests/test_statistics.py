@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendlens.functions import tails
+from spendlens.functions import draws, tails
 from spendlens.operators import bootstrap, ordering, stats
 
 
@@ -65,6 +65,23 @@ def test_spearman_matches_rank_correlation(spark, frame):
         assert 0 <= got.loc[k, "p_value"] <= 1
 
 
+def test_ranking_holds_few_rows_at_once(spark, monkeypatch):
+    """A task ranks its range slice by slice; values and groups go on over the ends of slices."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 7)
+    kept, settled = [], ordering.settled
+    monkeypatch.setattr(ordering, "settled", lambda df, name, *a: kept.append((name, settled(df, name, *a))) or kept[-1][1])
+    values = [0.0] * 40 + [1.0] * 3 + [2.5] * 20 + [float(v) for v in range(3, 20)]
+    rows = [(k, v, i, 1 + i % 3) for k in "ab" for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, v double, i int, n long").repartition(3)
+    pdf = pd.DataFrame(rows, columns=["k", "v", "i", "n"])
+    each = pdf.loc[pdf.index.repeat(pdf.n)]
+    want = each.assign(r=each.groupby("k").v.rank()).groupby(["k", "i"]).r.first().to_dict()
+    got = {(r["k"], r["i"]): r["mid_rank"] for r in ordering.row_mid_ranks(df, "v", "n", ["i"], ["k"]).collect()}
+    assert got == want
+    slices = dict(kept)["ranks"].groupBy("__slice").count().collect()
+    assert max(r["count"] for r in slices) <= 7 and len(slices) >= len(rows) / 7
+
+
 def test_spearman_perfect_and_constant(spark):
     df = spark.createDataFrame([("up", i, 2 * i) for i in range(6)] + [("flat", 1, i) for i in range(6)], "k string, x int, y int")
     got = {r["k"]: r for r in stats.spearman(df, "x", "y", ["k"]).collect()}
@@ -201,6 +218,36 @@ def test_multinomial_draws_exactly_k_units(spark):
     assert len(sums) == 30 and all(r["C"] == 17.0 for r in sums)
 
 
+def test_multinomial_sums_without_a_row_per_draw(spark):
+    """Both ways of adding up draws, against every draw looked up one by one; null adds nothing, NaN only where it is drawn."""
+    k, n_boot, h = 2**20 + 7, 5, 123456789
+    held = {0: (1.0, 2.0), 1: (None, 3.0), 70_001: (4.0, None), 524_288: (float("nan"), 1.0), k - 1: (0.25, 8.0)}
+    rows = [("s", h, i, k, c, v) for i, (c, v) in held.items()]
+    placed = spark.createDataFrame(rows, "__st string, __h long, __i long, __K long, C double, S double").cache()
+    want = {}
+    for b in range(1, n_boot + 1):
+        hit = draws.picks(h, np.array([b]), np.arange(k), k)[0]
+        n = {i: int((hit == i).sum()) for i in held}
+        want[b] = [
+            math.fsum(n[i] * pair[j] for i, pair in held.items() if n[i] and pair[j] is not None)
+            if any(n[i] and pair[j] is not None for i, pair in held.items()) else None
+            for j in range(2)
+        ]
+    for way in (bootstrap._drawn_sums, bootstrap._window_sums):
+        got = {r["b"]: [r["C"], r["S"]] for r in way(placed, n_boot).collect()}
+        for b, pair in want.items():
+            for x, y in zip(got.get(b, [None, None]), pair):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, nan_ok=True)), (way, b)
+
+
+def test_words_go_back_to_their_draws():
+    h, b = 987654321, np.array([1, 2000])
+    i = np.array([0, 1, 77, 2**31])
+    words = draws.picks(h, b, i, 2**32)
+    first = draws.first_draws(h, b)
+    assert ((draws.draw_numbers(words).astype(np.int64) - first[:, None]) % 2**32 == i).all()
+
+
 def test_bootstrap_p_bounds(spark):
     df = spark.createDataFrame([(float(i), -1.0, None) for i in range(9)], "rate double, below double, none double")
     row = df.agg(bootstrap.bootstrap_p("rate", "below").alias("a"), bootstrap.bootstrap_p("rate", "none").alias("b")).first()
