@@ -50,12 +50,11 @@ class Tree:
     rows: np.ndarray
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The deepest node of each row."""
-        node = np.zeros(len(bins), dtype=np.int64)
-        for _ in range((len(self.feature) + 1).bit_length() - 1):
-            feature = self.feature[node]
-            right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.bin[node]
-            node = np.where(feature >= 0, 2 * node + 1 + right, node)
+        """The deepest node of each row; ``bins`` are features x rows."""
+        node = np.zeros(bins.shape[1], dtype=np.int16)
+        for k in np.flatnonzero(self.feature >= 0):  # parents come before their children
+            child = (bins[self.feature[k]] > self.bin[k]).astype(np.int16) + np.int16(2 * k + 1)
+            node = np.where(node == k, child, node)
         return node
 
 
@@ -68,9 +67,9 @@ class BoostedFit:
     trees: list[Tree] = field(default_factory=list)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        """Bins of raw features; a value on an edge belongs below it."""
+        """Bins of raw features, as features x rows; a value on an edge belongs below it."""
         x = np.where(np.isnan(x), self.medians, x)
-        return np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(self.edges)], axis=1).astype(np.uint8)
+        return np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(self.edges)]).astype(np.uint8)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         bins = self.bins(x)
@@ -152,62 +151,76 @@ def _grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, n: np.ndarray, e
                 tree.value[child] = -rate * side[0][f, b] / side[1][f, b]
 
 
-def _histograms(binned: DataFrame, models: list[int], d: int, recent: dict, growing: dict, level: int, scale: float) -> dict:
-    """Sums by (node, feature, bin) of a level for each model: arrays of gradients, second derivatives, rows."""
-    cells = 2**level * d * WIDTH
+def _histograms(binned: DataFrame, models: list[int], widths: dict, recent: dict, growing: dict, level: int, scale: float) -> dict:
+    """Sums by (node, feature, bin) of a level for each model: arrays of gradients, second derivatives, rows.
+
+    ``widths`` has the number of bins of each feature. A task and a model give one row, its sums
+    end to end, and these are added up by model.
+    """
+    d, nodes = len(next(iter(widths.values()))), 2**level
 
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fold, y, bins, margin = _arrays(batch, len(models), d)
+        sums = {m: [np.zeros((3, nodes, w), np.int64) for w in widths[m]] for m in models}
+        for fold, y, bins, margin in _blocks(batches, len(models), d):
             for i, m in enumerate(models):
-                pick = np.flatnonzero(fold != m)
-                b = bins[pick, i]
-                z = margin[pick, i] + sum((t.value[t.leaf_of(b)] for t in recent[m]), np.zeros(len(pick)))
-                node = growing[m].leaf_of(b) - (2**level - 1)
-                open_ = node >= 0
-                b, z, node, label = b[open_], z[open_], node[open_], y[pick][open_]
+                node = growing[m].leaf_of(bins[i]) - (nodes - 1)
+                pick = np.flatnonzero((fold != m) & (node >= 0))
+                b = bins[i].take(pick, axis=1)
+                z = margin[i][pick] + sum((t.value[t.leaf_of(b)] for t in recent[m]), np.zeros(len(pick)))
                 p = 1 / (1 + np.exp(-z))
-                at = ((node[:, None] * d + np.arange(d)) * WIDTH + b).ravel()
-                parts = [np.bincount(at, np.repeat(w, d), cells).astype(np.int64) for w in (np.rint((p - label) * scale), np.rint(p * (1 - p) * scale))]
-                sums[m] = sums.get(m, 0) + np.stack([*parts, np.bincount(at, minlength=cells)])
-        for m, total in sums.items():
-            some = np.flatnonzero(total[2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), m), pa.int32()), pa.array(some), *[pa.array(v[some]) for v in total]], names=["model", "at", "g", "h", "n"]
-            )
-
-    summed = binned.mapInArrow(run, "model int, at long, g long, h long, n long").groupBy("model", "at").agg(*[F.sum(c).alias(c) for c in "ghn"])
-    table = summed.toPandas()  # bounded: models x nodes x features x bins
+                g, h = np.rint((p - y[pick]) * scale), np.rint(p * (1 - p) * scale)
+                node = node[pick].astype(np.intp)
+                for f, w in enumerate(widths[m]):
+                    at = node * w + b[f]
+                    for j, weight in enumerate((g, h, None)):
+                        sums[m][f][j] += np.bincount(at, weight, nodes * w).astype(np.int64).reshape(nodes, w)
+        rows = [(m, np.concatenate([v.ravel() for v in total]).tobytes()) for m, total in sums.items() if total[0][2].any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["model", "sums"])
+
+    def add(table):
+        total = sum(np.frombuffer(v.as_py(), np.int64) for v in table.column("sums"))
+        return pa.table({"model": table.column("model")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    summed = binned.mapInArrow(run, "model int, sums binary").groupBy("model").applyInArrow(add, "model int, sums binary")
     out = {}
-    for m, part in table.groupby("model"):
-        whole = np.zeros((3, cells))
-        whole[:, part["at"].to_numpy()] = part[["g", "h", "n"]].to_numpy().T
-        out[m] = [v.reshape(-1, d, WIDTH) for v in (whole[0] / scale, whole[1] / scale, whole[2])]
+    for r in summed.collect():  # bounded: models x nodes x features x bins
+        whole, at, flat = np.zeros((3, nodes, d, WIDTH)), 0, np.frombuffer(bytes(r["sums"]), np.int64)
+        for f, w in enumerate(widths[r["model"]]):
+            whole[:, :, f, :w] = flat[at : at + 3 * nodes * w].reshape(3, nodes, w)
+            at += 3 * nodes * w
+        out[r["model"]] = [whole[0] / scale, whole[1] / scale, whole[2]]
     return out
 
 
-def _arrays(batch, k: int, d: int):
-    n = batch.num_rows
-    fold = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-    bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(n, k, d)
-    return fold, batch.column(1).to_numpy(zero_copy_only=False), bins, batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+BLOCK = "__fold binary, __y binary, __bins binary, __margin binary"
+
+
+def _block(fold: np.ndarray, y: np.ndarray, bins: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    """Some rows as one: folds, labels, bins (models x features x rows) and margins (models x rows)."""
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (fold, y, bins, margin)], names=["__fold", "__y", "__bins", "__margin"])
+
+
+def _blocks(batches, k: int, d: int):
+    """What ``_block`` packed, block by block."""
+    for batch in batches:
+        for fold, y, bins, margin in zip(*(batch.column(i) for i in range(4))):
+            fold = np.frombuffer(fold.as_buffer(), np.int32)
+            yield (
+                fold, np.frombuffer(y.as_buffer(), np.float64),
+                np.frombuffer(bins.as_buffer(), np.uint8).reshape(k, d, len(fold)), np.frombuffer(margin.as_buffer(), np.float64).reshape(k, len(fold)),
+            )
 
 
 def _with_margins(binned: DataFrame, models: list[int], d: int, recent: dict) -> DataFrame:
     """The binned rows with the trees since the last copy added to their margins, stored."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                fold, y, bins, margin = _arrays(batch, len(models), d)
-                after = np.stack([margin[:, i] + sum((t.value[t.leaf_of(bins[:, i])] for t in recent[m]), np.zeros(len(y))) for i, m in enumerate(models)], axis=1)
-                held = pa.FixedSizeListArray.from_arrays(pa.array(after.ravel()), len(models)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), held], names=["__fold", "__y", "__bins", "__margin"])
+        for fold, y, bins, margin in _blocks(batches, len(models), d):
+            after = np.stack([margin[i] + sum((t.value[t.leaf_of(bins[i])] for t in recent[m]), np.zeros(len(y))) for i, m in enumerate(models)])
+            yield _block(fold, y, bins, after)
 
-    return settled(binned.mapInArrow(run, "__fold int, __y double, __bins binary, __margin array<double>"), "boosted", TASK_BYTES)
+    return settled(binned.mapInArrow(run, BLOCK), "boosted", TASK_BYTES)
 
 
 def fit_boosted(
@@ -244,14 +257,13 @@ def fit_boosted(
             n = batch.num_rows
             if n:
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, d)
-                packed = np.stack([fits[m].bins(x) for m in models], axis=1).reshape(n, -1)
-                start = pa.FixedSizeListArray.from_arrays(pa.array(np.tile([fits[m].baseline for m in models], n)), len(models)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), start], names=["__fold", "__y", "__bins", "__margin"]
-                )
+                fold = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+                start = np.repeat([fits[m].baseline for m in models], n)
+                yield _block(fold, batch.column(1).to_numpy(zero_copy_only=False), np.stack([fits[m].bins(x) for m in models]), start)
 
     vector = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features])
-    binned = settled(plain.select("__fold", "__y", vector).mapInArrow(cut, "__fold int, __y double, __bins binary, __margin array<double>"), "binned", TASK_BYTES)
+    binned = settled(plain.select("__fold", "__y", vector).mapInArrow(cut, BLOCK), "binned", TASK_BYTES)
+    widths = {m: [len(e) + 1 for e in edges[m]] for m in models}
     most = max(n for _, n in shares.values())
     scale = float(2 ** min(30, 62 - int(most).bit_length()))
     size = 2 ** (depth + 1) - 1
@@ -264,7 +276,7 @@ def fit_boosted(
         for level in range(depth):
             if level and all((tree.feature[2 ** (level - 1) - 1 : 2**level - 1] < 0).all() for tree in growing.values()):
                 break
-            for m, sums in _histograms(binned, models, d, recent, growing, level, scale).items():
+            for m, sums in _histograms(binned, models, widths, recent, growing, level, scale).items():
                 _grow(growing[m], level, *sums, edges[m], depth, leaf_rows, rate)
         for m in models:
             recent[m].append(growing[m])
