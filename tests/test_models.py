@@ -108,6 +108,24 @@ def test_trees_equal_exact_greedy_trees(spark, monkeypatch):
     assert all((t.feature == s.feature).all() and (t.value == s.value).all() for t, s in zip(again.trees, fits[0].trees))
 
 
+def test_passes_read_blocks_and_give_a_row_a_model(spark, monkeypatch):
+    """Rows are stored in blocks, and a level's sums reach the driver as one row a model, whatever the bins."""
+    x, y, fold, df = table(spark)
+    kept, settled = [], boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda df, name, *a: kept.append((name, settled(df, name, *a))) or kept[-1][1])
+    boosting.fit_boosted(df, ("a", "b", "c"), "y", [0, 2], "fold", trees=1)
+    binned = dict(kept)["binned"]
+    assert binned.count() <= 3
+    (f, labels, bins, margin), *_ = boosting._blocks(binned.toArrow().to_batches(), 2, 3)
+    assert bins.shape == (2, 3, len(f)) and margin.shape == (2, len(f)) and set(labels) <= {0.0, 1.0}
+
+
+def test_trees_are_walked_to_the_deepest_node():
+    tree = boosting.Tree(np.array([1, -1, 0, -1, -1, -1, -1]), np.array([4, 0, 7, 0, 0, 0, 0]), np.zeros(7), np.zeros(7), np.zeros(7))
+    bins = np.array([[0, 7, 8, 255], [4, 5, 5, 255]], dtype=np.uint8)
+    assert tree.leaf_of(bins).tolist() == [1, 5, 6, 6]
+
+
 def test_many_values_are_cut_at_quantiles(spark):
     rng = np.random.default_rng(1)
     for n in (300, 1001):

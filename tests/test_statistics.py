@@ -240,6 +240,19 @@ def test_multinomial_sums_without_a_row_per_draw(spark):
                 assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, nan_ok=True)), (way, b)
 
 
+def test_array_counts_equal_column_counts(spark):
+    """Counts for arrays, a byte each, are those of the column expressions, also for words near 2^32."""
+    words = [(0, 0), (2**32 - 1, 2**32 - 1), (1, 2**32 - 1), *[(k * 2654435761 % 2**32, k * 40503 % 2**32) for k in range(1, 60)]]
+    df = spark.createDataFrame(words, "h1 long, h2 long").withColumn("b", F.explode(F.array(F.lit(1), F.lit(77), F.lit(2000))))
+    df = draws.mixed(df, F.col("h1") + F.col("b").cast("bigint") * F.lit(draws.REPLICATE_STEP), "d")
+    df = draws.mixed(df, F.col("d") + F.col("h2"), "u").withColumn("w", draws.poisson_weight("u"))
+    want = {(r["h1"], r["h2"], r["b"]): r["w"] for r in df.collect()}
+    h1, h2 = (np.array(v, dtype=np.int64) for v in zip(*words))
+    got = draws.poisson_counts(h1, h2, np.array([1, 77, 2000]))
+    assert got.dtype == np.uint8
+    assert all(got[i, j] == want[(*pair, b)] for i, b in enumerate((1, 77, 2000)) for j, pair in enumerate(words))
+
+
 def test_words_go_back_to_their_draws():
     h, b = 987654321, np.array([1, 2000])
     i = np.array([0, 1, 77, 2**31])
