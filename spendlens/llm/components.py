@@ -14,6 +14,7 @@ is contracted in one task without any exchange, a large one by many.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,8 +175,7 @@ def resolve(
             wide.alias("w").join(leaders.alias("l"), (F.col("w.bucket") == F.col("l.bucket")) & (F.col("root") != F.col("lead_root")) & once & first("x", "y") & near("x", "y"))
             .select(*ordered("x_key", "y_key"), F.least("root", "lead_root").alias("lo"), F.greatest("root", "lead_root").alias("hi")).distinct()
         )
-        for known in unlinked:
-            fresh = fresh.join(known, ["a", "b"], "left_anti")
+        fresh = fresh.join(reduce(DataFrame.unionByName, unlinked), ["a", "b"], "left_anti")
         fresh = ws.settle(fresh, f"pairs{k}", fit=True, tasks=ws.tasks(now, per=1 << 18))
         one = fresh.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
         one = ws.settle(one, f"one{k}", fit=True, tasks=ws.tasks(fresh, per=1 << 20))

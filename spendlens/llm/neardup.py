@@ -18,8 +18,8 @@ Candidates. Equal multisets are one node. Bands of rows are buckets; a bucket
 of one node is dropped. How the nodes of a bucket meet without all pairs is told
 in ``components.resolve``: leaders first, further ones only where a bucket holds
 different components. Part of that join is a cheap test on sizes, on four bits
-of each register, four deviations below the threshold, and on histograms of the
-shingles; what passes is decided by the exact overlap of the texts. No bucket is cut and no link lost by size.
+of each register, four deviations below the threshold, and on histograms and bitmaps of
+the shingles; what passes is decided by the exact overlap of the texts. No bucket is cut and no link lost by size.
 
 With bands of 6 rows, 32 of them, a pair at similarity 0.8 shares no bucket
 with probability 6e-5 (at 0.9: 1e-11) and fails the cheap test with 3e-5.
@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.llm import words as W
 from spendlens.llm.common import Workspace, aside, numbered
@@ -48,6 +49,8 @@ SIMILARITY = (4, 5)  # as a fraction: 0.8
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 CLASSES = 256
+BITMAP_WORDS = 256
+BITMAP = {"bits": T.ArrayType(T.LongType()), "ones": T.LongType(), "half": T.ArrayType(T.LongType()), "half_ones": T.LongType()}
 U = W.U
 
 
@@ -166,6 +169,48 @@ def histograms(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) ->
     return [t if ok else None for t, ok in zip(table.astype(np.int8), fits)]
 
 
+def bitmaps(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int) -> list[pa.Array]:
+    """Shingles as bits, each repeat of one its own: ``bits, ones, half, half_ones`` of each row.
+
+    A row gets eight to sixteen bits a shingle, up to ``BITMAP_WORDS`` words, a power of two;
+    ``half`` is what the same shingles give in half the bits.
+    """
+    n = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+    level = np.ceil(np.log2(np.clip(n / 8.0, 2, BITMAP_WORDS))).astype(np.int64)  # words, as a power of two
+    of = np.repeat(np.arange(len(h)), count)
+    again = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    item = W.mix(h[of] + U(0x9FB21C651E98DF25) * again.astype(U))
+    out = []
+    for size in (level, level - 1):
+        ends = np.append(0, np.cumsum(1 << size))
+        at = (item >> (U(58) - size[row[of]].astype(U))).astype(np.int64)
+        table = np.zeros(64 * ends[-1], dtype=np.uint8)
+        table[64 * ends[row[of]] + at] = 1
+        words = np.packbits(table, bitorder="little").view("<i8")
+        ones = np.add.reduceat(table, 64 * ends[:-1], dtype=np.int64) if rows else n
+        out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words)), pa.array(ones)]
+    return out
+
+
+def roomy(x: str, y: str) -> Column:
+    """Whether the bitmaps of two nodes allow the similarity; every link passes.
+
+    A bit that one text has and the other lacks is at least one shingle not shared. Texts
+    whose bitmaps differ in length are compared in the length of the shorter one.
+    """
+
+    def room(bits: str, ones: str, other: str, other_ones: str) -> str:
+        both = f"aggregate(zip_with({x}_{bits}, {y}_{other}, (a, b) -> bit_count(a & b)), 0L, (n, c) -> n + c)"
+        most = f"(least({x}_n - {x}_{ones}, {y}_n - {y}_{other_ones}) + {both})"
+        return f"{most} * {sum(SIMILARITY)} >= ({x}_n + {y}_n) * {SIMILARITY[0]}"
+
+    whole, left, right = room("bits", "ones", "bits", "ones"), room("half", "half_ones", "bits", "ones"), room("bits", "ones", "half", "half_ones")
+    return F.expr(
+        f"CASE WHEN size({x}_bits) = size({y}_bits) THEN {whole} WHEN size({x}_half) = size({y}_bits) THEN {left}"
+        f" WHEN size({x}_bits) = size({y}_half) THEN {right} ELSE true END"
+    )
+
+
 def near(x: str, y: str) -> Column:
     """Whether sizes, sketches and histograms of two nodes allow the similarity.
 
@@ -232,7 +277,15 @@ def link(ws: Workspace, source: DataFrame, rows: DataFrame) -> DataFrame:
     buckets = ws.settle(spread.join(several, "bucket"), "buckets")
     wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi")
     wanted = ws.settle(wanted.select("key", "n", "sketch", "histogram", of_bands.alias("buckets"), "__rid"), "wanted")
-    texts = ws.settle(source.select("__rid", "text").join(wanted.select("__rid", "key", "n"), "__rid").drop("__rid"), "texts")  # one of each node
+    texts = source.select("__rid", "text").join(wanted, "__rid").drop("__rid")  # one of each node
+    schema = T.StructType([*texts.schema.fields, *(T.StructField(name, kind) for name, kind in BITMAP.items())])
+
+    def mapped(batches):
+        for block in W.blocks(batches):
+            got = bitmaps(*counted(*shingles(block.column(block.schema.get_field_index("text")))), block.num_rows)
+            yield pa.RecordBatch.from_arrays([*block.columns, *got], names=[*block.schema.names, *BITMAP])
+
+    texts = ws.settle(texts.mapInArrow(mapped, schema), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
@@ -240,7 +293,7 @@ def link(ws: Workspace, source: DataFrame, rows: DataFrame) -> DataFrame:
             _overlapping, "a binary, b binary"
         )
 
-    roots = resolve(ws, wanted.select("key", "n", "sketch", "histogram", "buckets"), buckets, verify, near, lambda x, y: first(x, y, "buckets"))
+    roots = resolve(ws, texts.drop("text"), buckets, verify, lambda x, y: near(x, y) & roomy(x, y), lambda x, y: first(x, y, "buckets"))
     ws.drop(nodes, buckets, wanted, texts)
     return roots
 

@@ -140,6 +140,51 @@ def test_histograms_never_reject_a_link(spark):
     assert all(got[i] for i in range(80) if truth[i]) and sum(got[i] for i in range(80) if not truth[i]) < 15
 
 
+def test_bitmaps_never_reject_a_link(spark):
+    """Repeats, and texts whose bitmaps differ in length: whatever is similar passes, most that is not is rejected."""
+    rng = np.random.default_rng(6)
+    rows, truth = [], []
+    for i in range(160):
+        n = (100, 127, 128, 700, 3000)[i % 5]
+        a = [f"w{k}" for k in rng.integers(0, 10**6, n)] + ["x y"] * (i % 3)
+        b = list(a)
+        for at in rng.choice(len(b), int(n * i / 4000), replace=False):
+            b[at] = "other"
+        b += [f"w{k}" for k in rng.integers(0, 10**6, i % 7)]
+        a, b = " ".join(a), " ".join(b)
+        row = [i]
+        for t in (a, b):
+            r = N.counted(*N.shingles(pa.array([t])))
+            row += [int(r[2].sum()), *[c.to_pylist()[0] for c in N.bitmaps(*r, 1)]]
+        rows.append(tuple(row))
+        truth.append(similar(a, b))
+    side = lambda x: f"{x}_n int, {x}_bits array<long>, {x}_ones long, {x}_half array<long>, {x}_half_ones long"
+    df = spark.createDataFrame(rows, f"i int, {side('x')}, {side('y')}")
+    got = {r["i"]: r["near"] for r in df.select("i", N.roomy("x", "y").alias("near")).collect()}
+    assert any(len(r[2]) != len(r[7]) for r in rows) and 20 < sum(truth) < 140
+    assert all(got[i] for i in range(160) if truth[i]) and sum(got[i] for i in range(160) if not truth[i]) < 20
+
+
+def test_pages_that_are_not_alike_enough_are_no_pairs(spark, monkeypatch):
+    """Long pages at similarity 0.72 in common buckets: their number does not show in the pairs that are verified."""
+    seen, plain = [], N.resolve
+
+    def counting(ws, nodes, buckets, verify, *more):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+
+        return plain(ws, nodes, buckets, counted, *more)
+
+    monkeypatch.setattr(N, "resolve", counting)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    common = word(600)
+    rows = [(i, " ".join(common + word(115))) for i in range(100)]
+    got = {r["doc_id"]: r["class_id"] for r in N.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(100)} and sum(seen) < 100
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame(
         [(None, "one two three four five six", "a"), (3, "one two three four five six", "b"), (3, "one two three four five six", "c"), (None, None, "d")],
