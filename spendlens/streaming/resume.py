@@ -16,6 +16,8 @@ from spendlens.schema import PASSES, insight_schema
 from spendlens.sinks.tables import write_pass
 from spendlens.sources.insights import flatten
 
+NOTE = T.StructType([T.StructField(c, T.StringType()) for c in ("pass", "month")])
+
 
 def _reader(reader, landing: str):
     schema = insight_schema()
@@ -62,11 +64,11 @@ def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_b
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def take_in(batch: DataFrame, number: int) -> None:
-        touched = batch.select("pass", "month").distinct()
-        unknown = sorted({str(r["pass"]) for r in touched.select("pass").distinct().collect()} - set(PASSES))
+        touched = batch.select("pass", "month").distinct().collect()  # at most one a pass and month; one reading of the files
+        unknown = sorted({str(r["pass"]) for r in touched} - set(PASSES))
         if unknown:
             raise ValueError(f"landed files of unknown passes: {', '.join(unknown)}")
-        touched.coalesce(1).write.mode("overwrite").json(f"{notes}/batch={number}")
+        spark.createDataFrame(touched, NOTE).coalesce(1).write.mode("overwrite").json(f"{notes}/batch={number}")
 
     query = (
         _reader(reader, landing).json(landing)
@@ -77,8 +79,7 @@ def ingest(spark: SparkSession, landing: str, root: str, state: str, files_per_b
     )
     query.awaitTermination()
     if _exists(spark, notes):
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in ("pass", "month")])
-        units = [tuple(r) for r in spark.read.schema(schema).json(f"{notes}/*").distinct().collect()]
+        units = [tuple(r) for r in spark.read.schema(NOTE).json(f"{notes}/*").distinct().collect()]
         rebuild_units(spark, landing, units, root)
         target = spark._jvm.org.apache.hadoop.fs.Path(notes)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

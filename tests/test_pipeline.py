@@ -128,6 +128,14 @@ def test_units_replace_their_own_slice_only(spark, tmp_path):
         resume.ingest(spark, str(landing), root, str(tmp_path / "state"))
 
 
+def test_stream_reads_a_batch_once(spark, tmp_path):
+    landing = tmp_path / "landing"
+    for month in ("2024-01", "2024-02"):
+        land(landing, [insight(str(i), f"{month}-02") for i in range(5)], month)
+    query = resume.ingest(spark, str(landing), str(tmp_path / "raw"), str(tmp_path / "state"))
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 10
+
+
 def test_stream_resumes_and_corrects(spark, tmp_path):
     landing, root, state = tmp_path / "landing", str(tmp_path / "raw"), str(tmp_path / "state")
     land(landing, [insight("1", "2024-01-02"), insight("2", "2024-01-03")], "2024-01")
