@@ -72,3 +72,32 @@ def test_every_pair_of_a_bucket_is_decided(spark):
     got, tested = resolved(spark, members, lambda a, b: (a, b) in links)
     assert got == brute(links)
     assert tested <= sum(len(m) * (len(m) - 1) // 2 for m in members)
+
+
+def recorded(monkeypatch):
+    """The steps that are stored from now on, with their plans."""
+    steps, settle = {}, Workspace.settle
+
+    def run(self, df, step, *args, **kwargs):
+        steps[step] = df._jdf.queryExecution().optimizedPlan().toString()
+        return settle(self, df, step, *args, **kwargs)
+
+    monkeypatch.setattr(Workspace, "settle", run)
+    return steps
+
+
+def test_a_chain_inside_one_task_needs_one_round(spark, monkeypatch):
+    steps = recorded(monkeypatch)
+    links = [(i, i + 1) for i in range(300)]
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    assert {x["node"]: x["root"] for x in got.collect()} == dict.fromkeys(range(301), 0)
+    assert "points0" in steps and "points1" not in steps
+
+
+def test_both_sides_of_a_round_are_written_by_few_tasks(spark, monkeypatch):
+    """Descriptions of a skewed bucket come from as many tasks as there is work for, not from all shuffle partitions."""
+    steps = recorded(monkeypatch)
+    links = {(i, 80 + i) for i in range(80)}
+    got, tested = resolved(spark, [list(range(160))], lambda a, b: (a, b) in links)
+    assert got == brute(links) and tested <= 160 * 159 // 2
+    assert steps["pairs1"].count("Repartition") >= 2 and "one1" not in steps
