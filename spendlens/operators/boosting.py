@@ -238,7 +238,8 @@ def fit_boosted(
         "boosting",
     )
     training = _training(plain, models)
-    medians = _medians(training, features)
+    vectors = plain.select("__fold", "__y", F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features]).alias("__x"))
+    medians = _medians(vectors, features, models)
     medians = {m: {f: of[f] if of.get(f) is not None else 0.0 for f in features} for m, of in medians.items()}
     models = [m for m in models if m in medians]
     if not models:
@@ -261,8 +262,7 @@ def fit_boosted(
                 start = np.repeat([fits[m].baseline for m in models], n)
                 yield _block(fold, batch.column(1).to_numpy(zero_copy_only=False), np.stack([fits[m].bins(x) for m in models]), start)
 
-    vector = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features])
-    binned = settled(plain.select("__fold", "__y", vector).mapInArrow(cut, BLOCK), "binned", TASK_BYTES)
+    binned = settled(vectors.mapInArrow(cut, BLOCK), "binned", TASK_BYTES)
     widths = {m: [len(e) + 1 for e in edges[m]] for m in models}
     most = max(n for _, n in shares.values())
     scale = float(2 ** min(30, 62 - int(most).bit_length()))

@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.operators.ordering import exact_percentiles
 from spendlens.operators.sharing import settled
 from spendlens.session import ship
 
@@ -72,12 +71,82 @@ def _training(rows: DataFrame, models: list[int]) -> DataFrame:
     return rows.withColumn("__model", F.explode(F.filter(of, lambda m: ~m.eqNullSafe(F.col("__fold")))))
 
 
-def _medians(training: DataFrame, features) -> dict[int, dict[str, float]]:
-    stack = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
-    long = training.select("__model", F.explode(stack).alias("s")).select("__model", "s.feature", "s.x")
+#: Bits of a value that a pass over the rows settles, see ``_medians``.
+DIGIT = 8
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63))).view(np.uint64)
+
+
+def _value(place: int) -> float:
+    """The double that has a place in ``_places``."""
+    bits = place ^ (1 << 63) if place >> 63 else ~place & (2**64 - 1)
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+
+
+def _digits(vectors: DataFrame, asked: list[tuple[int, int]], shift: int) -> dict[tuple[int, int], dict[int, np.ndarray]]:
+    """How many rows of each fold have each next digit, for every (feature, digits before)."""
+
+    def run(batches):
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            fold = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            folds, of = np.unique(fold, return_inverse=True)
+            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
+            for i, (f, before) in enumerate(asked):
+                place = _places(np.ascontiguousarray(raw[:, f]))
+                hit = ~np.isnan(raw[:, f])
+                if shift + DIGIT < 64:
+                    hit &= place >> np.uint64(shift + DIGIT) == np.uint64(before)
+                digit = ((place[hit] >> np.uint64(shift)) & np.uint64(2**DIGIT - 1)).astype(np.int64)
+                found = np.bincount(of[hit] << DIGIT | digit, minlength=len(folds) << DIGIT).reshape(len(folds), -1)
+                for k, n in zip(folds, found):
+                    totals[i, int(k)] = totals.get((i, int(k)), 0) + n
+        for (i, k), n in totals.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), i), pa.int32()), pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())],
+                names=["asked", "fold", "digit", "n"],
+            )
+
+    summed = vectors.mapInArrow(run, "asked int, fold int, digit int, n long").groupBy("asked", "fold", "digit").agg(F.sum("n").alias("n"))
+    out: dict[tuple[int, int], dict[int, np.ndarray]] = {key: {} for key in asked}
+    for r in summed.collect():  # features x folds x digits, not rows
+        out[asked[r["asked"]]].setdefault(r["fold"], np.zeros(2**DIGIT, dtype=np.int64))[r["digit"]] = r["n"]
+    return out
+
+
+def _medians(vectors: DataFrame, features, models: list[int]) -> dict[int, dict[str, float]]:
+    """Exact medians of the known values that each model learns from, between the two middle ones.
+
+    Their places are found digit by digit: a pass counts the next digit of the values
+    that begin as a middle one does. Nothing is sorted or shuffled but these counts.
+    """
+    middle: dict[tuple[int, int, int], tuple[int, int]] = {}  # model, feature, which of the two: digits so far, rows before
+    known: dict[tuple[int, int], int] = {}
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        top = shift + DIGIT == 64
+        asked = [(f, 0) for f in range(len(features))] if top else sorted({(f, before) for (_, f, _), (before, _) in middle.items()})
+        counts = _digits(vectors, asked, shift)
+
+        def learnt(m, f, before, counts=counts):
+            return sum((n for k, n in counts[f, before].items() if k != m), np.zeros(2**DIGIT, dtype=np.int64))
+
+        if top:
+            known = {(m, f): int(learnt(m, f, 0).sum()) for m in models for f in range(len(features))}
+            middle = {(m, f, side): (0, (n - 1 + side) // 2) for (m, f), n in known.items() if n for side in (0, 1)}
+        for (m, f, side), (before, rank) in middle.items():
+            upto = np.cumsum(learnt(m, f, before))
+            digit = int(np.searchsorted(upto, rank, side="right"))
+            middle[m, f, side] = before << DIGIT | digit, rank - (int(upto[digit - 1]) if digit else 0)
     out: dict[int, dict[str, float]] = {}
-    for r in exact_percentiles(long, "x", {"m": 0.5}, ["__model", "feature"]).collect():  # one row a model and feature
-        out.setdefault(r["__model"], {})[r["feature"]] = r["m"]
+    for (m, f), n in known.items():
+        if n:
+            lo, hi = (_value(middle[m, f, side][0]) for side in (0, 1))
+            out.setdefault(m, {})[features[f]] = lo + (hi - lo) * ((n - 1) / 2 - (n - 1) // 2)
     return out
 
 
@@ -155,10 +224,10 @@ def fit_models(
         plain = plain.dropna(subset=list(features))
     plain = settled(plain, "newton", TASK_BYTES)
     training = _training(plain, models)
-    medians = _medians(training, features) if impute else {}
+    vectors = plain.select("__fold", "__y", F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features]).alias("__x"))
+    medians = _medians(vectors, features, models) if impute else {}
     scaling = _scaling(training, features, medians)
     d = len(features)
-    vectors = plain.select("__fold", "__y", F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in features]).alias("__x"))
     ridge = np.append(np.ones(d), 0.0)
 
     live = [m for m in models if m in scaling]

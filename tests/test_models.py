@@ -40,6 +40,26 @@ def test_all_folds_at_once_equal_single_fits(spark):
         assert fit.status(spark).first()["status"] == "ok"
 
 
+def test_medians_by_digits_are_exact(spark):
+    """Against numpy, with gaps, zeros of both signs, extremes and a null fold."""
+    rng = np.random.default_rng(3)
+    n = 501
+    x = np.column_stack([rng.normal(size=n), rng.choice([-2.0, -0.0, 0.0, 3.5], n), rng.choice([1e308, -1e308, 5e-324, -np.inf, np.inf], n), np.full(n, np.nan)])
+    x[:, :3][rng.random((n, 3)) < 0.2] = np.nan
+    fold = [None if k % 50 == 0 else k % 3 for k in range(n)]
+    df = spark.createDataFrame([(f, 0.0, [float(v) for v in r]) for f, r in zip(fold, x)], "__fold int, __y double, __x array<double>").repartition(5)
+    got = newton._medians(df, ("a", "b", "c", "d"), [0, 1, 2])
+    for m in range(3):
+        train = np.array([f != m for f in fold])
+        for name, column in zip("abc", x.T):
+            known = np.sort(column[train & ~np.isnan(column)])
+            lo, hi = known[(len(known) - 1) // 2], known[len(known) // 2]
+            want = lo + (hi - lo) * ((len(known) - 1) % 2 / 2)
+            assert got[m][name] == want or np.isnan(want) and np.isnan(got[m][name])
+        assert "d" not in got[m]
+    assert newton._medians(df.limit(0), ("a",), [0]) == {}
+
+
 def test_rows_with_missing_features_are_left_out_without_imputation(spark):
     x, y, _, df = table(spark)
     known = ~np.isnan(x[:, 0])
