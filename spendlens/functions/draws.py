@@ -59,27 +59,47 @@ def mix_words(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 16)
 
 
-def poisson_counts(h1: np.ndarray, h2: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same Poisson(1) counts for rows of key words, as an array of replicates x rows.
+class PoissonCounts:
+    """The same Poisson(1) counts for blocks of rows of key words, as arrays of rows x replicates.
 
-    Products of 32-bit words wrap as the mask does, and are made in place.
+    Products of 32-bit words wrap as the mask does. All blocks, of ``rows`` rows at most,
+    are made in the same arrays, which a core's cache can hold, and a call overwrites
+    what the one before gave.
     """
 
-    def mix(x):
-        for _ in range(2):
-            x ^= x >> np.uint32(16)
-            x *= np.uint32(MIX)
-        x ^= x >> np.uint32(16)
+    def __init__(self, b: np.ndarray, rows: int):
+        self.at = (b.astype(np.int64) * REPLICATE_STEP & MASK).astype(np.uint32)
+        shape = (rows, len(b))
+        self.words, self.spare = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+        self.counts, self.reached = np.empty(shape, np.uint8), np.empty(shape, bool)
+        self.ladder = [np.uint32(step) for step in poisson_ladder()]
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        n = len(h1)
+        u, spare, counts, reached = self.words[:n], self.spare[:n], self.counts[:n], self.reached[:n]
+
+        def mix():
+            for _ in range(2):
+                np.right_shift(u, np.uint32(16), out=spare)
+                np.bitwise_xor(u, spare, out=u)
+                np.multiply(u, np.uint32(MIX), out=u)
+            np.right_shift(u, np.uint32(16), out=spare)
+            np.bitwise_xor(u, spare, out=u)
+
+        np.add(h1.astype(np.uint32)[:, None], self.at[None, :], out=u)
+        mix()
+        np.add(u, h2.astype(np.uint32)[:, None], out=u)
+        mix()
+        np.greater_equal(u, self.ladder[0], out=counts.view(bool))
+        for step in self.ladder[1:]:
+            np.greater_equal(u, step, out=reached)
+            np.add(counts, reached.view(np.uint8), out=counts)
+        return counts
 
-    at = (b.astype(np.int64) * REPLICATE_STEP & MASK).astype(np.uint32)
-    u = h1.astype(np.uint32)[None, :] + at[:, None]
-    mix(u)
-    u += h2.astype(np.uint32)[None, :]
-    mix(u)
-    counts = np.zeros(u.shape, np.uint8)
-    for step in poisson_ladder():
-        counts += u >= np.uint32(step)
-    return counts
+
+def poisson_counts(h1: np.ndarray, h2: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``PoissonCounts`` of a few rows as an array of replicates x rows."""
+    return PoissonCounts(b, len(h1))(h1, h2).T
 
 
 def picks(h: int, b: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:

@@ -31,6 +31,8 @@ from spendlens.session import ship
 
 #: From so many draws of a stratum on, units look up the draws that pick them.
 WIDE = 2**31
+#: Poisson counts that a task makes at once; its arrays of them stay in a core's cache.
+CELLS = 1 << 17
 
 
 def _spread(units: DataFrame, *by: str) -> DataFrame:
@@ -404,7 +406,7 @@ def auc_interval(
 
     ``row_id`` names the column or columns that make a row unique. Rows are range
     partitioned by score once, equal scores over several partitions when they are
-    many. A task draws the counts of all replicates for its rows, some replicates
+    many. A task draws the counts of all replicates for its rows, some rows
     at a time, and gives sums for each replicate: of the lowest and the highest
     score it has, which others may share, and of all scores between. The
     negatives of lower scores are added to that short table. What is shuffled
@@ -451,27 +453,56 @@ def auc_interval(
     )
 
 
-def _partition_sums(table: pa.Table, n_boot: int, cells: int = 2_000_000):
-    """Sums of each replicate for rows of one key, sorted by score: both edge scores, and between."""
+def _partition_sums(table: pa.Table, n_boot: int, cells: int = CELLS):
+    """Sums of each replicate for rows of one key, sorted by score: both edge scores, and between.
+
+    Rows are scanned once from low to high, for all replicates side by side: a positive
+    one wins against the negatives below it, and half of those that have its score.
+    """
     score, y = table.column("__score").to_numpy(), table.column("__y").to_numpy(zero_copy_only=False)
     h1, h2 = (table.column(c).to_numpy() for c in ("__h1", "__h2"))
-    tie = np.flatnonzero(np.append(True, score[1:] != score[:-1]))  # where each distinct score begins
+    new = np.append(True, score[1:] != score[:-1])
+    tie, of = np.flatnonzero(new), np.cumsum(new) - 1  # where each distinct score begins
+    by = np.lexsort((y, of))  # of equal scores the negatives come first
+    y, h1, h2 = y[by], h1[by], h2[by]
+    mixed = (np.maximum.reduceat(y, tie) != np.minimum.reduceat(y, tie))[of]  # a score of both classes
+    turn = np.append(True, (y[1:] != y[:-1]) | (new[1:] & (mixed[1:] | mixed[:-1])))
     last = len(tie) - 1
-    parts = [("first", 0, 1, True)] + ([("last", last, last + 1, True)] if last else []) + ([("between", 1, last, False)] if last > 1 else [])
-    step = max(1, cells // len(score))
-    for lo in range(1, n_boot + 1, step):
-        b = np.arange(lo, min(lo + step, n_boot + 1))
-        w = draws.poisson_counts(h1, h2, b).astype(np.int64)
-        pos = np.add.reduceat(np.where(y, w, 0), tie, axis=1)
-        neg = np.add.reduceat(np.where(y, 0, w), tie, axis=1)
-        for _, i, j, edge in parts:
-            p, n = pos[:, i:j], neg[:, i:j]
-            wins = (p * (np.cumsum(n, axis=1) - n / 2)).sum(1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([table.column("__g")[0].as_py()] * len(b), pa.string()), pa.array(np.full(len(b), score[tie[i]])),
-                    pa.array([edge] * len(b)), pa.array(b, pa.int32()), pa.array(p.sum(1), pa.int64()), pa.array(n.sum(1), pa.int64()),
-                    pa.array(wins, pa.float64()),
-                ],
-                names=["__g", "at", "edge", "b", "pos", "neg", "wins"],
-            )
+    ends = np.append(tie, len(score))
+    parts = [(0, 1, True)] + ([(last, last + 1, True)] if last else []) + ([(1, last, False)] if last > 1 else [])
+    b = np.arange(1, n_boot + 1)
+    step = max(1, cells // n_boot)
+    counts, drawn = draws.PoissonCounts(b, step), np.empty((step, n_boot))
+    for first, after, edge in parts:
+        lo, hi = ends[first], ends[after]
+        pos, neg, wins, tied = np.zeros((4, n_boot))  # whole numbers or halves, exact below 2^52
+        for i in range(lo, hi, step):
+            some = slice(i, min(i + step, hi))
+            w = drawn[: some.stop - i]
+            w[:] = counts(h1[some], h2[some])
+            if edge:
+                pos += y[some].astype(np.float64) @ w
+                neg += (~y[some]).astype(np.float64) @ w
+                continue
+            at = np.flatnonzero(np.append(True, turn[i + 1 : some.stop]))
+            for j, z in zip(at, np.append(at[1:], len(w))):
+                n = w[j] if z == j + 1 else w[j:z].sum(axis=0)
+                if y[i + j]:
+                    pos += n
+                    wins += n * (neg - tied / 2 if mixed[i + j] else neg)
+                else:
+                    neg += n
+                    if mixed[i + j]:
+                        if new[i + j]:
+                            tied[:] = 0
+                        tied += n
+        if edge:
+            wins = pos * neg / 2
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([table.column("__g")[0].as_py()] * n_boot, pa.string()), pa.array(np.full(n_boot, score[tie[first]])),
+                pa.array([edge] * n_boot), pa.array(b, pa.int32()), pa.array(pos.astype(np.int64)), pa.array(neg.astype(np.int64)),
+                pa.array(wins),
+            ],
+            names=["__g", "at", "edge", "b", "pos", "neg", "wins"],
+        )

@@ -1,8 +1,10 @@
 """Kernels against brute force on small data."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +303,46 @@ def test_auc_interval_against_weighted_ranks(spark, parts):
     assert [got["k"]["auc_low"], got["k"]["auc_high"]] == pytest.approx(np.percentile(auc, [2.5, 97.5]))
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 3, 40, 10**9])
+def test_auc_sums_of_a_range_against_matrices(kinds):
+    """One scan of the rows, in a few MB whatever the rows, gives the sums over matrices of all counts."""
+    rng = np.random.default_rng(kinds)
+    n, n_boot = 3000, 500
+    score = np.sort(rng.integers(0, kinds, n) / 7)
+    y, h1, h2 = rng.random(n) < 0.4, rng.integers(0, 2**32, n), rng.integers(0, 2**32, n)
+    rows = pa.table({"__g": ["g"] * n, "__score": score, "__y": y, "__h1": h1, "__h2": h2})
+    tracemalloc.start()
+    got = list(bootstrap._partition_sums(rows, n_boot))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    w = draws.poisson_counts(h1, h2, np.arange(1, n_boot + 1)).astype(np.int64)
+    values = np.unique(score)
+    pos, neg = (np.stack([(w * k)[:, score == v].sum(1) for v in values]) for k in (y, ~y)) if kinds < 100 else (
+        np.where(y, w, 0).T, np.where(y, 0, w).T)
+    parts = [(0, 1)] + [(len(pos) - 1, len(pos))] * (len(pos) > 1) + [(1, len(pos) - 1)] * (len(pos) > 2)
+    assert [(b.column("edge")[0].as_py(), b.num_rows) for b in got] == [(True, n_boot), (True, n_boot), (False, n_boot)][: len(parts)]
+    for batch, (i, j) in zip(got, parts):
+        p, q = pos[i:j], neg[i:j]
+        want = [p.sum(0), q.sum(0), (p * (q.cumsum(0) - q / 2)).sum(0)]
+        for name, values_ in zip(("pos", "neg", "wins"), want):
+            assert batch.column(name).to_pylist() == values_.tolist(), name
+
+
+def test_counts_are_made_in_the_same_arrays():
+    """Blocks of rows, also shorter ones, give what all rows at once give, and ask for no further memory."""
+    rng = np.random.default_rng(3)
+    h1, h2 = rng.integers(0, 2**32, (2, 150))
+    b = np.arange(1, 1001)
+    whole = draws.poisson_counts(h1, h2, b)
+    counts = draws.PoissonCounts(b, 64)
+    tracemalloc.start()
+    parts = [counts(h1[i : i + 64], h2[i : i + 64]).T.copy() for i in range(0, 150, 64)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.concatenate(parts, axis=1) == whole).all() and peak < 150 * 1000 + (1 << 16)
+
+
 def test_auc_interval_covers_point(spark, frame):
     df = spark.createDataFrame(frame).withColumn("s", F.col("y") + F.col("l"))
     point = stats.exact_auc(df, "s", "l").first()["auc"]
