@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.operators.sharing import settled
 from spendlens.schema import HOUR_RANGE
 
 AD_NAME = (
@@ -153,8 +152,8 @@ VIEWS = {
 
 
 def views(spark, d, names=tuple(VIEWS)) -> dict[str, DataFrame]:
-    """The views stored once, as the warehouse keeps them, for queries that read them often."""
-    return {name: settled(VIEWS[name](spark, d), name) for name in names}
+    """The views by name; whoever reads one computes it with the columns that it takes, and nothing is stored."""
+    return {name: VIEWS[name](spark, d) for name in names}
 
 
 def creative_source(spark, d, missing: bool = False) -> DataFrame:

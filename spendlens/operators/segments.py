@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.scalars import ratio, segment_label
 from spendlens.operators import bootstrap, stats
-from spendlens.operators.sharing import settled
+from spendlens.operators.sharing import discard, settled
 from spendlens.schema import HOUR_RANGE
 
 DEFAULT_OUTCOME = "initiate_checkout"
@@ -167,7 +167,9 @@ def rank_segments(
     )
     scored = kept.join(inferred, same, "left").drop(*[f"__k_{d}" for d in dims])
     scored = scored.withColumn("p_value", F.coalesce(F.col("__p"), F.lit(1.0))).drop("__p")
-    scored = stats.benjamini_hochberg(settled(scored, "inferred"), "p_value", "q_value")
+    scored = settled(scored, "inferred")
+    discard(units)  # what follows reads segments alone
+    scored = stats.benjamini_hochberg(scored, "p_value", "q_value")
     scored = scored.withColumns(
         {
             "significant": F.col("q_value") < fdr_alpha,

@@ -8,12 +8,16 @@ frees it at its end; ``release`` frees what was kept outside of any.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from spendlens.session import _SCOPES, scratch_path
+from spendlens.session import _SCOPES, scratch_path, tidy
 
 _KEPT: list[DataFrame] = []
+#: Where the tables that ``settled`` returned are stored.
+_STORED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared(df: DataFrame) -> DataFrame:
@@ -46,10 +50,19 @@ def settled(df: DataFrame, name: str, task_bytes: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if task_bytes:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
         out = out.coalesce(max(1, -(-size // task_bytes)))
+    _STORED[out] = path
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a copy that ``settled`` returned, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop(df))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -50,6 +51,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark then removes the shuffle files of a query when it has run, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of a table written inside go with the end of the write.
+
+    For copies that are read from their files afterwards: nothing comes back to what was shuffled.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 _SCOPES: list[scope] = []
 
 
